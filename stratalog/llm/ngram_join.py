@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .arrow import slices, stored, two
 from .graphs import connected_components
-from .words import Words, grams
+from .words import Words, grams, shared_words
 
 #: Buckets of the sketch, and the slices it is summed in.
 BUCKETS, SLICES = 1 << 21, 64
@@ -67,7 +67,7 @@ def profiles(df: DataFrame, n: int, id_col: str, text_col: str) -> tuple[DataFra
     """(doc_id, n, g1, g2) of all rows, and the level of each bucket: the power of two by which its n-grams are more frequent than the mean."""
 
     def run(batches):
-        words, counts = Words(), np.zeros(BUCKETS, np.uint32)
+        words, counts = shared_words(), np.zeros(BUCKETS, np.uint32)
         for batch in batches:
             for part in slices(batch, 1):
                 rows, sets = [], []
@@ -106,7 +106,7 @@ def prefixes(df: DataFrame, levels: np.ndarray, n: int, num: int, den: int, id_c
     shared = df.sparkSession.sparkContext.broadcast(levels.tobytes())  # BUCKETS bytes, whatever the input
 
     def run(batches):
-        words, level, seen = Words(), np.frombuffer(shared.value, np.uint8), set()
+        words, level, seen = shared_words(), np.frombuffer(shared.value, np.uint8), set()
         for batch in batches:
             for part in slices(batch, 0, 2 << 20):
                 hs, gs, ns, pos = [], [], [], []
@@ -196,7 +196,7 @@ def _sets(df: DataFrame, members: DataFrame, n: int, id_col: str, text_col: str)
     """(comp, doc_id, g1, g2, grams) of the members (doc_id, comp, m1, m2), from their texts."""
 
     def run(batches):
-        words = Words()
+        words = shared_words()
         for batch in batches:
             for part in slices(batch, 1):
                 rows = []

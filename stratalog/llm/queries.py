@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import lines, ngram_join, packing, substrings, token_files, tokens
+from . import fertility, imatch, lines, ngram_join, packing, substrings, token_files, tokens
 from .arrow import work_dir
 
 
@@ -50,11 +50,19 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, out, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.quality(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
 def op8_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe_round_trip, op2_ngram_jaccard_join, op4_line_dedup, op5_substring_dedup, op6_token_files, op8_lexical_packing)}
+def op9_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe_round_trip, op2_ngram_jaccard_join, op4_line_dedup, op5_substring_dedup, op6_token_files, op7_tokeniser_fertility, op8_lexical_packing, op9_imatch_fingerprints)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .arrow import slices, stored, two
-from .words import WORD, Words, grams
+from .words import WORD, grams, shared_words
 
 LEAST = -(1 << 63)
 #: Words of a seed.
@@ -80,7 +80,7 @@ def repeats(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: s
     texts = two(df, id_col, text_col)
 
     def profile(batches):
-        words = Words()
+        words = shared_words()
         least: dict[bytes, int] = {}
         for batch in batches:
             for part in slices(batch, 1):
@@ -119,7 +119,7 @@ def repeats(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: s
     small = texts.mapInArrow(compress, "doc_id bigint, t bigint, z binary").withColumn("d", F.coalesce("doc_id", F.lit(LEAST)))
 
     def extend(batches):
-        words, z = Words(), zstandard.ZstdDecompressor()
+        words, z = shared_words(), zstandard.ZstdDecompressor()
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)

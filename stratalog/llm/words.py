@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import cache
 
 import numpy as np
 import xxhash
@@ -43,3 +44,9 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
     for j in range(1, k):
         h = mixed(h * _M + words[j : n + j])
     return h
+
+
+@cache
+def shared_words() -> Words:
+    """The worker process's own table."""
+    return Words()
