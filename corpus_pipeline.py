@@ -1,6 +1,69 @@
-STAGES = []
+"""A corpus pipeline: each stage reads what its predecessor wrote and works on all of it.
+
+All stages but the last return the columns of documents. A stage keeps whole
+rows or changes their texts; n_chars follows the text.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from stratalog.llm import language, lines, ngram_join, packing, pii
+from stratalog.llm.arrow import work_dir
+from stratalog.llm.queries import KEY, LANGUAGES, vocabulary
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no known language explains go."""
+    model = language.train(docs, LANGUAGES)
+    found = language.identify(docs, model, LANGUAGES, id_col="doc_id", text_col="text", declared_col="lang", host_col="source")
+    rejected = found.where(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found in five documents or more stay in one."""
+    kept = lines.dedup_lines(docs, carry=["lang", "source"])
+    return kept.select("doc_id", "text", "carried.lang", "carried.source", F.length("text").cast("long").alias("n_chars"))
+
+
+def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, the one of the least doc_id; five words and a similarity of 0.8."""
+    groups = ngram_join.ngram_components(docs)
+    extra = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(extra, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal values become pseudonyms."""
+    found = pii.pseudonymise(docs, KEY, carry=["lang", "source"])
+    return found.select("doc_id", "text", "carried.lang", "carried.source", F.length("text").cast("long").alias("n_chars"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Windows of 2048 tokens; a row a piece."""
+    pieces = packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("ngram_jaccard_join", join_near_duplicates),
+    ("pii_pseudonyms", replace_personal_data),
+    ("lexical_packing", pack),
+]
+
+#: No SQL: the stages train a model, tokenise and pack.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = work_dir(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fertility, imatch, lines, ngram_join, packing, substrings, token_files, tokens
+from . import fertility, imatch, language, lines, ngram_join, packing, pii, substrings, token_files, tokens
 from .arrow import work_dir
 
 
@@ -17,6 +17,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: The languages of the labelled rows.
+LANGUAGES = ["de", "en", "es", "fr"]
+#: The key of the pseudonyms; a deployment passes its own to pii.pseudonymise.
+KEY = b"stratalog example key"
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -36,6 +42,11 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(documents(spark, sf_dir), n=4, num=85, den=100)
 
 
+def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymise(documents(spark, sf_dir), KEY)
+    return found.select("doc_id", "text", F.size("spans").cast("long").alias("n_pseudonyms"), F.array_join(F.array_sort(F.array_distinct("spans.kind")), ",").alias("kinds"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
@@ -63,6 +74,31 @@ def op9_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe_round_trip, op2_ngram_jaccard_join, op4_line_dedup, op5_substring_dedup, op6_token_files, op7_tokeniser_fertility, op8_lexical_packing, op9_imatch_fingerprints)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    model = language.train(docs, LANGUAGES)
+    of_docs = language.identify(docs, model, LANGUAGES, id_col="doc_id", text_col="text", declared_col="lang", host_col="source")
+    of_pages = language.identify(pages, model, LANGUAGES, id_col="page_id", text_col="html", url_col="url", html=True)
+    none = F.lit(None).cast("long")
+    shown = ["language", F.round("probability", 6).alias("probability"), "kept"]
+    return of_docs.select(F.col("id").alias("doc_id"), none.alias("page_id"), *shown).union(of_pages.select(none, "id", *shown))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_bpe_round_trip,
+        op2_ngram_jaccard_join,
+        op3_pii_pseudonyms,
+        op4_line_dedup,
+        op5_substring_dedup,
+        op6_token_files,
+        op7_tokeniser_fertility,
+        op8_lexical_packing,
+        op9_imatch_fingerprints,
+        op10_language_id,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
