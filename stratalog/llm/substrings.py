@@ -2,8 +2,8 @@
 
 Seeds: winnowing keeps the least of every run of adjacent k-word hashes, so that
 two texts that share ``window`` consecutive words share a seed inside them.
-Texts of equal words are one class and only its least doc_id is searched; the
-others repeat it whole. Seeds are joined across documents; one that occurs in no
+Texts of equal words are one class; those beyond its least doc_id repeat it whole,
+and a task searches one of them at most unless a lesser doc_id comes later. Seeds are joined across documents; one that occurs in no
 two documents is dropped.
 
 Extend: each shared seed is extended to the left and right to every window of
@@ -12,7 +12,7 @@ starts in a document with a smaller doc_id. Repeats that touch
 make one maximal repeat, a span over the length threshold.
 
 Keys that hold many rows (found on a sample, which only steers the plan) take a
-path of their own: they are aggregated before the shuffle and broadcast, at most
+path of their own: they are aggregated before the shuffle and looked up, at most
 HOT_KEYS of them.
 
 A null text has no words, and neither has an empty one. A null doc_id counts as
@@ -33,8 +33,8 @@ from .words import WORD, grams, shared_words
 LEAST = -(1 << 63)
 #: Words of a seed.
 SEED = 4
-#: Keys handled as hot at most, and the rows of the sample that make one hot.
-HOT_KEYS, HOT_ROWS = 1000, 60
+#: Keys handled as hot at most, the part of all documents in the sample, and the rows of it that make one hot.
+HOT_KEYS, SHARE, HOT_ROWS = 1000, 64, 60
 
 
 def seeds(w: np.ndarray, window: int, k: int = SEED) -> np.ndarray:
@@ -61,18 +61,31 @@ def covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _least(rows: DataFrame, key: str, share: int) -> DataFrame:
-    """Rows (key, d, ...) whose key occurs with two values of d, with the least of them as ``low``. Hot keys don't go through the window."""
-    sample = rows.where(F.pmod(F.xxhash64("d"), F.lit(share)) == 0).groupBy(key).agg(F.count("*").alias("c")).where(F.col("c") >= HOT_ROWS)
+def _least(rows: DataFrame, key: str) -> DataFrame:
+    """Rows (d, t, key, ...) whose key occurs with two values of d, with the least of them as ``low``. Hot keys don't go through the window: their least values are aggregated before the shuffle and looked up."""
+    sample = rows.where(F.pmod(F.xxhash64("d"), F.lit(SHARE)) == 0).groupBy(key).agg(F.count("*").alias("c")).where(F.col("c") >= HOT_ROWS)
     hot = [r[0] for r in sample.orderBy(F.desc("c")).limit(HOT_KEYS).collect()]
     by = Window.partitionBy(key)
     rest = rows.where(~F.col(key).isin(hot)) if hot else rows
     out = rest.withColumn("low", F.min("d").over(by)).withColumn("high", F.max("d").over(by)).where("low < high").drop("high")
-    if hot:
-        own = rows.where(F.col(key).isin(hot))
-        both = own.groupBy(key).agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").drop("high")  # HOT_KEYS rows at most
-        out = out.unionByName(own.join(F.broadcast(both), key))
-    return out
+    if not hot:
+        return out
+    own = rows.where(F.col(key).isin(hot))
+    both = own.groupBy(key).agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").collect()  # HOT_KEYS rows at most
+    keys = np.array(sorted(r[0] for r in both), np.int64)
+    lows = np.array([r.low for r in sorted(both, key=lambda r: r[0])], np.int64)
+    names = rows.columns
+    at = names.index(key)
+
+    def look_up(batches):
+        for batch in batches:
+            k = batch.column(at).to_numpy()
+            i = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
+            known = keys[i] == k if len(keys) else np.zeros(len(k), bool)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lows[i] if len(keys) else k)], [*names, "low"]).filter(pa.array(known))
+
+    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", low bigint"
+    return out.unionByName(own.mapInArrow(look_up, schema))
 
 
 def repeats(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,8 +119,7 @@ def repeats(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: s
     docs = stored(texts.mapInArrow(profile, "d bigint, t bigint, g binary, n bigint, seeds array<bigint>"), "substring-profiles")
     # Rows that repeat a doc_id with another text stay apart by (d, t).
     classes = docs.where(F.col("n") >= window).groupBy("g").agg(F.min("d").alias("rep"))
-    searched = docs.where(F.size("seeds") > 0).join(classes, "g").where("d = rep").select("d", "t", "seeds").dropDuplicates(["d", "t"])
-    shared = _least(searched.select("d", "t", F.explode("seeds").alias("s")), "s", 64).groupBy("d", "t").agg(F.collect_set("s").alias("shared"))
+    shared = _least(docs.select("d", "t", F.explode("seeds").alias("s")), "s").groupBy("d", "t").agg(F.collect_set("s").alias("shared"))
 
     def compress(batches):
         z = zstandard.ZstdCompressor(level=3)
@@ -139,7 +151,7 @@ def repeats(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: s
 
     windows = small.join(shared, ["d", "t"]).select("d", "t", "z", "shared").mapInArrow(extend, "d bigint, t bigint, w bigint, at int")
     windows = stored(windows, "substring-windows")
-    starts = _least(windows, "w", 64).where("d > low").groupBy("d", "t").agg(F.collect_set("at").alias("starts"))
+    starts = _least(windows, "w").where("d > low").groupBy("d", "t").agg(F.collect_set("at").alias("starts"))
     copies = docs.where(F.col("n") >= window).join(classes, "g").where("d > rep").select("d", "t").distinct().withColumn("copy", F.lit(True))
 
     def remove(batches):
