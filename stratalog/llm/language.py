@@ -38,6 +38,8 @@ TRAIN_ROWS, TRAIN_CHARS = 4000, (200, 20_000)
 #: Weight of the parent's distribution at each level, in rows.
 ALPHA = 20.0
 UND = "und"
+#: The weight of ``und`` before any evidence, against 1 of each language: a text too short to tell is no unknown language.
+UND_WEIGHT = 0.02
 #: Languages of country suffixes.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en"}
 SUFFIX_ODDS = 8.0
@@ -94,7 +96,9 @@ def evidence(df: DataFrame, model: np.ndarray, languages: list[str], id_col: str
                         code, t = m[1] if m else code, plain(t)
                     t = t.strip()
                     x = counts(t) if t else np.zeros(0, np.int64)
-                    ll.append((logs[x].mean(0) * min(len(x), EFFECTIVE)).tolist() if len(x) else [0.0] * logs.shape[1])
+                    v = logs[x].mean(0) * min(len(x), EFFECTIVE) if len(x) else np.zeros(logs.shape[1])
+                    v[-1] += np.log(UND_WEIGHT)
+                    ll.append(v.tolist())
                     code = (code or "").strip().lower().split("-")[0]
                     declared.append(code if code in languages else "other" if code else "none")
                     at = HOST.match(url or "")
