@@ -5,10 +5,11 @@
 2. N-grams are ordered rare first by a document-frequency sketch of all texts,
    of a fixed size; any order is right, a better one joins fewer rows. Two sets
    over the threshold share an n-gram in their prefixes.
-3. The prefixes are joined on their n-grams. A posting is cut where the length
-   filter lets no pair pass; what stays together is linked to its first member,
-   which takes as many rows as the posting has. The components of these
-   candidate links hold every true link.
+3. The prefixes are joined on their n-grams, and postings of equal members are
+   taken once. In each, the length filter and a suffix filter over fixed bins of
+   the n-grams say which sets may link; what hangs together by them is linked to
+   one of its members, so a posting gives fewer rows than it has. The components
+   of these candidate links hold every true link.
 4. Each candidate component is joined exactly: rare-first prefixes within it,
    length, positional and suffix filters, and one verification a pair unless
    its sets are known to be in one component. Components over a fixed size are
@@ -38,8 +39,10 @@ from .words import Words, grams, shared_words
 BUCKETS, SLICES = 1 << 21, 64
 #: A candidate component of more sets or n-grams is joined in the cluster.
 GROUP_SETS, GROUP_GRAMS = 20_000, 12_000_000
-#: Bins of the suffix filter.
-BINS = 32
+#: Bins of the suffix filter within a component, and of the one over postings, which must tell long texts apart too.
+BINS, POSTING_BINS = 32, 512
+#: Larger postings are only cut by length.
+POSTING = 5_000
 _SHIFT = np.uint64(64 - (BUCKETS.bit_length() - 1))
 
 
@@ -59,12 +62,17 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n + (-num * n // den) + 1
 
 
+def binned(s: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """How many n-grams of a set fall in each bin."""
+    return np.bincount((s >> np.uint64(64 - bins.bit_length() + 1)).astype(np.int64), minlength=bins)
+
+
 def overlap_needed(a, b, num: int, den: int):
     return -(-num * (a + b) // (num + den))
 
 
 def profiles(df: DataFrame, n: int, id_col: str, text_col: str) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, g1, g2) of all rows, and the level of each bucket: the power of two by which its n-grams are more frequent than the mean."""
+    """(doc_id, n, g1, g2, sig) of all rows, and the level of each bucket: the power of two by which its n-grams are more frequent than the mean."""
 
     def run(batches):
         words, counts = shared_words(), np.zeros(BUCKETS, np.uint32)
@@ -77,12 +85,14 @@ def profiles(df: DataFrame, n: int, id_col: str, text_col: str) -> tuple[DataFra
                     rows.append((len(s), *(digest(s) if len(s) else (None, None))))
                 counts += np.bincount((np.concatenate(sets) >> _SHIFT).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
                 k = len(rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], ["doc_id", "n", "g1", "g2", "slice", "counts"])
+                sig = pa.array([np.minimum(binned(s, POSTING_BINS), 255).astype(np.uint8).tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), pa.nulls(k, pa.int32()), sig], ["doc_id", "n", "g1", "g2", "slice", "sig"])
         z, own = zstandard.ZstdCompressor(level=1), counts.reshape(SLICES, -1)
         none = pa.nulls(SLICES, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(SLICES), pa.int32()), pa.array([z.compress(x.tobytes()) for x in own], pa.binary())], ["doc_id", "n", "g1", "g2", "slice", "counts"])
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(SLICES), pa.int32()), pa.array([z.compress(x.tobytes()) for x in own], pa.binary())], ["doc_id", "n", "g1", "g2", "slice", "sig"])
 
-    both = stored(two(df, id_col, text_col).mapInArrow(run, "doc_id bigint, n bigint, g1 bigint, g2 bigint, slice int, counts binary"), "ngram-profiles")
+    # A task's counters come as rows of their own, told apart by ``slice``.
+    both = stored(two(df, id_col, text_col).mapInArrow(run, "doc_id bigint, n bigint, g1 bigint, g2 bigint, slice int, sig binary"), "ngram-profiles")
 
     def total(batches):
         sums: dict[int, np.ndarray] = {}
@@ -94,11 +104,11 @@ def profiles(df: DataFrame, n: int, id_col: str, text_col: str) -> tuple[DataFra
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "counts"])
 
     counts = np.zeros((SLICES, BUCKETS // SLICES), np.uint64)
-    for r in both.where("slice IS NOT NULL").select("slice", "counts").repartition(SLICES // 4, "slice").mapInArrow(total, "slice int, counts binary").collect():
+    for r in both.where("slice IS NOT NULL").select("slice", F.col("sig").alias("counts")).repartition(SLICES // 4, "slice").mapInArrow(total, "slice int, counts binary").collect():
         counts[r.slice] = np.frombuffer(r.counts, np.uint64)
     mean = max(1.0, float(counts.sum()) / BUCKETS)
     levels = np.floor(np.log2(np.maximum(counts.reshape(-1) / mean, 1))).astype(np.uint8)
-    return both.where("slice IS NULL").select("doc_id", "n", "g1", "g2"), levels
+    return both.where("slice IS NULL").select("doc_id", "n", "g1", "g2", "sig"), levels
 
 
 def prefixes(df: DataFrame, levels: np.ndarray, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
@@ -128,13 +138,68 @@ def prefixes(df: DataFrame, levels: np.ndarray, n: int, num: int, den: int, id_c
     return two(df, id_col, text_col).select("text").mapInArrow(run, "h bigint, g bigint, n int, pos int")
 
 
-def candidate_components(postings: DataFrame, num: int, den: int) -> DataFrame:
-    """(g, comp) of the sets that share a prefix n-gram with another that the length filter lets pass."""
-    by = Window.partitionBy("h").orderBy("n", "g")
-    cut = F.lag("n").over(by).isNull() | (F.lag("n").over(by) * den < F.col("n") * num)
-    led = postings.select("h", "n", "g").withColumn("start", F.when(cut, F.col("g")))
-    led = led.withColumn("first", F.last("start", True).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    return connected_components(led.where("first <> g").select(F.col("first").alias("a"), F.col("g").alias("b")).distinct()).select(F.col("v").alias("g"), F.col("c").alias("comp"))
+def shared_postings(postings: DataFrame) -> DataFrame:
+    """(h, g, n, pos) of prefix n-grams that two sets or more have."""
+    by = Window.partitionBy("h")
+    return postings.withColumn("low", F.min("g").over(by)).withColumn("high", F.max("g").over(by)).where("low < high").drop("low", "high")
+
+
+def _stars(g: np.ndarray, n: np.ndarray, sig: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """A posting's members, in the order of their sizes, linked where the length and suffix filters let pairs pass: (first, member) of each group that hangs together."""
+    out = []
+    if len(g) > POSTING:
+        first = 0
+        for i in range(1, len(g)):
+            if den * n[i - 1] < num * n[i]:
+                first = i
+            elif g[first] != g[i]:
+                out.append((int(g[first]), int(g[i])))
+        return out
+    left = np.arange(len(g))
+    while len(left):
+        front, left, first = [left[0]], left[1:], int(g[left[0]])
+        while front and len(left):
+            i = front.pop()
+            low, high = np.searchsorted(n[left], -(-num * n[i] // den)), np.searchsorted(n[left], den * n[i] // num, side="right")
+            near = left[low:high]
+            apart = np.abs(sig[near] - sig[i]).sum(1, dtype=np.int64)
+            hit = apart <= n[near] + n[i] - 2 * overlap_needed(n[near], n[i], num, den)
+            front += near[hit].tolist()
+            out += [(first, int(x)) for x in g[near[hit]].tolist()]
+            left = np.concatenate([left[:low], near[~hit], left[high:]])
+    return out
+
+
+def candidate_components(shared: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(g, comp) of the sets that share a prefix n-gram with another that the filters let pass."""
+    key = F.bit_xor(F.xxhash64("g")).over(Window.partitionBy("h"))
+    groups = shared.withColumn("key", key).select("key", "g").distinct()
+    sigs = classes.select(F.col("g1").alias("g"), F.col("n").cast("int").alias("n"), "sig")
+    members = groups.join(sigs, "g").select("key", "n", "g", "sig")
+
+    def run(batches):
+        key, own = None, []
+
+        def edges():
+            g, n = np.array([r[1] for r in own], np.int64), np.array([r[0] for r in own], np.int64)
+            sig = np.frombuffer(b"".join(r[2] for r in own), np.uint8).reshape(-1, POSTING_BINS).astype(np.int16)
+            return _stars(g, n, sig, num, den)
+
+        for batch in batches:
+            out = []
+            for k, *r in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != key:
+                    if len(own) > 1:
+                        out += edges()
+                    key, own = k, []
+                own.append(r)
+            yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in out], pa.int64()) for i in range(2)], ["a", "b"])
+        if len(own) > 1:
+            out = edges()
+            yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in out], pa.int64()) for i in range(2)], ["a", "b"])
+
+    links = members.repartition("key").sortWithinPartitions("key", "n", "g").mapInArrow(run, "a bigint, b bigint")
+    return connected_components(links).select(F.col("v").alias("g"), F.col("c").alias("comp"))
 
 
 def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
@@ -154,7 +219,7 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     rank[order] = np.arange(len(value))
     common = df[order] > 1  # by rank
     ranked = np.split(rank[inverse], np.cumsum(size)[:-1])
-    bins = np.stack([np.bincount((s >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), minlength=BINS) for s in sets]).astype(np.int32)
+    bins = np.stack([binned(s) for s in sets]).astype(np.int32)
     members = {i: [i] for i in range(len(sets))}
     postings: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
     for i in np.argsort(size, kind="stable").tolist():
@@ -267,14 +332,14 @@ def _large(sets: DataFrame, postings: DataFrame, num: int, den: int) -> DataFram
 def ngram_components(df: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", group_sets: int = GROUP_SETS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row; texts link at a Jaccard similarity of num/den or more."""
     docs, levels = profiles(df, n, id_col, text_col)
-    classes = docs.where("n > 0").groupBy("g1", "g2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    postings = prefixes(df, levels, n, num, den, id_col, text_col)
-    comps = candidate_components(postings, num, den)
+    classes = docs.where("n > 0").groupBy("g1", "g2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    shared = stored(shared_postings(prefixes(df, levels, n, num, den, id_col, text_col)), "ngram-postings")
+    comps = candidate_components(shared, classes, num, den)
     members = classes.join(comps, classes.g1 == comps.g).select("rep", "n", "comp", "g1", "g2")
     sizes = members.groupBy("comp").agg(F.count("*").alias("sets"), F.sum("n").alias("grams")).where((F.col("sets") > group_sets) | (F.col("grams") > GROUP_GRAMS)).withColumn("large", F.lit(True)).select("comp", "large")
     members = stored(members.join(sizes, "comp", "left").selectExpr("rep AS doc_id", "comp", "g1 AS m1", "g2 AS m2", "coalesce(large, false) AS large"), "ngram-members")
     parts = _small(_sets(df, members.where("NOT large").drop("large"), n, id_col, text_col), num, den)
     if not members.where("large").isEmpty():
-        parts = parts.union(_large(_sets(df, members.where("large").drop("large"), n, id_col, text_col), postings, num, den))
+        parts = parts.union(_large(_sets(df, members.where("large").drop("large"), n, id_col, text_col), shared, num, den))
     labels = classes.join(parts, (classes.g1 == parts.m1) & (classes.g2 == parts.m2), "left").select(F.col("g1").alias("m1"), F.col("g2").alias("m2"), F.coalesce("component", "rep").alias("component"))
     return docs.join(labels, (docs.g1 == labels.m1) & (docs.g2 == labels.m2), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
