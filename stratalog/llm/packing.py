@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from .arrow import stored
 from .token_files import id_counts, packed_ids, unpacked
-from .tokens import ChunkBpe
+from .tokens import rank_bpe
 
 K1, B = 1.2, 0.75
 #: A shard of the index ends at so many documents or ids.
@@ -40,27 +40,36 @@ def signature(ids: np.ndarray) -> int:
 
 
 class Index:
-    """BM25 over the documents of a shard."""
+    """BM25 over the documents of a shard. Postings of terms that many of them have are rows of a dense matrix, so that all documents' scores for them are one product; those of the others are lists."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         terms, owner, weight, self.terms = [], [], [], []
         for k, ids in enumerate(docs):
             t, tf = np.unique(ids, return_counts=True)
-            self.terms.append(t)
             terms.append(t)
             owner.append(np.full(len(t), k, np.int32))
-            weight.append(idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean)))
-        t, self.owner, self.weight = np.concatenate(terms), np.concatenate(owner), np.concatenate(weight)
+            weight.append((idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean))).astype(np.float32))
+        t, o, w = np.concatenate(terms), np.concatenate(owner), np.concatenate(weight)
+        self.size = len(docs)
+        df = np.bincount(t, minlength=len(idf))
+        common = np.flatnonzero(df > max(8, self.size // 16))
+        row = np.full(len(idf), -1, np.int32)
+        row[common] = np.arange(len(common), dtype=np.int32)
+        dense = row[t] >= 0
+        table = np.zeros((len(common), self.size), np.float32)
+        table[row[t[dense]], o[dense]] = w[dense]
+        self.dense = (table > 0).astype(np.float32).T @ table  # by query document, then by scored document
+        t, o, w = t[~dense], o[~dense], w[~dense]
         order = np.argsort(t, kind="stable")
-        self.owner, self.weight = self.owner[order], self.weight[order]
+        self.owner, self.weight = o[order], w[order]
         self.ends = np.r_[0, np.cumsum(np.bincount(t, minlength=len(idf)))]
-        self.size = len(docs)
+        self.terms = [x[row[x] < 0] for x in terms]
 
     def scores(self, k: int) -> np.ndarray:
         t = self.terms[k]
         low, n = self.ends[t], self.ends[t + 1] - self.ends[t]
-        at = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        return np.bincount(self.owner[at], self.weight[at], self.size)
+        at = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(t) else np.zeros(0, np.int64)
+        return self.dense[k] + np.bincount(self.owner[at], self.weight[at], self.size)
 
 
 class Windows:
@@ -129,7 +138,7 @@ def pack_documents(df: DataFrame, vocab: str, window: int = 2048, end_id: int =
     end = np.uint32(end_id).tobytes()
 
     def make():
-        bpe = ChunkBpe(vocab)
+        bpe = rank_bpe(vocab)
         return lambda t: bpe.encode(t) + end
 
     from tokenizers import Tokenizer

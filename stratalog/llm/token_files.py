@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .arrow import map_texts, stored, two
-from .tokens import WordBpe
+from .tokens import word_bpe
 
 MAGIC = b"STK1"
 BLOCK = 1 << 18
@@ -102,7 +102,7 @@ def packed_ids(df: DataFrame, make, id_col: str, text_col: str, extra: str = "",
         def f(ids, texts):
             raw = [encode(t) for t in texts]
             small = [np.frombuffer(x, "<u4") for x in raw]
-            cols = [pa.array(ids, pa.int64()), pa.array([len(x) for x in small], pa.int64()), pa.array([z.compress(x.view(np.uint8).reshape(-1, 4).T.tobytes()) for x in small], pa.binary())]
+            cols = [pa.array(ids, pa.int64()), pa.array([len(x) for x in small], pa.int64()), pa.array([z.compress(squeezed(x)) for x in small], pa.binary())]
             return pa.RecordBatch.from_arrays([*cols, *([more(small)] if more else [])], ["doc_id", "n", "ids", *([extra.split()[0]] if extra else [])])
 
         return f
@@ -110,10 +110,15 @@ def packed_ids(df: DataFrame, make, id_col: str, text_col: str, extra: str = "",
     return map_texts(two(df, id_col, text_col), ready, schema)
 
 
+def squeezed(ids: np.ndarray) -> bytes:
+    """Ids in two bytes each where they fit, else four; the last byte says which."""
+    return ids.astype("<u2").tobytes() + b"2" if not len(ids) or ids.max() < 1 << 16 else ids.astype("<u4").tobytes() + b"4"
+
+
 def unpacked(blob: bytes, z: zstandard.ZstdDecompressor) -> np.ndarray:
     """Inverse of packed_ids for one document."""
-    planes = np.frombuffer(z.decompress(blob), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view("<u4")
+    data = z.decompress(blob)
+    return np.frombuffer(memoryview(data)[:-1], "<u" + chr(data[-1])).astype("<u4")
 
 
 def id_counts(encoded: DataFrame, vocabulary: int, documents: bool = False) -> np.ndarray:
@@ -124,7 +129,14 @@ def id_counts(encoded: DataFrame, vocabulary: int, documents: bool = False) -> n
         for batch in batches:
             for blob in batch.column(0):
                 x = unpacked(blob.as_py(), z)
-                c += np.bincount(np.unique(x) if documents else x, minlength=vocabulary)
+                if not documents:
+                    c += np.bincount(x, minlength=vocabulary)
+                elif len(x) < 1000:
+                    c[np.unique(x)] += 1
+                else:
+                    present = np.zeros(vocabulary, bool)
+                    present[x] = True
+                    c += present
         at = np.flatnonzero(c)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], ["id", "c"])
 
@@ -139,7 +151,7 @@ def write_token_files(df: DataFrame, vocab: str, out_dir: str, end_id: int = 2,
     end = np.uint32(end_id).tobytes()
 
     def make():
-        bpe = WordBpe(vocab)
+        bpe = word_bpe(vocab)
         return lambda t: bpe.encode(t) + end
 
     from tokenizers import Tokenizer

@@ -14,6 +14,7 @@ import json
 import re
 import unicodedata
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from .arrow import map_texts, two
 
 #: Entries of a worker's cache; it is emptied when full.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 600_000
 #: Longer chunks are encoded but not kept.
 CACHE_CHARS = 64
 #: Below this code point the classes L and N of all Unicode versions in use agree.
@@ -185,7 +186,7 @@ def lists(parts: list[bytes]) -> pa.ListArray:
 def encode_documents(df: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): the ids of each whole text; null and empty texts have none. Repeated rows stay."""
     def make():
-        bpe = ForcedBoundaryBpe(vocab)
+        bpe = forced_boundary(vocab)
 
         def f(ids, texts):
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists([bpe.encode(t) for t in texts])], ["doc_id", "ids"])
@@ -198,7 +199,7 @@ def encode_documents(df: DataFrame, vocab: str, id_col: str = "doc_id", text_col
 def decode_documents(df: DataFrame, vocab: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, ids, text): the text of each list of ids; null lists give empty texts. Bytes that aren't UTF-8 become U+FFFD."""
     def run(batches):
-        bpe = ForcedBoundaryBpe(vocab)
+        bpe = forced_boundary(vocab)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
@@ -207,8 +208,8 @@ def decode_documents(df: DataFrame, vocab: str, id_col: str = "doc_id", ids_col:
     return df.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"`{ids_col}` AS ids").mapInArrow(run, "doc_id bigint, ids array<int>, text string")
 
 
-class ChunkBpe:
-    """The same ids as ForcedBoundaryBpe, for operators that only need them fast: each distinct word is encoded once, by the rank form of the vocabulary."""
+class RankBpe:
+    """The same ids as ForcedBoundaryBpe, for operators that only need them fast: by the rank form of the vocabulary, over whole texts. Texts with special tokens, or with letters that Unicode versions class differently, go the exact way."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -217,18 +218,26 @@ class ChunkBpe:
         special = set(self.exact.special.values())
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks={b: i for i, b in enumerate(self.exact.bytes_of) if i not in special}, special_tokens={})
-        self.chunks = Memo(self._chunk)
-
-    def _chunk(self, w: str) -> bytes:
-        s = w if w[:1] == "\n" else " " + w
-        if "<|" in s or FAR.search(s):
-            return self.exact._loose(s)
-        return array("I", self.ranks.encode_ordinary(s)).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if LOOSE.search(text) or "<|" in text:
-            return self.exact._loose(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return self.exact._loose(first) + b"".join(map(self.chunks.__getitem__, rest))
+        if "<|" in text or FAR.search(text):
+            return self.exact.encode(text)
+        return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+
+
+# A worker process serves many tasks: it loads a vocabulary once and keeps its bounded caches.
+@lru_cache(maxsize=2)
+def forced_boundary(path: str) -> ForcedBoundaryBpe:
+    return ForcedBoundaryBpe(path)
+
+
+@lru_cache(maxsize=2)
+def rank_bpe(path: str) -> RankBpe:
+    return RankBpe(path)
+
+
+@lru_cache(maxsize=2)
+def word_bpe(path: str) -> WordBpe:
+    return WordBpe(path)
