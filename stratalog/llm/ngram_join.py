@@ -36,7 +36,7 @@ from .graphs import connected_components
 from .words import Words, grams, shared_words
 
 #: Buckets of the sketch, and the slices it is summed in.
-BUCKETS, SLICES = 1 << 21, 64
+BUCKETS, SLICES = 1 << 23, 64
 #: A candidate component of more sets or n-grams is joined in the cluster.
 GROUP_SETS, GROUP_GRAMS = 20_000, 12_000_000
 #: Bins of the suffix filter within a component, and of the one over postings, which must tell long texts apart too.
@@ -75,7 +75,7 @@ def profiles(df: DataFrame, n: int, id_col: str, text_col: str) -> tuple[DataFra
     """(doc_id, n, g1, g2, sig) of all rows, and the level of each bucket: the power of two by which its n-grams are more frequent than the mean."""
 
     def run(batches):
-        words, counts = shared_words(), np.zeros(BUCKETS, np.uint32)
+        words, counts, held, size = shared_words(), np.zeros(BUCKETS, np.uint32), [], 0
         for batch in batches:
             for part in slices(batch, 1):
                 rows, sets = [], []
@@ -83,10 +83,16 @@ def profiles(df: DataFrame, n: int, id_col: str, text_col: str) -> tuple[DataFra
                     s = shingles(words, t, n)
                     sets.append(s)
                     rows.append((len(s), *(digest(s) if len(s) else (None, None))))
-                counts += np.bincount((np.concatenate(sets) >> _SHIFT).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
+                held += sets
+                size += sum(map(len, sets))
+                if size > 4_000_000:
+                    counts += np.bincount((np.concatenate(held) >> _SHIFT).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
+                    held, size = [], 0
                 k = len(rows)
                 sig = pa.array([np.minimum(binned(s, POSTING_BINS), 255).astype(np.uint8).tobytes() for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), pa.nulls(k, pa.int32()), sig], ["doc_id", "n", "g1", "g2", "slice", "sig"])
+        if size:
+            counts += np.bincount((np.concatenate(held) >> _SHIFT).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
         z, own = zstandard.ZstdCompressor(level=1), counts.reshape(SLICES, -1)
         none = pa.nulls(SLICES, pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(SLICES), pa.int32()), pa.array([z.compress(x.tobytes()) for x in own], pa.binary())], ["doc_id", "n", "g1", "g2", "slice", "sig"])
@@ -94,6 +100,9 @@ def profiles(df: DataFrame, n: int, id_col: str, text_col: str) -> tuple[DataFra
     # A task's counters come as rows of their own, told apart by ``slice``.
     both = stored(two(df, id_col, text_col).mapInArrow(run, "doc_id bigint, n bigint, g1 bigint, g2 bigint, slice int, sig binary"), "ngram-profiles")
 
+    docs = both.where("slice IS NULL")
+    mean = max(1.0, (docs.agg(F.sum("n")).first()[0] or 0) / BUCKETS)
+
     def total(batches):
         sums: dict[int, np.ndarray] = {}
         z = zstandard.ZstdDecompressor()
@@ -101,14 +110,13 @@ def profiles(df: DataFrame, n: int, id_col: str, text_col: str) -> tuple[DataFra
             for k, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 x = np.frombuffer(z.decompress(blob.as_py()), np.uint32).astype(np.uint64)
                 sums[k] = sums[k] + x if k in sums else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "counts"])
+        own = [np.floor(np.log2(np.maximum(x / mean, 1))).astype(np.uint8).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(own, pa.binary())], ["slice", "level"])
 
-    counts = np.zeros((SLICES, BUCKETS // SLICES), np.uint64)
-    for r in both.where("slice IS NOT NULL").select("slice", F.col("sig").alias("counts")).repartition(SLICES // 4, "slice").mapInArrow(total, "slice int, counts binary").collect():
-        counts[r.slice] = np.frombuffer(r.counts, np.uint64)
-    mean = max(1.0, float(counts.sum()) / BUCKETS)
-    levels = np.floor(np.log2(np.maximum(counts.reshape(-1) / mean, 1))).astype(np.uint8)
-    return both.where("slice IS NULL").select("doc_id", "n", "g1", "g2", "sig"), levels
+    levels = np.zeros((SLICES, BUCKETS // SLICES), np.uint8)
+    for r in both.where("slice IS NOT NULL").select("slice", "sig").repartition(SLICES // 4, "slice").mapInArrow(total, "slice int, level binary").collect():
+        levels[r.slice] = np.frombuffer(r.level, np.uint8)
+    return docs.select("doc_id", "n", "g1", "g2", "sig"), levels.reshape(-1)
 
 
 def prefixes(df: DataFrame, levels: np.ndarray, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
@@ -272,7 +280,8 @@ def _sets(df: DataFrame, members: DataFrame, n: int, id_col: str, text_col: str)
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i == 4 else pa.int64()) for i in range(5)], ["comp", "doc_id", "g1", "g2", "grams"])
 
     texts = two(df, id_col, text_col).withColumn("d", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    return texts.join(members.withColumnRenamed("doc_id", "rep").withColumn("d", F.coalesce("rep", F.lit(-(1 << 63)))), "d").select("doc_id", "text", "comp", "m1", "m2").mapInArrow(run, "comp bigint, doc_id bigint, g1 bigint, g2 bigint, grams binary")
+    # By a merge at every size: whether members can be broadcast depends on the input.
+    return texts.join(members.withColumnRenamed("doc_id", "rep").withColumn("d", F.coalesce("rep", F.lit(-(1 << 63)))).hint("merge"), "d").select("doc_id", "text", "comp", "m1", "m2").mapInArrow(run, "comp bigint, doc_id bigint, g1 bigint, g2 bigint, grams binary")
 
 
 def _small(sets: DataFrame, num: int, den: int) -> DataFrame:
