@@ -4,7 +4,10 @@ Values are found by pattern and validated: card numbers by their check digit,
 account numbers by theirs, dates by the calendar, addresses by their parts. Each
 is mapped by a keyed Feistel permutation of the set of values of its own format,
 so the result is valid in that format, equal values stay equal in every document,
-and the key inverts it. What fails validation stays as it is.
+and the key inverts it. A match that fails validation is tried again by its shorter
+prefixes at group ends, by the other kinds, and from its later groups; there a card
+must be grouped and begin as cards do, for a tenth of all numbers pass its check.
+What fails all of this stays as it is.
 
 Null texts stay null. Rows are handled each by itself.
 """
@@ -84,13 +87,20 @@ PATTERNS = {
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "secret": r"(?i:(?<![a-z0-9])(?:password|passwd|pwd|secret|api[_-]?key|access[_-]?token|auth[_-]?token|token)\s?[=:]\s?[\"']?)[A-Za-z0-9_+/.-]{8,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
+    "phone": r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,9}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
     "date": r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w-]|[/.]\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)",
 }
-DIGIT_KINDS = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items() if k not in ("email", "secret")))
+DIGIT_PATTERNS = {k: re.compile(p) for k, p in PATTERNS.items() if k not in ("email", "secret")}
+DIGIT_KINDS = re.compile("|".join(f"(?P<{k}>{p.pattern})" for k, p in DIGIT_PATTERNS.items()))
+#: Cards as they are usually grouped.
+CARD = re.compile(r"(?=[3-6]|2[2-7])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,4}(?:\1\d{1,3})?|\d{4}([ -])\d{6}\2\d{4,5})")
+#: International numbers in three groups after the country's.
+THREE = re.compile(r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}")
+#: Digits after the code of countries where their number is fixed.
+NATIONAL = {"1": (10,), "7": (10,), "30": (10,), "31": (9,), "32": (9, 8), "33": (9,), "34": (9,), "41": (9,), "44": (10, 9), "45": (8,), "47": (8,), "48": (9,), "351": (9,), "420": (9,)}
 OTHER = re.compile("|".join(f"(?P<{k}>{PATTERNS[k]})" for k in ("email", "secret")))
 SECRET_VALUE = re.compile(r"[=:]\s?[\"']?(.*)\Z", re.S)
 HAS_DIGITS = re.compile(r"\d\d|\d[/.]")
@@ -184,18 +194,62 @@ class Pseudonyms:
         body = self._number(digits[:-1], "card")
         return _refill(value, body + luhn(body))
 
+    @staticmethod
+    def _ends(kind: str, text: str, i: int, end: int) -> list[int]:
+        """Where a value of a kind may end, best first: the match's end and the group ends before it."""
+        if kind not in ("card", "iban", "phone"):
+            return [end]
+        ends = [end, *(k for k in range(end - 1, i, -1) if not text[k].isalnum() and text[k] != ")" and (text[k - 1].isalnum() or text[k - 1] == ")"))]
+        if kind != "phone" or text[i] != "+":
+            return ends
+        size = {k: sum(c.isdigit() for c in text[i:k].replace("(0)", "")) for k in ends}
+        lead = re.match(r"\d{1,3}(?=[ .(-])", text[i + 1 : end])
+        codes = [lead[0]] if lead else [text[i + 1 : i + 1 + n] for n in (3, 2, 1)]
+        fixed = [k for c in codes for n in NATIONAL.get(c, ()) for k in ends if size[k] == len(c) + n]
+        return [*fixed, *(k for k in ends if THREE.fullmatch(text, i, k)), *ends]
+
+    def _at(self, text: str, i: int, inner: bool) -> tuple[str, int, str] | None:
+        """(kind, end, pseudonym) of the value that begins here; ``inner`` if a card that failed covers the place."""
+        for kind, pattern in DIGIT_PATTERNS.items():
+            if not (m := pattern.match(text, i)):
+                continue
+            for j in self._ends(kind, text, i, m.end()):
+                if j < m.end() and not pattern.fullmatch(text, i, j) or kind == "card" and (inner or j < m.end()) and not CARD.fullmatch(text, i, j):
+                    continue
+                if (new := self.of(kind, text[i:j])) is not None:
+                    return kind, j, new
+        return None
+
+    def _digit_values(self, text: str, others: list[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
+        """Values with digits but those that one of the others covers."""
+        found, at, failed, k = [], 0, 0, 0
+        while m := DIGIT_KINDS.search(text, at):
+            i = m.start()
+            hit = self._at(text, i, i < failed)
+            while k < len(others) and others[k][2] <= i:
+                k += 1
+            if hit and k < len(others) and (others[k][1], -others[k][2]) < (i, -hit[1]):
+                at = others[k][2]
+            elif hit:
+                found.append((hit[0], i, hit[1], hit[2]))
+                at = hit[1]
+            else:
+                failed = max(failed, m.end()) if m.lastgroup == "card" else failed
+                at = i + 1
+        return found
+
     def replace(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
         """The text with pseudonyms, and (kind, start, end) of each in the new text."""
         found = []
         if HAS_OTHER.search(text):
-            found += [(m.lastgroup, m.start(), m.end()) for m in OTHER.finditer(text)]
+            found = [(m.lastgroup, m.start(), m.end(), new) for m in OTHER.finditer(text) if (new := self.of(m.lastgroup, m[0])) is not None]
         if HAS_DIGITS.search(text):
-            found += [(m.lastgroup, m.start(), m.end()) for m in DIGIT_KINDS.finditer(text)]
+            found += self._digit_values(text, found)
         if not found:
             return text, []
         out, spans, at, size = [], [], 0, 0
-        for kind, i, j in sorted(found, key=lambda x: (x[1], -x[2])):
-            if i < at or (new := self.of(kind, text[i:j])) is None:
+        for kind, i, j, new in sorted(found, key=lambda x: (x[1], -x[2])):
+            if i < at:
                 continue
             out += [text[at:i], new]
             size += i - at

@@ -168,6 +168,24 @@ def test_pseudonyms_keep_formats():
         assert p.replace(same) == (same, [])
 
 
+def test_pseudonyms_of_values_beside_others():
+    """A value stays one when digits or words stand beside it."""
+    p = pii.Pseudonyms(b"k")
+    card, iban = p.replace("4111 1111 1111 1111")[0], p.replace("ES91 2100 0418 4502 0005 1332")[0]
+    for rest in (" 12/27", " 123", " 123 456", "-123"):
+        assert p.replace("4111 1111 1111 1111" + rest)[0] == card + rest
+    assert p.replace("77 4111 1111 1111 1111")[0] == "77 " + card
+    for rest in (" BIC", " BANK", " 7", ""):
+        assert p.replace("ES91 2100 0418 4502 0005 1332" + rest)[0] == iban + rest
+    for number in ("+33 1 23 45 67 89", "+34 612 34 56 78", "+33.1.23.45.67.89", "+49 30 1234 567", "+33 (0)1 23 45 67 89", "+55 11 9 1234 5678"):
+        new, spans = p.replace(number)
+        assert [x[0] for x in spans] == ["phone"] and new != number and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", number) and new[:3] == number[:3]
+        if number.startswith("+3"):
+            assert p.replace(number + " 12 rue")[0] == new + " 12 rue"
+    for same in ("10 20 30 40 50 60 70 80 90 11", "1990 1991 1992 1993 1994 1995 1996 1997", "+1 2"):
+        assert p.replace(same) == (same, [])
+
+
 def test_pseudonymise_rows(table, docs, nothing):
     got = {(r.doc_id, r.text) for r in pii.pseudonymise(table, b"k", carry=["lang", "n"]).collect()}
     assert len(got) == len(set(docs)) and (0, None) in got and not any(t and "a.b@c.org" in t for _, t in got)
