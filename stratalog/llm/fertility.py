@@ -11,7 +11,10 @@ Each language has a typical fertility and a typical entropy, which grows with th
 logarithm of the tokens; both were fitted on labelled good texts and are fixed
 values. Fertility is judged by its distance times the root of the tokens, so that
 short texts may vary more. A text outside a band is rejected, as is one (of 120 tokens or more) that is
-near the lower edge of two of them. Other languages, and null, get ``*``.
+near the lower edge of two of them. Codes are lower-cased and cut at '-' or '_'. With
+another code, or none, a text of Latin letters must pass the bands of a language whose
+function words it has (of any fitted language where it has none), which also
+rejects good texts of Latin languages far from all of these; one of other scripts gets ``*``.
 
 Base rules come first: too few words, or too many in repeated 8-word windows.
 A null text has no words. Rows are judged each by itself.
@@ -19,6 +22,7 @@ A null text has no words. Rows are judged each by itself.
 
 from __future__ import annotations
 
+import re
 from array import array
 from functools import lru_cache
 
@@ -43,6 +47,17 @@ TYPICAL = {
 #: Least and greatest distance of fertility, least distance of entropy, both where a text is near two edges, greatest byte-fallback share.
 BAND = {"fertility": (-5.5, 6.0), "entropy": -1.25, "near": (-2.2, -0.35), "bytes": 0.30}
 WIDE = {"fertility": (-30.0, 60.0), "entropy": -2.5, "near": (-15.0, -1.5), "bytes": 0.60}
+#: Frequent words that tell the fitted languages apart.
+FUNCTION_WORDS = {
+    "en": "the of and to is was for that with it as on be by this are from at or you his which not have",
+    "fr": "le la les des et est une un du que dans pour qui sur pas au avec ce il par ne se sont plus",
+    "de": "der die und das den von zu mit ist des im dem nicht ein eine auf für als auch es sich werden bei oder",
+    "es": "el la los las y que del se una por con un para es su al lo como más no sus o fue ha",
+}
+SPEAKS = {k: {w.encode() for w in v.split()} for k, v in FUNCTION_WORDS.items()}
+LATIN = re.compile(r"[A-Za-z\u00AA\u00BA\u00C0-\u024F\u1E00-\u1EFF]")
+CODE_END = re.compile("[-_]")
+LETTER = re.compile(r"[^\W\d_]")
 SCHEMA = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, n_tokens bigint, chars_per_token double, byte_share double, entropy double, kept boolean"
 
 
@@ -87,6 +102,17 @@ def passes(tokens: int, per: float, share: float, entropy: float, typical: tuple
     return bool(band["fertility"][0] <= f <= band["fertility"][1] and e >= band["entropy"] and not near and share <= band["bytes"])
 
 
+def candidates(t: str, typical: dict) -> list[str]:
+    """The keys of ``typical`` whose bands judge a text of no known language: one of them must accept it."""
+    fitted = [k for k in typical if k != "*"]
+    if not fitted or 2 * len(LATIN.findall(t)) < len(LETTER.findall(t)):
+        return ["*"]
+    words = WORD.findall(t.lower().encode("utf-8", "surrogatepass"))
+    n = {k: sum(map(SPEAKS[k].__contains__, words)) for k in fitted if k in SPEAKS}
+    most = max(n.values(), default=0)
+    return [k for k in n if 2 * n[k] >= most] if most else fitted
+
+
 def quality(df: DataFrame, vocab: str, typical: dict[str, tuple[float, float, float]] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
     """A row for each row: the counts, the measures and the verdict ``kept``."""
     typical = typical or TYPICAL
@@ -113,8 +139,9 @@ def quality(df: DataFrame, vocab: str, typical: dict[str, tuple[float, float, fl
                             repeat = int(covered(np.flatnonzero(twice), n, 8).sum())
                     failed = n < min_words or 100 * repeat > max_repeat_percent * n
                     tokens, per, share, entropy = measures(pieces, words, chars)
-                    known = lang if lang in typical else "*"
-                    kept = not failed and passes(tokens, per, share, entropy, typical[known], WIDE if known == "*" else BAND)
+                    code = CODE_END.split((lang or "").strip().lower())[0]
+                    known = [code] if code in typical and code != "*" else [] if failed else candidates(t, typical)
+                    kept = not failed and any(passes(tokens, per, share, entropy, typical.get(k, TYPICAL["*"]), WIDE if k == "*" else BAND) for k in known)
                     rows.append((d, n, chars, sum(map(t.count, SYMBOLS)), len(lines) - len(set(lines)), repeat, failed, tokens, per, share, entropy, kept))
                 kinds = [pa.int64()] * 6 + [pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)

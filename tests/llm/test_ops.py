@@ -263,6 +263,21 @@ def test_quality_verdicts_on_labelled_rows(spark):
     assert share[1] > 0.97 and share[0] < 0.3
 
 
+def test_quality_verdicts_without_a_language(spark):
+    """Most bad texts go where the language isn't given either, codes may be written otherwise, and other scripts stay."""
+    at = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    kept = lambda lang: {(r.doc_id, r.kept) for r in fertility.quality(docs.withColumn("lang", lang), PIECE).collect()}
+    assert kept(F.concat(F.upper("lang"), F.lit("-XX"))) == kept(F.col("lang"))
+    for lang in (F.lit(None).cast("string"), F.lit("xx")):
+        got = fertility.quality(docs.withColumn("lang", lang), PIECE).where("n_words >= 20").join(labels, "doc_id")
+        share = {r.quality: r.share for r in got.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("share")).collect()}
+        assert share[1] > 0.97 and share[0] < 0.4
+    russian = "В начале было слово и это слово знали все люди которые жили тогда у большой реки за высокими горами далеко на севере страны"
+    df = spark.createDataFrame([(1, russian, None)], "doc_id bigint, text string, lang string")
+    assert fertility.quality(df, PIECE).first().kept
+
+
 def test_packing_places_every_id_once(spark, table, docs, nothing):
     from tokenizers import Tokenizer
 
