@@ -1,7 +1,8 @@
 """A corpus pipeline: each stage reads what its predecessor wrote and works on all of it.
 
 All stages but the last return the columns of documents. A stage keeps whole
-rows or changes their texts; n_chars follows the text.
+rows or changes their texts; n_chars follows the text. Verdicts belong to rows,
+not to ids: doc_id may be null or repeated, with the same text or another.
 """
 
 from __future__ import annotations
@@ -15,12 +16,18 @@ from stratalog.llm.queries import KEY, LANGUAGES, vocabulary
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a hash of all their columns, ``row``: only equal rows share it, and no copy of the texts is written."""
+    return docs.select(F.xxhash64(*(x for c in COLUMNS for x in (F.col(c), F.col(c).isNull()))).alias("row"), *COLUMNS)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no known language explains go."""
     model = language.train(docs, LANGUAGES)
-    found = language.identify(docs, model, LANGUAGES, id_col="doc_id", text_col="text", declared_col="lang", host_col="source")
-    rejected = found.where(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+    rows = keyed(docs)
+    found = language.identify(rows, model, LANGUAGES, id_col="row", text_col="text", declared_col="lang", host_col="source")
+    rejected = found.where(~F.col("kept")).select(F.col("id").alias("row")).distinct()  # equal rows have equal verdicts
+    return rows.join(rejected, "row", "left_anti").select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,10 +37,14 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one of the least doc_id; five words and a similarity of 0.8."""
-    groups = ngram_join.ngram_components(docs)
-    extra = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(extra, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group stays, one of the least doc_id (null only where all are); five words and a similarity of 0.8. Rows without words all stay."""
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = keyed(docs).where(worded)
+    groups = ngram_join.ngram_components(rows, id_col="row").select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    kept = groups.distinct().join(rows.select("row", "doc_id").distinct(), "row").groupBy("component").agg(F.min(rank).alias("least")).select("least.row")
+    one = rows.withColumn("check", F.hash("text")).join(kept, "row", "left_semi").dropDuplicates(["row", "check"])  # of equal rows too
+    return one.select(*COLUMNS).union(docs.where(~worded).select(*COLUMNS))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

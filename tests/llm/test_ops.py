@@ -390,3 +390,23 @@ def test_pipeline(spark, sf):
     assert all(d == c for d, n, c in groups if n)
     pieces = corpus_pipeline.pack(spark, kept, sf)
     assert pieces.select("doc_id").distinct().count() == kept.count()
+
+
+def test_pipeline_verdicts_belong_to_rows(spark, sf):
+    """Null and repeated ids, with the same text and with another."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    r = random.Random(5)
+    say = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(40))
+    a, b, c, d, e = (say() for _ in range(5))
+    more = [(None, a), (None, a), (None, a), (-1, b), (-1, b), (-2, c), (-3, c), (-2, d), (None, e), (-9, e), (None, ""), (None, "")]
+    table = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in more], docs.schema).repartition(3)
+    got = corpus_pipeline.join_near_duplicates(spark, table, sf)
+    assert rows(got, "doc_id", "text") == srt([(None, a), (-1, b), (-3, c), (-2, d), (-9, e), (None, ""), (None, "")])
+
+    good, junk = docs.where("lang = 'en' AND length(text) > 400").first(), "東京都は日本の首都です。" * 30
+    own = [(None, junk), (-5, junk), (-5, good.text), (None, good.text), (-5, good.text)]
+    odd = spark.createDataFrame([(i, x, None, None, len(x)) for i, x in own], docs.schema)
+    got = corpus_pipeline.identify_language(spark, docs.union(odd), sf).where("doc_id IS NULL OR doc_id < 0")
+    assert rows(got, "doc_id", "text") == srt([(-5, good.text), (None, good.text), (-5, good.text)])
