@@ -1,4 +1,4 @@
-"""Substring deduplication by seed and extend.
+"""Substring deduplication by seeds and window hashes.
 
 Seeds: winnowing keeps the least of every run of adjacent k-word hashes, so that
 two texts that share ``window`` consecutive words share a seed inside them.
@@ -6,9 +6,10 @@ Texts of equal words are one class; those beyond its least doc_id repeat it whol
 and a task searches one of them at most unless a lesser doc_id comes later. Seeds are joined across documents; one that occurs in no
 two documents is dropped.
 
-Extend: each shared seed is extended to the left and right to every window of
-``window`` words whose seed it is, and a window is a repeat where an equal one
-starts in a document with a smaller doc_id. Repeats that touch
+Windows: shared seeds only prefilter. Every window of ``window`` words whose seed
+is shared is hashed, windows are grouped by hash instead of extending pairs of
+documents, whose number grows with the square of a passage's holders, and a window
+is a repeat where an equal one starts in a document with a smaller doc_id. Repeats that touch
 make one maximal repeat, a span over the length threshold.
 
 Keys that hold many rows (found on a sample, which only steers the plan) take a
