@@ -107,6 +107,34 @@ def test_components_equal_brute_force(table, docs, nothing, limit):
     assert ngram_join.ngram_components(nothing).count() == 0
 
 
+@pytest.mark.parametrize("hot,posting,limit", [(1, 5000, 1), (1, 5000, 20000), (10**9, 1, 1), (10**9, 1, 20000), (3, 2, 1)])
+def test_hot_and_large_postings(spark, table, docs, monkeypatch, hot, posting, limit):
+    """With n-grams dealt as hot ones, postings over the size of a task, and large components, in blocks of few members."""
+    monkeypatch.setattr(ngram_join, "HOT_DOCS", hot)
+    monkeypatch.setattr(ngram_join, "HOT_TIMES", 1)
+    monkeypatch.setattr(ngram_join, "POSTING", posting)
+    monkeypatch.setattr(ngram_join, "ROUNDS", 1)
+    monkeypatch.setattr(ngram_join, "BLOCK", 2)
+    got = ngram_join.ngram_components(table, 4, 85, 100, group_sets=limit)
+    assert rows(got, "doc_id", "n_shingles", "component_id") == srt(brute.components(docs, 4, 85, 100))
+
+
+def test_postings_of_copies_in_several_tasks(spark):
+    """A table and the same table twice give the same postings."""
+    r = random.Random(11)
+    texts = [" ".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=12)) for _ in range(60)]
+    docs = [(i, t) for i, t in enumerate(x for t in texts for x in (t, t + " z"))]
+
+    def keys(data, parts):
+        df = spark.createDataFrame(data, "doc_id bigint, text string").repartition(parts)
+        _, levels, hot = ngram_join.profiles(df, 4, "doc_id", "text")
+        shared = ngram_join.shared_postings(ngram_join.prefixes(df, levels, hot, 4, 85, 100, "doc_id", "text"))
+        return srt((x.h, x.g, x.key) for x in shared.collect())
+
+    once = keys(docs, 1)
+    assert once and len({k for _, _, k in once}) > 30 and keys([*docs, *((i + 1000, t) for i, t in docs)], 2) == once
+
+
 def test_exact_join_of_random_sets():
     r = random.Random(3)
     for _ in range(60):
