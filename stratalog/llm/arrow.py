@@ -9,13 +9,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Characters handled at once: bounds a worker's memory whatever the rows of a batch hold.
+#: Bytes of text handled at once. The batch itself is bounded by spark.sql.execution.arrow.maxRecordsPerBatch and maxBytesPerBatch, and by one row at least.
 SLICE_CHARS = 4 << 20
 
 
 def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
-    """Cut a record batch so that the texts of each part have about ``limit`` bytes (one row at least)."""
-    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    """Cut a record batch so that the texts of each part have about ``limit`` bytes (one row at least). An integer column gives the bytes itself."""
+    c = batch.column(column)
+    size = pc.fill_null(c if pa.types.is_integer(c.type) else pc.binary_length(c), 0).to_pylist()
     start = total = 0
     for i, n in enumerate(size):
         if total and total + n > limit:
@@ -44,8 +45,12 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list, list], pa.Record
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; only where that is unset (tests), a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/stratalog-checkpoints"
+    """A new folder below spark.checkpoint.dir, which all executors share; where that is unset, a local one, on one machine only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "/tmp/stratalog-checkpoints"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

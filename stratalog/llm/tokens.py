@@ -209,7 +209,7 @@ def decode_documents(df: DataFrame, vocab: str, id_col: str = "doc_id", ids_col:
 
 
 class RankBpe:
-    """The same ids as ForcedBoundaryBpe, for operators that only need them fast: by the rank form of the vocabulary, over whole texts. Texts with special tokens, or with letters that Unicode versions class differently, go the exact way."""
+    """The same ids as ForcedBoundaryBpe, for operators that only need them fast: by the rank form of the vocabulary, over whole texts. Texts with special tokens, with letters that Unicode versions class differently, or with very long runs of blanks go the exact way."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -224,7 +224,10 @@ class RankBpe:
             return b""
         if "<|" in text or FAR.search(text):
             return self.exact.encode(text)
-        return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        try:
+            return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        except ValueError:  # a run of blanks too long for the pattern's stack
+            return self.exact.encode(text)
 
 
 # A worker process serves many tasks: it loads a vocabulary once and keeps its bounded caches.
