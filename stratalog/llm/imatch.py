@@ -8,12 +8,15 @@ share. The likeness of two fingerprints is the share of agreeing subsets, of
 those in which either text has a term.
 
 The lexicon's size is bounded by the mean number of terms of a document over the
-lower bound, whatever the number of documents; LEXICON is checked.
+lower bound, whatever the number of documents. Where documents are so long that the
+band holds more than LEXICON terms, its lower bound rises until no more are left.
 
 Null and empty texts have no terms; a text without terms of the lexicon is
 fingerprinted by all its terms and agrees only with equal ones. The next document
-is the one of the next smaller doc_id, repeated ids in the order of their texts,
-nulls last; after the last comes the first, so a single row follows itself.
+is the one of the next smaller doc_id, repeated ids in the order of a hash of their
+texts, nulls last; after the last comes the first, so a single row follows itself.
+An empty table gives no rows. Texts are taken whole; a worker holds the rows of a
+slice and one more.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .arrow import slices, two
+from .arrow import slices, stored, two
 from .words import mixed
 
 TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -35,8 +38,8 @@ RATES = (0.5,) * 4 + (0.05,) * 8 + (0.01,) * 16 + (0.004,) * 18 + (0.0015,) * 18
 #: Bounds of the share of documents that hold a term, and the size the lexicon never has.
 BAND, LEXICON = (0.001, 0.3), 2_000_000
 LEAST = -(1 << 63)
-#: Rows of a bucket of consecutive documents, and the most buckets.
-BUCKET_ROWS, BUCKETS = 4000, 10_000
+#: Rows of a bucket of consecutive documents, the most buckets, and rows of each in the sample that bounds them.
+BUCKET_ROWS, BUCKETS, SAMPLED = 4000, 100_000, 20
 
 
 def terms(text: str) -> np.ndarray:
@@ -74,10 +77,19 @@ def lexicon(df: DataFrame, band: tuple[float, float] = BAND, text_col: str = "te
 
     texts = df.select(F.col(text_col).cast("string").alias("text"))
     n = df.count()
-    found = texts.mapInArrow(run, "term bigint, c bigint").groupBy("term").agg(F.sum("c").alias("c")).where((F.col("c") >= band[0] * n) & (F.col("c") <= band[1] * n)).select("term").limit(LEXICON + 1).collect()
-    if len(found) > LEXICON:
-        raise ValueError(f"over {LEXICON} terms are in the band; raise its lower bound")
-    return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
+    inside = (F.col("c") >= band[0] * n) & (F.col("c") <= band[1] * n)
+    found = stored(texts.mapInArrow(run, "term bigint, c bigint").groupBy("term").agg(F.sum("c").alias("c")).where(inside), "lexicon")
+    if found.count() > LEXICON:
+        step = F.floor(F.log2(F.col("c").cast("double")) * 64)  # some thousand steps of frequency
+        steps = found.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()
+        room, least = LEXICON, 1 << 40
+        for r in steps:
+            room -= r["count"]
+            if room < 0:
+                break
+            least = r.step
+        found = found.where(step >= least)
+    return np.sort(found.select("term").toArrow().column(0).to_numpy().view(np.uint64))  # LEXICON at most
 
 
 class Fingerprinter:
@@ -112,38 +124,63 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+class Buckets:
+    """Consecutive ranges of rows in ascending order of (a, x), by sampled bounds."""
+
+    def __init__(self, a: np.ndarray, x: np.ndarray):
+        self.a, self.x = a, x
+
+    def of(self, a: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """How many bounds are not above each row."""
+        low, high = np.searchsorted(self.a, a), np.searchsorted(self.a, a, "right")
+        for v in np.unique(a[low < high]):  # bounds of one id
+            at = np.flatnonzero(a == v)
+            i, j = low[at[0]], high[at[0]]
+            low[at] += np.searchsorted(self.x[i:j], x[at], "right")
+        return low.astype(np.int32)
+
+
 def _in_order(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(bucket, halo, d, doc_id, text), by bucket in descending order of d; after each bucket, the first row of the next one."""
-    rows = two(df, id_col, text_col).withColumn("d", F.coalesce("doc_id", F.lit(LEAST)))
-    n = df.count()
+    """(bucket, halo, a, x, doc_id, text), by bucket in descending order of doc_id; after each bucket, the first row of the next one. Bounds are of (id, text hash), so that a repeated or null id may take many buckets."""
+    rows = two(df, id_col, text_col).select(F.bitwise_not(F.coalesce("doc_id", F.lit(LEAST))).alias("a"), F.xxhash64("text").alias("x"), "doc_id", "text")
+    keys = stored(rows.select("a", "x"), "imatch-order")
+    n = keys.count()
     parts = max(1, min(-(-n // BUCKET_ROWS), BUCKETS))
-    at = rows.select("d").approxQuantile("d", [i / parts for i in range(1, parts)], min(0.01, 0.2 / parts)) if parts > 1 else []
-    bounds = np.unique(np.array(at, np.float64)).astype(np.int64)
+    some = keys.sample(min(1.0, SAMPLED * parts / n), 1).toArrow() if parts > 1 else keys.limit(0).toArrow()  # SAMPLED * BUCKETS rows at most, about
+    a, x = (some.column(i).to_numpy() for i in range(2))
+    order = np.lexsort((x, a))
+    at = order[np.linspace(0, len(order), parts, endpoint=False).astype(np.int64)[1:]] if len(order) >= parts else order
+    buckets = Buckets(a[at], x[at])
 
     def heads(batches):
-        most: dict[int, int] = {}
+        least: dict[int, tuple[int, int]] = {}
         for batch in batches:
-            d = batch.column(0).to_numpy()
-            for b in np.unique(bucket := len(bounds) - np.searchsorted(bounds, d)):
-                most[int(b)] = max(most.get(int(b), LEAST), int(d[bucket == b].max()))
-        yield pa.RecordBatch.from_arrays([pa.array(list(most), pa.int32()), pa.array(list(most.values()), pa.int64())], ["bucket", "d"])
-
-    first = sorted((r.bucket, r.d) for r in rows.select("d").mapInArrow(heads, "bucket int, d bigint").groupBy("bucket").agg(F.max("d").alias("d")).collect())  # a row a bucket
-    before = {d: first[i - 1][0] for i, (_, d) in enumerate(first)}  # whose halo a head is; the first follows the last
+            a, x = (batch.column(i).to_numpy() for i in range(2))
+            bucket = buckets.of(a, x)
+            order = np.lexsort((x, a, bucket))
+            own, first = np.unique(bucket[order], return_index=True)
+            for k, i in zip(own.tolist(), order[first].tolist()):
+                row = (int(a[i]), int(x[i]))
+                least[k] = min(least.get(k, row), row)
+        yield pa.RecordBatch.from_arrays([pa.array(list(least), pa.int32()), *(pa.array([v[i] for v in least.values()], pa.int64()) for i in range(2))], ["bucket", "a", "x"])
+
+    one = F.min(F.struct("a", "x")).alias("m")
+    first = sorted((r.bucket, (r.m.a, r.m.x)) for r in keys.mapInArrow(heads, "bucket int, a bigint, x bigint").groupBy("bucket").agg(one).collect())  # a row a bucket
+    before = {key: first[i - 1][0] for i, (_, key) in enumerate(first)}  # whose halo a head is; the first follows the last
+    known = np.array(sorted({k[0] for k in before}), np.int64)
 
     def deal(batches):
-        known = np.array(sorted(before), np.int64)
         for batch in batches:
-            d = batch.column(2).to_numpy()
-            bucket = (len(bounds) - np.searchsorted(bounds, d)).astype(np.int32)
-            again = np.flatnonzero(np.isin(d, known))
-            at = pa.array(np.r_[np.arange(len(d)), again])
-            to = np.r_[bucket, np.array([before[x] for x in d[again].tolist()], np.int32)].astype(np.int32)
-            halo = np.r_[np.zeros(len(d), np.int32), np.ones(len(again), np.int32)].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(halo), *(batch.column(i).take(at) for i in (2, 0, 1))], ["bucket", "halo", "d", "doc_id", "text"])
+            a, x = (batch.column(i).to_numpy() for i in range(2))
+            again = {key: i for i in np.flatnonzero(np.isin(a, known)).tolist() if (key := (int(a[i]), int(x[i]))) in before}
+            at = pa.array(np.r_[np.arange(len(a)), list(again.values())].astype(np.int64))
+            to = np.r_[buckets.of(a, x), [before[k] for k in again]].astype(np.int32)
+            halo = np.r_[np.zeros(len(a)), np.ones(len(again))].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(halo), *(c.take(at) for c in batch.columns)], ["bucket", "halo", "a", "x", "doc_id", "text"])
 
-    dealt = rows.mapInArrow(deal, "bucket int, halo int, d bigint, doc_id bigint, text string")
-    return dealt.repartition(max(1, len(first)), "bucket").sortWithinPartitions("bucket", "halo", F.desc("d"), "text")
+    dealt = rows.mapInArrow(deal, "bucket int, halo int, a bigint, x bigint, doc_id bigint, text string")
+    # A bucket is a partition, so no task gets several.
+    return dealt.repartitionById(parts, "bucket").sortWithinPartitions("bucket", "halo", "a", "x")
 
 
 def fingerprints(df: DataFrame, band: tuple[float, float] = BAND, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,8 +202,8 @@ def fingerprints(df: DataFrame, band: tuple[float, float] = BAND, id_col: str =
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [x.split()[0] for x in schema.split(", ")])
 
         for batch in batches:
-            for part in slices(batch, 4):
-                for b, halo, _, doc, text in zip(*(c.to_pylist() for c in part.columns)):
+            for part in slices(batch, 5):
+                for b, halo, _, _, doc, text in zip(*(c.to_pylist() for c in part.columns)):
                     text = text or ""
                     if b != bucket:
                         bucket, last = b, None

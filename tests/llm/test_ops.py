@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -348,11 +349,16 @@ def test_index_scores_are_bm25():
         assert abs(score[k] - want) < 1e-4
 
 
+def text_hash(t):
+    h = 42 if t is None else xxhash.xxh64_intdigest(t.encode(), 42)
+    return h - (h >> 63 << 64)
+
+
 def test_fingerprints(table, docs, nothing):
     got = imatch.fingerprints(table).collect()
     assert len(got) == len(docs) and imatch.fingerprints(nothing).count() == 0
     rank = lambda d: -1 << 70 if d is None else d
-    order = sorted(docs, key=lambda x: (-rank(x[0]), x[1] is not None, x[1] or ""))
+    order = sorted(docs, key=lambda x: (-rank(x[0]), text_hash(x[1])))
     want = {}
     for i, (d, x) in enumerate(order):
         x, y = x or "", order[(i + 1) % len(order)][1] or ""
@@ -366,11 +372,76 @@ def test_fingerprints(table, docs, nothing):
     assert by[4] == by[5] and by[4] != by[22]
 
 
-def test_buckets_of_the_order(table, docs, monkeypatch):
+def test_buckets_of_the_order(spark, table, monkeypatch):
+    """Many buckets and one give the same, and a null id takes many buckets."""
+    r = random.Random(8)
+    more = spark.createDataFrame([(None, "".join(r.choices("abc ", k=9))) for _ in range(60)], "doc_id bigint, text string")
+    both = table.select("doc_id", "text").union(more)
+    shown = lambda: rows(imatch.fingerprints(both), "doc_id", "n_chars", "edited_sha256", "near_next")
     monkeypatch.setattr(imatch, "BUCKET_ROWS", 5)
-    a = {(r.doc_id, r.edited_sha256) for r in imatch.fingerprints(table).collect()}
+    sizes = [x["count"] for x in imatch._in_order(both, "doc_id", "text").where("halo = 0").groupBy("bucket").count().collect()]
+    assert sum(sizes) == both.count() and max(sizes) < 20
+    many = shown()
     monkeypatch.setattr(imatch, "BUCKET_ROWS", 4000)
-    assert a == {(r.doc_id, r.edited_sha256) for r in imatch.fingerprints(table).collect()}
+    assert many == shown()
+
+
+def test_fingerprints_by_their_definition(table, docs):
+    """Whole fingerprints and likenesses against plain ones, term by term."""
+    n, of = len(docs), {}
+    every = [frozenset(re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").translate(brute.LOWER).encode())) for _, t in docs]
+    for i, found in enumerate(every):
+        for w in found:
+            of.setdefault(w, set()).add(i)
+    words = sorted((w for w, d in of.items() if 0.001 * n <= len(d) <= 0.3 * n), key=xxhash.xxh3_64_intdigest)
+    subsets = [[w for w in words if int(imatch.mixed(np.array([xxhash.xxh3_64_intdigest(w)], np.uint64) + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))[0]) < int(rate * (1 << 64))] for k, rate in enumerate(imatch.RATES)]
+    own = [frozenset(w for w in words if i in of[w]) for i in range(n)]
+
+    def like(i, j):
+        if own[i] == own[j] and (own[i] or every[i] == every[j]):
+            return 1.0
+        pairs = [(own[i] & s, own[j] & s) for s in map(frozenset, subsets)]
+        pairs = [(a, b) for a, b in pairs if a or b]
+        return sum(a == b for a, b in pairs) / len(pairs) if pairs else 0.0
+
+    rank = lambda d: -1 << 70 if d is None else d
+    order = sorted(range(n), key=lambda i: (-rank(docs[i][0]), text_hash(docs[i][1])))
+    want = [(docs[i][0], len(docs[i][1] or ""), round(like(i, order[(k + 1) % n]), 9)) for k, i in enumerate(order)]
+    got = imatch.fingerprints(table).collect()
+    assert srt((r.doc_id, r.n_chars, round(r.near_next, 9)) for r in got) == srt(want)
+    prints = {}
+    for r in got:
+        prints.setdefault(r.fingerprint.split(".")[0], set()).add((r.doc_id, r.n_chars))
+    texts = {}
+    for i in range(n):
+        texts.setdefault((own[i], own[i] or every[i]), set()).add((docs[i][0], len(docs[i][1] or "")))
+    assert set(map(frozenset, prints.values())) == set(map(frozenset, texts.values()))
+
+
+def test_lexicon_has_a_size(spark, monkeypatch):
+    """The rarest terms go first where the band holds too many."""
+    df = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(40) if i % (j + 1) == 0)) for i in range(200)], "doc_id bigint, text string")
+    whole = imatch.lexicon(df, (0.02, 0.6))
+    monkeypatch.setattr(imatch, "LEXICON", 10)
+    some = imatch.lexicon(df, (0.02, 0.6))
+    assert 0 < len(some) <= 10 < len(whole) and set(some) <= set(whole)
+    assert xxhash.xxh3_64_intdigest(b"w2") in set(some.tolist())
+
+
+def test_likeness_tells_edited_texts(spark):
+    """Recall of half-edited texts over a likeness that unrelated ones hardly reach."""
+    r = imatch.fingerprints(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("n_chars >= 400")
+    near, far = r.agg(F.avg((F.col("near_edited") >= 0.02).cast("int")), F.avg((F.col("near_next") >= 0.02).cast("int"))).first()
+    assert near > 0.9 and far < 0.1
+
+
+def test_very_long_runs_of_blanks(spark):
+    """Texts with runs that patterns can't step over one by one."""
+    texts = [" " * 400_000, "a" + "\n" * 300_000 + "b", "x " * 100_000, "z" * 200_000]
+    a, b = tokens.ForcedBoundaryBpe(BYTE), tokens.RankBpe(BYTE)
+    assert all(a.encode(t) == b.encode(t) for t in texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert packing.pack_documents(df, BYTE).agg(F.sum("length")).first()[0] == sum(len(a.encode(t)) // 4 + 1 for t in texts)
 
 
 def test_language_held_out(spark, nothing):
