@@ -228,6 +228,42 @@ def test_lines_equal_brute_force(table, docs, nothing, batches, min_docs):
     assert lines.dedup_lines(nothing).count() == 0
 
 
+def test_runs_are_opened_again(spark, docs):
+    """Batches added by one object after another give what one table gives; merged runs are gone."""
+    path = work_dir(spark, "test-line-runs")
+    some = sorted((x for x in docs if x[0] is not None), key=lambda x: -x[0])
+    texts = [some[i : i + 6] for i in range(0, len(some), 6)]
+    texts = [x for x in texts if x]
+    ends = [{d for d, _ in x} for x in texts]
+    assert all(not a & b for a, b in zip(ends, ends[1:]))
+    out = []
+    for x in texts:
+        runs = lines.LineRuns(spark, path, buckets=3)
+        out += rows(lines.dedup_lines(spark.createDataFrame(x, "doc_id bigint, text string"), batches=1, min_docs=2, runs=runs), "doc_id", "text")
+    again = lines.LineRuns(spark, path)
+    assert again.buckets == 3 and again.version == len(texts) and max(map(len, again.levels)) < 3 and len(again.levels) > 1
+    known, want = {}, []
+    for x in texts:  # a line goes where a greater document has it
+        for d, t in x:
+            for k in {y.strip(brute.BLANK).translate(brute.LOWER) for y in (t or "").split("\n")}:
+                known.setdefault(k, []).append(d)
+    for d, t in some:
+        want.append((d, "\n".join(y for y in (t or "").split("\n") if not (len(k := y.strip(brute.BLANK).translate(brute.LOWER)) >= 40 and max(known[k]) > d))))
+    assert srt(out) == srt(want)
+    left = {r.n for r in again.totals().select("n").collect()}
+    assert left == {len(v) for k, v in known.items() if len(k) >= 40}
+
+
+def test_runs_lie_as_they_are_merged(spark, docs):
+    """No run is shuffled in a lookup or merge."""
+    runs = lines.LineRuns(spark, buckets=5)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    for i in range(2):
+        runs.add(lines.line_hashes(df.where(f"doc_id % 2 = {i}"), 5))
+    plan = runs.totals()._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
 @pytest.mark.parametrize("hot", [60, 1])
 def test_repeats_equal_brute_force(table, docs, nothing, monkeypatch, hot):
     """With and without keys that take the path of hot ones."""
