@@ -14,10 +14,12 @@ make one maximal repeat, a span over the length threshold.
 
 Keys that hold many rows (found on a sample, which only steers the plan) take a
 path of their own: they are aggregated before the shuffle and looked up, at most
-HOT_KEYS of them.
+HOT_KEYS of them, so a key that isn't holds less than one in HOT_KEYS of all rows.
 
 A null text has no words, and neither has an empty one. A null doc_id counts as
-the least. Rows that repeat a doc_id are documents neither of which is the smaller. Windows are compared by 64-bit hashes.
+the least. Rows that repeat a doc_id are documents neither of which is the smaller.
+An empty table gives no rows. Texts of any length are taken whole, a slice of bytes
+or one text at a time. Windows are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ LEAST = -(1 << 63)
 #: Words of a seed.
 SEED = 4
 #: Keys handled as hot at most, the part of all documents in the sample, and the rows of it that make one hot.
-HOT_KEYS, SHARE, HOT_ROWS = 1000, 64, 60
+HOT_KEYS, SHARE, HOT_ROWS = 50_000, 64, 60
 
 
 def seeds(w: np.ndarray, window: int, k: int = SEED) -> np.ndarray:
@@ -65,28 +67,16 @@ def covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
 def _least(rows: DataFrame, key: str) -> DataFrame:
     """Rows (d, t, key, ...) whose key occurs with two values of d, with the least of them as ``low``. Hot keys don't go through the window: their least values are aggregated before the shuffle and looked up."""
     sample = rows.where(F.pmod(F.xxhash64("d"), F.lit(SHARE)) == 0).groupBy(key).agg(F.count("*").alias("c")).where(F.col("c") >= HOT_ROWS)
-    hot = [r[0] for r in sample.orderBy(F.desc("c")).limit(HOT_KEYS).collect()]
+    found = sample.orderBy(F.desc("c")).limit(HOT_KEYS).select(key).toArrow()
     by = Window.partitionBy(key)
-    rest = rows.where(~F.col(key).isin(hot)) if hot else rows
-    out = rest.withColumn("low", F.min("d").over(by)).withColumn("high", F.max("d").over(by)).where("low < high").drop("high")
-    if not hot:
+    hot = F.broadcast(rows.sparkSession.createDataFrame(found)) if found.num_rows else None
+    rest = rows if hot is None else rows.join(hot, key, "left_anti")
+    out = rest.withColumn("low", F.min("d").over(by)).withColumn("high", F.max("d").over(by)).where("low < high").drop("high").select(*rows.columns, "low")
+    if hot is None:
         return out
-    own = rows.where(F.col(key).isin(hot))
-    both = own.groupBy(key).agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").collect()  # HOT_KEYS rows at most
-    keys = np.array(sorted(r[0] for r in both), np.int64)
-    lows = np.array([r.low for r in sorted(both, key=lambda r: r[0])], np.int64)
-    names = rows.columns
-    at = names.index(key)
-
-    def look_up(batches):
-        for batch in batches:
-            k = batch.column(at).to_numpy()
-            i = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
-            known = keys[i] == k if len(keys) else np.zeros(len(k), bool)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lows[i] if len(keys) else k)], [*names, "low"]).filter(pa.array(known))
-
-    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", low bigint"
-    return out.unionByName(own.mapInArrow(look_up, schema))
+    own = rows.join(hot, key, "left_semi")
+    least = own.groupBy(key).agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select(key, "low")
+    return out.unionByName(own.join(F.broadcast(least), key).select(*rows.columns, "low"))  # HOT_KEYS rows at most
 
 
 def repeats(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,15 +117,14 @@ def repeats(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: s
         for batch in batches:
             for part in slices(batch, 1):
                 raw = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_text_key(t) for t in raw], pa.int64()), pa.array([z.compress(t) for t in raw], pa.binary())], ["doc_id", "t", "z"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_text_key(t) for t in raw], pa.int64()), pa.array(map(len, raw), pa.int64()), pa.array([z.compress(t) for t in raw], pa.binary())], ["doc_id", "t", "size", "z"])
 
-    small = texts.mapInArrow(compress, "doc_id bigint, t bigint, z binary").withColumn("d", F.coalesce("doc_id", F.lit(LEAST)))
+    small = texts.mapInArrow(compress, "doc_id bigint, t bigint, size bigint, z binary").withColumn("d", F.coalesce("doc_id", F.lit(LEAST)))
 
     def extend(batches):
         words, z = shared_words(), zstandard.ZstdDecompressor()
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for part in slices(batch, 4, 2 << 20):
                 ds, ts, hs, at = [], [], [], []
                 for d, t, blob, own in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), part.column(3)):
                     w = words.of(z.decompress(blob.as_py()))
@@ -150,7 +139,7 @@ def repeats(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: s
                 if ds:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ds, ts, hs, at)], ["d", "t", "w", "at"])
 
-    windows = small.join(shared, ["d", "t"]).select("d", "t", "z", "shared").mapInArrow(extend, "d bigint, t bigint, w bigint, at int")
+    windows = small.join(shared, ["d", "t"]).select("d", "t", "z", "shared", "size").mapInArrow(extend, "d bigint, t bigint, w bigint, at int")
     windows = stored(windows, "substring-windows")
     starts = _least(windows, "w").where("d > low").groupBy("d", "t").agg(F.collect_set("at").alias("starts"))
     copies = docs.where(F.col("n") >= window).join(classes, "g").where("d > rep").select("d", "t").distinct().withColumn("copy", F.lit(True))
@@ -158,8 +147,7 @@ def repeats(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: s
     def remove(batches):
         z = zstandard.ZstdDecompressor()
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            for part in slices(batch, 4):
                 out, n, gone, spans = [], [], [], []
                 for blob, own, whole in zip(part.column(1), part.column(2), part.column(3).to_pylist()):
                     found = WORD.findall(z.decompress(blob.as_py()))
@@ -177,5 +165,5 @@ def repeats(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: s
                 cols = [part.column(0), pa.array(out, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text", "n_words", "n_removed", "spans"])
 
-    marked = small.join(starts, ["d", "t"], "left").join(copies, ["d", "t"], "left").select("doc_id", "z", "starts", "copy")
+    marked = small.join(starts, ["d", "t"], "left").join(copies, ["d", "t"], "left").select("doc_id", "z", "starts", "copy", "size")
     return marked.mapInArrow(remove, "doc_id bigint, text string, n_words bigint, n_removed bigint, spans array<int>")
