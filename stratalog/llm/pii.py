@@ -4,18 +4,24 @@ Values are found by pattern and validated: card numbers by their check digit,
 account numbers by theirs, dates by the calendar, addresses by their parts. Each
 is mapped by a keyed Feistel permutation of the set of values of its own format,
 so the result is valid in that format, equal values stay equal in every document,
-and the key inverts it. A match that fails validation is tried again by its shorter
+and the key inverts it. Dates keep the digits of their fields: those whose day and
+month have two each are permuted together, however they are written, others among
+dates of their form, and a day that could be no month stays one. Mail addresses
+are equal whatever their case, which stays, as do their domains. A match that fails validation is tried again by its shorter
 prefixes at group ends, by the other kinds, and from its later groups; there a card
 must be grouped and begin as cards do, for a tenth of all numbers pass its check.
 What fails all of this stays as it is.
 
-Null texts stay null. Rows are handled each by itself.
+Null and empty texts stay as they are. Rows are handled each by itself, repeated ones
+alike; an empty table gives no rows. Texts of any length are searched whole.
 """
 
 from __future__ import annotations
 
-import datetime
+import bisect
+import calendar
 import hashlib
+import ipaddress
 import re
 from functools import lru_cache
 
@@ -25,8 +31,8 @@ from pyspark.sql import DataFrame, functions as F
 from .arrow import slices
 
 ROUNDS = 8
-#: Dates are permuted among those from the first of these days to the second.
-FIRST, LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+#: Dates are permuted among those of these years.
+YEARS = range(1900, 2100)
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
 
@@ -61,6 +67,16 @@ class Feistel:
                 return x
 
 
+@lru_cache(maxsize=16)
+def dates_of(month: int, day: int, late: bool) -> list[tuple[int, int, int]]:
+    """The dates whose month and day are written with so many digits, two of them with a leading zero where one is enough; with ``late``, of days that could be no month."""
+    months, days = (range(1, 10) if n == 1 else range(1, 100) for n in (month, day))
+    ends = {y: [calendar.monthrange(y, m)[1] for m in range(1, 13)] for y in YEARS}
+    out = [(y, m, d) for y in YEARS for m in range(1, 13) if m in months for d in range(13 if late else 1, ends[y][m - 1] + 1) if d in days]
+    # Two digits and one can't stand for the same date in one text: 1/10 has a month of one, 10/1 of two.
+    return [x for x in out if not (month == 2 and day == 1 and x[1] < 10) and not (month == 1 and day == 2 and x[2] < 10)]
+
+
 def luhn(digits: str) -> str:
     """The check digit that the digits before it ask for."""
     total = 0
@@ -87,7 +103,8 @@ PATTERNS = {
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "secret": r"(?i:(?<![a-z0-9])(?:password|passwd|pwd|secret|api[_-]?key|access[_-]?token|auth[_-]?token|token)\s?[=:]\s?[\"']?)[A-Za-z0-9_+/.-]{8,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
-    "phone": r"(?<![\w+])\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,9}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
+    "phone": r"(?<![\w+])\+\d{1,3}(?:[ .-]?(?:\(\d{1,4}\)|\d{1,4})){2,9}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
+    "ip6": r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![\w:.])",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
     "date": r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w-]|[/.]\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
@@ -103,7 +120,7 @@ THREE = re.compile(r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}")
 NATIONAL = {"1": (10,), "7": (10,), "30": (10,), "31": (9,), "32": (9, 8), "33": (9,), "34": (9,), "41": (9,), "44": (10, 9), "45": (8,), "47": (8,), "48": (9,), "351": (9,), "420": (9,)}
 OTHER = re.compile("|".join(f"(?P<{k}>{PATTERNS[k]})" for k in ("email", "secret")))
 SECRET_VALUE = re.compile(r"[=:]\s?[\"']?(.*)\Z", re.S)
-HAS_DIGITS = re.compile(r"\d\d|\d[/.]")
+HAS_DIGITS = re.compile(r"\d\d|\d[/.]|::")
 HAS_OTHER = re.compile(r"@|(?i:pass|pwd|secret|key|token)")
 
 
@@ -134,30 +151,33 @@ class Pseudonyms:
     def _number(self, digits: str, kind: str) -> str:
         return f"{self.feistel.permute(int(digits), 10 ** len(digits), kind):0{len(digits)}d}"
 
+    def _email(self, local: str) -> str:
+        """Letters without regard to case, which they keep."""
+        new = self._chars(local.lower(), "email") if local.isascii() else self._chars(local, "email")
+        return "".join(c.upper() if o.isupper() else c for o, c in zip(local, new))
+
     def _date(self, value: str) -> str | None:
         sep = next(c for c in value if not c.isdigit())
-        a, b, c = map(int, value.split(sep))
+        parts = value.split(sep)
+        a, b, c = map(int, parts)
         month_first = sep == "/" and not a > 12  # 13/1/2020 can only have the day first
-        y, m, d = (a, b, c) if sep == "-" else (c, a, b) if month_first else (c, b, a)
-        try:
-            day = datetime.date(y, m, d).toordinal()
-        except ValueError:
+        y, m, d = (0, 1, 2) if sep == "-" else (2, 0, 1) if month_first else (2, 1, 0)
+        days = dates_of(len(parts[m]), len(parts[d]), sep == "/" and not month_first)
+        day = (int(parts[y]), int(parts[m]), int(parts[d]))
+        at = bisect.bisect_left(days, day)
+        if at == len(days) or days[at] != day:
             return None
-        if not FIRST <= day <= LAST:
-            return None
-        new = datetime.date.fromordinal(FIRST + self.feistel.permute(day - FIRST, LAST - FIRST + 1, "date"))
-        if sep == "-":
-            return new.isoformat()
-        if sep == "/" and not month_first:
-            return f"{new.day:02d}/{new.month:02d}/{new.year}"
-        return f"{new.month:02d}/{new.day:02d}/{new.year}" if sep == "/" else f"{new.day:02d}.{new.month:02d}.{new.year}"
+        new = days[self.feistel.permute(at, len(days), "date")]
+        for i, n in zip((y, m, d), new):
+            parts[i] = f"{n:0{len(parts[i])}d}"
+        return sep.join(parts)
 
     def _of(self, kind: str, value: str) -> str | None:
         """The pseudonym of a value, None where it isn't valid."""
         digits = "".join(c for c in value if c.isdigit() and c.isascii())
         if kind == "email":
             local, _, domain = value.rpartition("@")
-            return f"{self._chars(local, 'email')}@{domain}"
+            return f"{self._email(local)}@{domain}"
         if kind == "key":
             return value[:4] + self._chars(value[4:], "key")
         if kind == "secret":
@@ -173,12 +193,31 @@ class Pseudonyms:
             lead = re.match(r"\+(\d{1,3})(?=[ .(-])", value)
             keep = len(lead[1]) if lead else 0
             return _refill(value, digits[:keep] + self._number(digits[keep:], "phone")) if 9 <= len(digits) <= 15 else None
+        if kind == "ip6":
+            try:
+                ipaddress.IPv6Address(value)
+            except ValueError:
+                return None
+            own = "".join(c for c in value if c != ":")
+            new = iter(f"{self.feistel.permute(int(own, 16), 16 ** len(own), 'ip6'):0{len(own)}x}")
+            return "".join(c if c == ":" else x.upper() if value.isupper() else x for c in value if (x := c if c == ":" else next(new)))
         if kind == "ip":
-            parts = [int(x) for x in value.split(".")]
-            if any(x > 255 for x in parts):
+            parts = value.split(".")
+            if any(int(x) > 255 for x in parts):
                 return None
-            new = self.feistel.permute(int.from_bytes(bytes(parts), "big"), 1 << 32, "ip")
-            return ".".join(map(str, new.to_bytes(4, "big")))
+            # Each number keeps its digits, and its leading zero if it has one.
+            span = [range(10 ** (len(x) - 1)) if len(x) > 1 and x[0] == "0" else range(10 ** (len(x) - 1) if len(x) > 1 else 0, min(256, 10 ** len(x))) for x in parts]
+            at = size = 0
+            for x, r in zip(parts, span):
+                at = at * len(r) + int(x) - r.start
+            for r in span:
+                size = (size or 1) * len(r)
+            at = self.feistel.permute(at, size, f"ip{[r.start for r in span]}")
+            out = []
+            for x, r in zip(reversed(parts), reversed(span)):
+                at, k = divmod(at, len(r))
+                out.append(f"{r.start + k:0{len(x)}d}")
+            return ".".join(reversed(out))
         if kind == "date":
             return self._date(value)
         if kind == "ssn":

@@ -76,3 +76,80 @@ def repeats(docs, window=13):
                 gone.update(range(i, i + window))
         out.append((d, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
     return out
+
+
+def _luhn(d):
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def private_text(r):
+    """Words, numbers and valid values, each set apart by blanks or punctuation."""
+    digits = lambda n: "".join(r.choices("0123456789", k=n))
+
+    def card():
+        body = "4" + digits(14)
+        n = next(x for x in range(10) if _luhn(body + str(x)))
+        d = body + str(n)
+        return d if r.random() < 0.5 else " ".join(d[i : i + 4] for i in range(0, 16, 4))
+
+    def iban():
+        rest = digits(18)
+        check = 98 - int(rest + "131400") % 97
+        d = f"DE{check:02d}{rest}"
+        return d if r.random() < 0.5 else " ".join(d[i : i + 4] for i in range(0, 22, 4))
+
+    makers = [
+        card,
+        iban,
+        lambda: f"{r.randrange(1900, 2100)}-{r.randrange(1, 13):02d}-{r.randrange(1, 29):02d}",
+        lambda: f"{''.join(r.choices('abcdef', k=5))}.{digits(2)}@mail.example.org",
+        lambda: ".".join(str(r.randrange(256)) for _ in range(4)),
+        lambda: f"+1 ({digits(3)}) {digits(3)}-{digits(4)}",
+        lambda: f"{r.randrange(100, 600)}-{r.randrange(10, 99)}-{r.randrange(1000, 9999)}",
+    ]
+    plain = [lambda: "".join(r.choices("ghijkl", k=4)), lambda: digits(2), lambda: f"{digits(1)}.{digits(1)} litres", lambda: f"2021-13-{r.randrange(10, 29)}", lambda: "999.1.1.1"]
+    parts = []
+    for _ in range(r.randrange(1, 9)):
+        parts.append(r.choice(makers)() if r.random() < 0.5 else r.choice(plain)())
+        parts.append(r.choice([", ", "; ", " (", ") ", " and ", "\n"]))
+    return "".join(parts)
+
+
+def private_values(text):
+    """[(kind, value)] in order: from the left, at each place the longest piece between word edges that is valid as some kind."""
+    import datetime
+
+    def kind(v):
+        d = v.replace(" ", "")
+        if re.fullmatch(r"\d{16}|\d{4}( \d{4}){3}", v) and _luhn(d):
+            return "card"
+        if re.fullmatch(r"[A-Z]{2}\d{2}( ?[A-Z0-9]){11,30}", v) and int("".join(str(int(c, 36)) for c in d[4:] + d[:4])) % 97 == 1:
+            return "iban"
+        if re.fullmatch(r"\d{4}-\d\d-\d\d", v):
+            try:
+                return datetime.date.fromisoformat(v) and "date"
+            except ValueError:
+                return None
+        if re.fullmatch(r"[a-z]+\.\d+@[a-z.]+\.[a-z]+", v):
+            return "email"
+        if re.fullmatch(r"(\d{1,3}\.){3}\d{1,3}", v) and all(int(x) < 256 for x in v.split(".")):
+            return "ip"
+        if re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", v):
+            return "phone"
+        if re.fullmatch(r"\d{3}-\d{2}-\d{4}", v) and v[4:6] != "00" and v[7:] != "0000" and v[:3] != "666":
+            return "ssn"
+        return None
+
+    out, i = [], 0
+    while i < len(text):
+        if i and (text[i - 1].isalnum() or text[i - 1] in ".-+@"):
+            i += 1
+            continue
+        ends = [j for j in range(min(len(text), i + 40), i, -1) if j == len(text) or not (text[j].isalnum() or text[j] in "-@" or text[j] == "." and j + 1 < len(text) and text[j + 1].isalnum())]
+        hit = next(((k, text[i:j]) for j in ends if (k := kind(text[i:j]))), None)
+        if hit:
+            out.append(hit)
+            i += len(hit[1])
+        else:
+            i += 1
+    return out

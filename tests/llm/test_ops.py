@@ -215,6 +215,49 @@ def test_pseudonyms_of_values_beside_others():
         assert p.replace(same) == (same, [])
 
 
+def test_pseudonyms_of_dates_and_addresses():
+    """Forms stay, and each is permuted by itself, so that the key inverts it."""
+    p = pii.Pseudonyms(b"k")
+    new = lambda x: p.replace(x)[0]
+    for x in ("1/2/2020", "1/22/2020", "11/2/2020", "11/22/2020", "01/02/2020", "22/1/2020", "22.11.2020", "1.2.2020", "2020-02-29"):
+        got = new(x)
+        assert got != x and [len(y) for y in re.split(r"\D", got)] == [len(y) for y in re.split(r"\D", x)] and p.replace(got)[1]
+        if x.startswith("22/"):
+            assert int(got[:2]) > 12
+    assert len({tuple(map(int, (lambda y: (y[6:], y[:2], y[3:5]) if "/" in y else (y[6:], y[3:5], y[:2]) if "." in y else y.split("-"))(new(x)))) for x in ("2021-03-04", "03/04/2021", "04.03.2021")}) == 1
+    for args in ((1, 1, False), (2, 2, False), (2, 2, True), (1, 2, True), (2, 1, False), (1, 2, False)):
+        days = pii.dates_of(*args)
+        back = [p.feistel.permute(p.feistel.permute(i, len(days), "date"), len(days), "date", True) for i in range(0, len(days), 997)]
+        assert back == list(range(0, len(days), 997)) and days == sorted(set(days))
+    a, b = new("Bob.Smith@x.org"), new("bob.smith@x.org")
+    assert a.lower() == b and a != b and a.endswith("@x.org") and a[0].isupper()
+    for x in ("2001:db8:85a3:0:0:8a2e:370:7334", "fe80::1ff:fe23:4567:890a", "2001:DB8::1"):
+        got = new(x)
+        assert got != x and re.sub("[0-9A-Fa-f]", "0", got) == re.sub("[0-9A-Fa-f]", "0", x) and got.isupper() == x.isupper()
+    for same in ("12:34:56", "aa:bb:cc:dd:ee:ff", "std::vector", "a::b::c", "31/31/2020", "2/30/2021"):
+        assert new(same) == same
+
+
+def test_pseudonyms_against_a_plain_detector():
+    """Random texts of values beside words and numbers: what a plain search finds valid is replaced, and nothing else."""
+    p, r = pii.Pseudonyms(b"k"), random.Random(12)
+    for _ in range(400):
+        text = brute.private_text(r)
+        want = brute.private_values(text)
+        new, spans = p.replace(text)
+        found, at, rest = [], 0, new
+        for kind, i, j in spans:
+            found.append((kind, j - i))
+        assert [(k, len(v)) for k, v in want] == found, (text, new)
+        blank = text
+        for _, v in want:
+            assert v not in new
+            blank = blank.replace(v, "\x00" * len(v), 1)
+        for _, i, j in spans:
+            rest = rest[:i] + "\x00" * (j - i) + rest[j:]
+        assert blank == rest
+
+
 def test_pseudonymise_rows(table, docs, nothing):
     got = {(r.doc_id, r.text) for r in pii.pseudonymise(table, b"k", carry=["lang", "n"]).collect()}
     assert len(got) == len(set(docs)) and (0, None) in got and not any(t and "a.b@c.org" in t for _, t in got)
