@@ -11,13 +11,16 @@ For each row, over the languages and ``und`` (no language known here):
   ``und`` is a uniform model.
 - Declared: how often rows of each language declare each code, measured on all
   rows by their text posteriors. Codes that no language here has count as one.
-- Suffix: country suffixes favour their languages, by a fixed table.
+- Suffix: how often rows of each language have an address with each suffix, measured
+  the same way and smoothed towards the suffix's share of all rows with one.
 - Host: grouped sums of text posteriors by host, smoothed towards those of its
-  domain, those towards its suffix's, and those towards the sums over all rows.
+  domain, and those towards the sums over all rows.
 
 Null or empty text, declaration or address is no evidence: a row with none has the
 prior of all rows. A row is rejected (``kept`` false) where ``und`` wins or no
-language has half of the posterior.
+language has half of the posterior. Rows that repeat an id are judged each by
+itself; a null id stays null; an empty table gives no rows. Texts of any length are
+read whole, a slice of bytes or one text at a time.
 """
 
 from __future__ import annotations
@@ -31,18 +34,17 @@ from pyspark.sql import DataFrame, functions as F
 from .arrow import slices, stored
 
 BUCKETS = 1 << 15
+#: Bytes of a text whose trigrams are looked up at once.
+PIECE = 1 << 17
 #: Trigrams that a text counts as at most.
 EFFECTIVE = 60.0
 #: Rows of the training sample, at most, and characters of a row in it, at least and at most.
 TRAIN_ROWS, TRAIN_CHARS = 4000, (200, 20_000)
-#: Weight of the parent's distribution at each level, in rows.
+#: Weight of the parent's distribution at each level, and of all suffixes', in rows.
 ALPHA = 20.0
 UND = "und"
 #: The weight of ``und`` before any evidence, against 1 of each language: a text too short to tell is no unknown language.
 UND_WEIGHT = 0.02
-#: Languages of country suffixes.
-SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en"}
-SUFFIX_ODDS = 8.0
 TAG = re.compile(r"<(script|style|nav)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
 HTML_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
 HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", re.I)
@@ -50,7 +52,23 @@ HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", re.I)
 
 def counts(text: str) -> np.ndarray:
     """Hashed trigram buckets of a text, one a place."""
-    b = np.frombuffer(f" {text.lower()} ".encode("utf-8", "replace"), np.uint8).astype(np.uint32)
+    return _buckets(np.frombuffer(f" {text.lower()} ".encode("utf-8", "replace"), np.uint8))
+
+
+def mean_logs(logs: np.ndarray, text: str) -> tuple[int, np.ndarray]:
+    """The trigrams of a text and the mean of their rows; long texts are tallied piece by piece."""
+    raw = np.frombuffer(f" {text.lower()} ".encode("utf-8", "replace"), np.uint8)
+    n = len(raw) - 2
+    if n <= PIECE:
+        return n, logs[_buckets(raw)].mean(0, dtype=np.float64)
+    tally = np.zeros(BUCKETS, np.int64)
+    for at in range(0, n, PIECE):
+        tally += np.bincount(_buckets(raw[at : at + PIECE + 2]), minlength=BUCKETS)
+    return n, tally @ logs.astype(np.float64) / n
+
+
+def _buckets(raw: np.ndarray) -> np.ndarray:
+    b = raw.astype(np.uint32)
     return ((b[:-2] * np.uint32(0x9E3779B1) ^ b[1:-1] * np.uint32(0x85EBCA77) ^ b[2:] * np.uint32(0xC2B2AE3D)) * np.uint32(0x27D4EB2F) >> np.uint32(17)).astype(np.int64)
 
 
@@ -67,6 +85,12 @@ def train(df: DataFrame, languages: list[str], text_col: str = "text", lang_col:
     return np.log(c / c.sum(1, keepdims=True)).astype(np.float32)
 
 
+def domain_of(name: str) -> str:
+    """The part of a host's name that was registered: two labels, three where a country's second one is short, as in co.uk."""
+    labels = name.split(".")
+    return ".".join(labels[-3 if len(labels) > 2 and len(labels[-1]) == 2 and len(labels[-2]) <= 3 else -2 :])
+
+
 def plain(html: str) -> str:
     """The text of a page: no tags, scripts, styles or navigation."""
     import html as entities
@@ -74,29 +98,30 @@ def plain(html: str) -> str:
     return entities.unescape(TAG.sub(" ", html))
 
 
-def evidence(df: DataFrame, model: np.ndarray, languages: list[str], id_col: str, text_col: str, declared_col: str | None = None, url_col: str | None = None, host_col: str | None = None, html: bool = False) -> DataFrame:
-    """(id, text array<double>, declared, suffix, domain, host): the text log likelihoods and the rest, as far as given. With ``html``, text and declared language come from the markup."""
+def evidence(df: DataFrame, model: np.ndarray, languages: list[str], id_col: str, text_col: str, declared_col: str | None = None, url_col: str | None = None, host_col: str | None = None, html: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """(id, text array<double>, declared, suffix, domain, host): the text log likelihoods and the rest, as far as given. With ``html``, text and declared language come from the markup. ``carry`` names columns that come along in a struct ``carried``."""
     none = F.lit(None).cast("string")
     shared = df.sparkSession.sparkContext.broadcast(model)  # a fixed number of buckets a language
 
     def string(c):
         return F.col(c).cast("string") if c else none
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), string(text_col).alias("text"), string(declared_col).alias("declared"), string(url_col).alias("url"), string(host_col).alias("host"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), string(text_col).alias("text"), string(declared_col).alias("declared"), string(url_col).alias("url"), string(host_col).alias("host"), *([F.struct(*carry).alias("carried")] if carry else []))
+    more = f", carried {rows.schema['carried'].dataType.simpleString()}" if carry else ""
 
     def run(batches):
         logs = shared.value.T.copy()
         for batch in batches:
             for part in slices(batch, 1):
                 ll, declared, suffix, domain, host = [], [], [], [], []
-                for _, t, code, url, h in zip(*(c.to_pylist() for c in part.columns)):
+                for t, code, url, h in zip(*(c.to_pylist() for c in part.columns[1:5])):
                     t = t or ""
                     if html:
                         m = HTML_LANG.search(t)
                         code, t = m[1] if m else code, plain(t)
                     t = t.strip()
-                    x = counts(t) if t else np.zeros(0, np.int64)
-                    v = logs[x].mean(0) * min(len(x), EFFECTIVE) if len(x) else np.zeros(logs.shape[1])
+                    n, v = mean_logs(logs, t) if t else (0, np.zeros(logs.shape[1]))
+                    v = v * min(n, EFFECTIVE)
                     v[-1] += np.log(UND_WEIGHT)
                     ll.append(v.tolist())
                     code = (code or "").strip().lower().split("-")[0]
@@ -105,11 +130,12 @@ def evidence(df: DataFrame, model: np.ndarray, languages: list[str], id_col: str
                     name = (at[1].lower() if at else h or "").strip(".")
                     labels = name.split(".")
                     suffix.append(labels[-1] if at and len(labels) > 1 else "")
-                    domain.append(".".join(labels[-3:]) if at else name)
+                    domain.append(domain_of(name) if at else name)
                     host.append(name)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ll, pa.list_(pa.float64())), *(pa.array(c, pa.string()) for c in (declared, suffix, domain, host))], ["id", "text", "declared", "suffix", "domain", "host"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ll, pa.list_(pa.float64())), *(pa.array(c, pa.string()) for c in (declared, suffix, domain, host)), *part.columns[5:]], names)
 
-    return rows.mapInArrow(run, "id bigint, text array<double>, declared string, suffix string, domain string, host string")
+    names = ["id", "text", "declared", "suffix", "domain", "host", *(["carried"] if carry else [])]
+    return rows.mapInArrow(run, "id bigint, text array<double>, declared string, suffix string, domain string, host string" + more)
 
 
 def _soft(log: np.ndarray) -> np.ndarray:
@@ -122,7 +148,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
-    """(id, language, probability, kept) from rows of evidence."""
+    """(id, language, probability, kept) from rows of evidence, and ``carried`` where they have it."""
     names = [*languages, UND]
     k = len(names)
     p = [f"p{i}" for i in range(k)]
@@ -142,35 +168,39 @@ def fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
     prior = (all_rows + 1) / (all_rows + 1).sum()
     seen = table[:-1] + 0.5 + 5.0 * np.eye(k)[: len(codes) - 1]  # most pages declare what they are
     says = np.log(seen / seen.sum(0))
-    country = {s: np.log(np.array([SUFFIX_ODDS if n == lang else 1.0 for n in names])) for s, lang in SUFFIXES.items()}
+    with_suffix = [x or 0.0 for x in hosts.where("suffix <> ''").agg(*sums).first()]
 
     def level(keys: list[str], tag: str) -> DataFrame:
         return hosts.groupBy(*keys).agg(*(F.sum(x).alias(f"{tag}{i}") for i, x in enumerate(p)))
 
+    def total(tag: str):
+        return sum((F.col(f"{tag}{i}") for i in range(k)), F.lit(0.0))
+
     tree = level(["suffix", "domain", "host"], "h").join(level(["suffix", "domain"], "d"), ["suffix", "domain"]).join(level(["suffix"], "s"), "suffix")
-    at = {t: [f"{t}{i}" for i in range(k)] for t in "hds"}
     share = [F.lit(float(x)) for x in prior]
-    for t in "sdh":
-        total = sum((F.col(c) for c in at[t]), F.lit(0.0))
-        share = [(F.col(c) + F.lit(ALPHA) * b) / (total + F.lit(ALPHA)) for c, b in zip(at[t], share)]
-    priors = tree.select("suffix", "domain", "host", F.array(*share).alias("prior"))
+    for t in "dh":
+        share = [(F.col(f"{t}{i}") + F.lit(ALPHA) * b) / (total(t) + F.lit(ALPHA)) for i, b in enumerate(share)]
+    # P(suffix | language) by its share of all rows with a suffix; that share is the same for all languages and falls out of an even ratio.
+    own = total("s") / F.lit(max(sum(with_suffix), 1e-9))
+    ends = [F.when(F.col("suffix") == "", 0.0).otherwise(F.log((F.col(f"s{i}") + F.lit(ALPHA) * own) / F.lit(n + ALPHA))) for i, n in enumerate(with_suffix)]
+    priors = tree.select("suffix", "domain", "host", F.array(*share).alias("prior"), F.array(*ends).alias("ends"))
 
     def decide(batches):
         for batch in batches:
             n = batch.num_rows
-            log = _matrix(batch.column(1), k) + np.log(_matrix(batch.column(4), k)) if n else np.zeros((0, k))
-            for i, (code, suffix) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+            log = _matrix(batch.column(1), k) + np.log(_matrix(batch.column(3), k)) + _matrix(batch.column(4), k) if n else np.zeros((0, k))
+            for i, code in enumerate(batch.column(2).to_pylist()):
                 if code != "none":
                     log[i] += says[codes.index(code)]
-                if suffix in country:
-                    log[i] += country[suffix]
             post = _soft(log) if n else log
             best = post.argmax(1) if n else np.zeros(0, int)
             top = post[np.arange(n), best]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([names[i] for i in best], pa.string()), pa.array(top, pa.float64()), pa.array((best < k - 1) & (top >= 0.5), pa.bool_())], ["id", "language", "probability", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([names[i] for i in best], pa.string()), pa.array(top, pa.float64()), pa.array((best < k - 1) & (top >= 0.5), pa.bool_()), *batch.columns[5:]], ["id", "language", "probability", "kept", *(["carried"] * len(carried))])
 
-    joined = rows.join(priors, ["suffix", "domain", "host"]).select("id", "text", "declared", "suffix", "prior")
-    return joined.mapInArrow(decide, "id bigint, language string, probability double, kept boolean")
+    carried = ["carried"] if "carried" in rows.columns else []
+    more = f", carried {rows.schema['carried'].dataType.simpleString()}" if carried else ""
+    joined = rows.join(priors, ["suffix", "domain", "host"]).select("id", "text", "declared", "prior", "ends", *carried)
+    return joined.mapInArrow(decide, "id bigint, language string, probability double, kept boolean" + more)
 
 
 def identify(df: DataFrame, model: np.ndarray, languages: list[str], **columns) -> DataFrame:

@@ -153,3 +153,44 @@ def private_values(text):
         else:
             i += 1
     return out
+
+
+def fused(rows, languages, alpha):
+    """[(id, language, probability)] of rows (id, log likelihoods, declared, suffix, domain, host)."""
+    import math
+
+    names = [*languages, "und"]
+    k = range(len(names))
+
+    def soft(v):
+        e = [math.exp(x - max(v)) for x in v]
+        return [x / sum(e) for x in e]
+
+    post = [soft(r[1]) for r in rows]
+
+    def added(key):
+        out = defaultdict(lambda: [0.0] * len(names))
+        for r, p in zip(rows, post):
+            out[key(r)] = [x + y for x, y in zip(out[key(r)], p)]
+        return out
+
+    everything = [sum(p[i] for p in post) + 1 for i in k]
+    codes, suffixes, domains, hosts = (added(f) for f in (lambda r: r[2], lambda r: r[3], lambda r: (r[3], r[4]), lambda r: (r[3], r[4], r[5])))
+    ended = [sum(v[i] for s, v in suffixes.items() if s) for i in k]
+    known = [*languages, "other"]
+    said = {c: [codes[c][i] + 0.5 + 5.0 * (j == i) for i in k] for j, c in enumerate(known)}
+    out = []
+    for r in rows:
+        base = [x / sum(everything) for x in everything]
+        for level in (domains[r[3], r[4]], hosts[r[3], r[4], r[5]]):
+            base = [(level[i] + alpha * base[i]) / (sum(level) + alpha) for i in k]
+        log = [r[1][i] + math.log(base[i]) for i in k]
+        if r[2] != "none":
+            log = [x + math.log(said[r[2]][i] / sum(said[c][i] for c in known)) for i, x in enumerate(log)]
+        if r[3]:
+            s = suffixes[r[3]]
+            log = [x + math.log((s[i] + alpha * sum(s) / sum(ended)) / (ended[i] + alpha)) for i, x in enumerate(log)]
+        p = soft(log)
+        best = max(k, key=lambda i: p[i])
+        out.append((r[0], names[best], p[best]))
+    return out

@@ -541,6 +541,36 @@ def test_language_evidence(spark):
     assert len(got) == 5 and got[2].language == "de" and got[4].language == "fr" and not got[3].kept
 
 
+def test_fusion_equals_brute_force(spark):
+    """Posteriors from text, declaration, suffix, domain and host against plain sums; repeated and null ids, and extra columns, come along."""
+    r = random.Random(9)
+    rows_ = []
+    for i in range(150):
+        host = r.choice(["a.example.fr", "b.example.fr", "www.shop.co.uk", "x.de", "y.example.com", ""])
+        rows_.append((None if i % 40 == 0 else i // 2, [r.uniform(-40, 0) for _ in range(4)] + [-20.0], r.choice(["en", "fr", "none", "other"]), host.rpartition(".")[2], language.domain_of(host), host))
+    df = spark.createDataFrame(rows_, "id bigint, text array<double>, declared string, suffix string, domain string, host string").repartition(3)
+    got = language.fuse(df, ["de", "en", "es", "fr"]).collect()
+    want = brute.fused(rows_, ["de", "en", "es", "fr"], language.ALPHA)
+    assert srt((x.id, x.language, round(x.probability, 9)) for x in got) == srt((a, b, round(c, 9)) for a, b, c in want)
+    assert all(x.kept == (x.language != "und" and x.probability >= 0.5) for x in got)
+    assert [language.domain_of(x) for x in ("a.b.example.fr", "www.shop.co.uk", "localhost", "x.de")] == ["example.fr", "shop.co.uk", "localhost", "x.de"]
+
+
+def test_text_likelihoods_equal_a_plain_count(spark):
+    """Trigram by trigram, for short, long, null and empty texts."""
+    r = random.Random(10)
+    model = np.log(np.random.default_rng(1).dirichlet(np.ones(language.BUCKETS), 3)).astype(np.float32)
+    texts = [None, "", "  ", "a", "ab é", "x" * 5000, "".join(r.choices("abc dé", k=900)), "word " * 60_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {x.id: list(x.text) for x in language.evidence(df, model, ["de", "en"], "doc_id", "text").collect()}
+    for i, t in enumerate(texts):
+        b = f" {(t or '').strip().lower()} ".encode()
+        found = [(((b[j] * 0x9E3779B1) ^ (b[j + 1] * 0x85EBCA77) ^ (b[j + 2] * 0xC2B2AE3D)) * 0x27D4EB2F & 0xFFFFFFFF) >> 17 for j in range(len(b) - 2)] if (t or "").strip() else []
+        want = [float(np.mean([model[m][x] for x in found], dtype=np.float64)) * min(len(found), 60) if found else 0.0 for m in range(3)]
+        want[-1] += np.log(language.UND_WEIGHT)
+        assert np.allclose(got[i], want, rtol=1e-4)
+
+
 def test_all_queries_are_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
 
