@@ -22,12 +22,10 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no known language explains go."""
+    """Documents that no known language explains go. The verdict comes along with its row."""
     model = language.train(docs, LANGUAGES)
-    rows = keyed(docs)
-    found = language.identify(rows, model, LANGUAGES, id_col="row", text_col="text", declared_col="lang", host_col="source")
-    rejected = found.where(~F.col("kept")).select(F.col("id").alias("row")).distinct()  # equal rows have equal verdicts
-    return rows.join(rejected, "row", "left_anti").select(*COLUMNS)
+    found = language.identify(docs, model, LANGUAGES, id_col="doc_id", text_col="text", declared_col="lang", host_col="source", carry=COLUMNS)
+    return found.where("kept").select("carried.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
