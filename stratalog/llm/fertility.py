@@ -1,52 +1,72 @@
-"""Quality rules from a public vocabulary: how its tokens fit a text.
+"""Quality rules from public vocabularies: how their tokens fit a text.
 
-Three measures of each text, by a sentencepiece vocabulary with byte fallback,
-each word encoded by itself:
+Three measures of each text by each vocabulary, each word encoded by itself:
 
 - characters per token: low for symbols, capitals and made-up strings;
-- byte-fallback share: tokens that are raw bytes, of all tokens;
+- byte-fallback share: tokens that are single bytes of no ASCII character, of all tokens;
 - token entropy, in bits: near 0 where one token is repeated.
 
-Each language has a typical fertility and a typical entropy, which grows with the
-logarithm of the tokens; both were fitted on labelled good texts and are fixed
-values. Fertility is judged by its distance times the root of the tokens, so that
-short texts may vary more. A text outside a band is rejected, as is one (of 120 tokens or more) that is
-near the lower edge of two of them. Codes are lower-cased and cut at '-' or '_'. With
-another code, or none, a text of Latin letters must pass the bands of a language whose
-function words it has (of any fitted language where it has none), which also
-rejects good texts of Latin languages far from all of these; one of other scripts gets ``*``.
+Each language, or script, has bands by vocabulary: a typical fertility, a typical
+entropy that grows with the logarithm of the tokens, and how far a text may be from
+them. Distances of fertility are taken times the root of the tokens, so that short
+texts may vary more. A text outside a band of either vocabulary is rejected.
+
+fit() finds the bands from labelled good rows, at most FIT_ROWS of them; BANDS holds
+what it found on a table of four languages. Codes of languages are lower-cased and
+cut at '-' or '_'. With another code, or none, a text takes the bands of its main
+script where these are known; else a text of Latin letters must pass the bands of a
+language whose function words it has (of any fitted language where it has none),
+which also rejects good texts of Latin languages far from all of these; one of another
+script takes the wide bands ``*``, which reject little.
 
 Base rules come first: too few words, or too many in repeated 8-word windows.
-A null text has no words. Rows are judged each by itself.
+Null and empty texts have no words and fail them. Rows are judged each by itself,
+repeated ones alike; an empty table gives no rows. Texts are taken whole, a slice of
+bytes or one text at a time.
 """
 
 from __future__ import annotations
 
+import base64
 import re
 from array import array
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .arrow import slices
+from .arrow import slices, stored
 from .substrings import covered
 from .words import WORD, grams, shared_words
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
-#: Fixed values by language: characters per token, entropy at one token, its growth with each doubling of the tokens.
-TYPICAL = {
-    "en": (2.22, 4.49, 0.22),
-    "fr": (1.98, 5.00, 0.15),
-    "de": (2.24, 4.68, 0.19),
-    "es": (1.94, 4.53, 0.20),
-    "*": (2.10, 4.60, 0.20),
+
+
+class Band(NamedTuple):
+    """Typical characters per token, typical entropy at one token and its growth with each doubling; least and greatest distance of fertility, least distance of entropy, greatest byte-fallback share."""
+
+    per: float
+    start: float
+    growth: float
+    low: float
+    high: float
+    entropy: float
+    bytes: float
+
+
+#: Labelled rows that bands are fitted on, at most; the share of good rows beyond each edge, and how much wider than that the bands are.
+FIT_ROWS, BEYOND, WIDER = 20_000, 0.001, 1.4
+#: Fixed values that fit() found, by language and vocabulary.
+BANDS: dict[str, tuple[Band, Band]] = {
+    "de": (Band(2.243, 4.693, 0.184, -4.641, 3.656, -0.935, 0.02), Band(2.308, 4.601, 0.203, -3.763, 4.065, -1.037, 0.058)),
+    "en": (Band(2.219, 4.505, 0.22, -6.54, 3.99, -0.947, 0.02), Band(2.231, 4.43, 0.234, -3.919, 4.261, -0.925, 0.022)),
+    "es": (Band(1.94, 4.733, 0.184, -3.862, 3.848, -0.591, 0.02), Band(2.061, 4.71, 0.186, -3.215, 3.884, -0.595, 0.04)),
+    "fr": (Band(1.979, 4.986, 0.148, -6.353, 3.828, -0.666, 0.02), Band(2.038, 4.947, 0.161, -4.417, 3.816, -0.65, 0.03)),
+    "*": (Band(2.1, 4.6, 0.2, -30.0, 60.0, -2.5, 0.6), Band(2.1, 4.6, 0.2, -30.0, 60.0, -2.5, 0.9)),
 }
-#: Least and greatest distance of fertility, least distance of entropy, both where a text is near two edges, greatest byte-fallback share.
-BAND = {"fertility": (-5.5, 6.0), "entropy": -1.25, "near": (-2.2, -0.35), "bytes": 0.30}
-WIDE = {"fertility": (-30.0, 60.0), "entropy": -2.5, "near": (-15.0, -1.5), "bytes": 0.60}
 #: Frequent words that tell the fitted languages apart.
 FUNCTION_WORDS = {
     "en": "the of and to is was for that with it as on be by this are from at or you his which not have",
@@ -55,23 +75,47 @@ FUNCTION_WORDS = {
     "es": "el la los las y que del se una por con un para es su al lo como más no sus o fue ha",
 }
 SPEAKS = {k: {w.encode() for w in v.split()} for k, v in FUNCTION_WORDS.items()}
-LATIN = re.compile(r"[A-Za-z\u00AA\u00BA\u00C0-\u024F\u1E00-\u1EFF]")
+#: Letters of scripts.
+SCRIPTS = {
+    "latin": re.compile(r"[A-Za-zªºÀ-ɏḀ-ỿ]"),
+    "greek": re.compile(r"[Ͱ-Ͽἀ-῿]"),
+    "cyrillic": re.compile(r"[Ѐ-ԯ]"),
+    "hebrew": re.compile(r"[֐-׿]"),
+    "arabic": re.compile(r"[؀-ۿݐ-ݿ]"),
+    "devanagari": re.compile(r"[ऀ-ॿ]"),
+    "thai": re.compile(r"[฀-๿]"),
+    "hangul": re.compile(r"[가-힣]"),
+    "kana": re.compile(r"[぀-ヿ]"),
+    "han": re.compile(r"[㐀-鿿]"),
+}
 CODE_END = re.compile("[-_]")
 LETTER = re.compile(r"[^\W\d_]")
-SCHEMA = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, n_tokens bigint, chars_per_token double, byte_share double, entropy double, kept boolean"
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+BASE = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean"
+MEASURES = ("n_tokens bigint", "chars_per_token double", "byte_share double", "entropy double")
 
 
 class Pieces(dict):
-    """Ids of a word by a sentencepiece vocabulary, as little-endian 32-bit integers."""
+    """Ids of a word by a vocabulary (a sentencepiece model, or ranks of byte strings), as little-endian 32-bit integers."""
 
     def __init__(self, path: str):
-        import sentencepiece
+        if path.endswith(".model"):
+            import sentencepiece
+
+            model = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.encode = model.EncodeAsIds
+            self.byte = np.array([model.IsByte(i) for i in range(model.GetPieceSize())])
+        else:
+            import tiktoken
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.byte = np.array([self.model.IsByte(i) for i in range(self.model.GetPieceSize())])
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+            model = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.encode = lambda word: model.encode_ordinary(" " + word)
+            self.byte = np.zeros(1 + max(ranks.values()), bool)
+            self.byte[[i for b, i in ranks.items() if len(b) == 1 and b[0] > 127]] = True
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = array("I", self.model.EncodeAsIds(word.decode("utf-8", "replace"))).tobytes()
+        ids = array("I", self.encode(word.decode("utf-8", "replace"))).tobytes()
         if len(word) <= 64:
             if len(self) >= 400_000:
                 self.clear()
@@ -79,7 +123,7 @@ class Pieces(dict):
         return ids
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=4)
 def shared_pieces(path: str) -> Pieces:
     return Pieces(path)
 
@@ -93,19 +137,28 @@ def measures(pieces: Pieces, words: list[bytes], chars: int) -> tuple[int, float
     return len(ids), chars / len(ids), float(pieces.byte[ids].mean()), float(-(p * np.log2(p)).sum())
 
 
-def passes(tokens: int, per: float, share: float, entropy: float, typical: tuple[float, float, float], band: dict) -> bool:
-    """Whether the measures lie in a language's bands."""
+def passes(tokens: int, per: float, share: float, entropy: float, band: Band) -> bool:
+    """Whether the measures lie in a band."""
     if not tokens:
         return False
-    f, e = (per - typical[0]) * tokens**0.5, entropy - typical[1] - typical[2] * np.log2(tokens)
-    near = tokens >= 120 and f < band["near"][0] and e < band["near"][1]
-    return bool(band["fertility"][0] <= f <= band["fertility"][1] and e >= band["entropy"] and not near and share <= band["bytes"])
+    f, e = (per - band.per) * tokens**0.5, entropy - band.start - band.growth * np.log2(tokens)
+    return bool(band.low <= f <= band.high and e >= band.entropy and share <= band.bytes)
+
 
+def script(t: str) -> str:
+    """The script of more letters than any other's, '' where there are none."""
+    n = {k: len(p.findall(t)) for k, p in SCRIPTS.items()} if not t.isascii() else {"latin": len(SCRIPTS["latin"].findall(t))}
+    best = max(n, key=n.get)
+    return best if n[best] else ""
 
-def candidates(t: str, typical: dict) -> list[str]:
-    """The keys of ``typical`` whose bands judge a text of no known language: one of them must accept it."""
-    fitted = [k for k in typical if k != "*"]
-    if not fitted or 2 * len(LATIN.findall(t)) < len(LETTER.findall(t)):
+
+def candidates(t: str, bands: dict) -> list[str]:
+    """The keys of ``bands`` that judge a text of no known language: one of them must accept it."""
+    of = script(t)
+    if of in bands:
+        return [of]
+    fitted = [k for k in bands if k != "*" and k not in SCRIPTS]
+    if not fitted or of not in ("latin", "") or 2 * len(SCRIPTS["latin"].findall(t)) < len(LETTER.findall(t)):
         return ["*"]
     words = WORD.findall(t.lower().encode("utf-8", "surrogatepass"))
     n = {k: sum(map(SPEAKS[k].__contains__, words)) for k in fitted if k in SPEAKS}
@@ -113,12 +166,18 @@ def candidates(t: str, typical: dict) -> list[str]:
     return [k for k in n if 2 * n[k] >= most] if most else fitted
 
 
-def quality(df: DataFrame, vocab: str, typical: dict[str, tuple[float, float, float]] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
-    """A row for each row: the counts, the measures and the verdict ``kept``."""
-    typical = typical or TYPICAL
+def columns(vocabs: dict[str, str]) -> str:
+    """The measures' columns, by vocabulary."""
+    return ", ".join(f"{v}_{m}" for v in vocabs for m in MEASURES)
+
+
+def quality(df: DataFrame, vocabs: dict[str, str], bands: dict[str, tuple[Band, ...]] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
+    """A row for each row: the counts, the measures by each vocabulary (name: path), the main script and the verdict ``kept``. Bands are in the order of the vocabularies."""
+    bands = bands or BANDS
+    schema = f"doc_id bigint, {BASE}, {columns(vocabs)}, script string, kept boolean"
 
     def run(batches):
-        pieces, memo = shared_pieces(vocab), shared_words()
+        pieces, memo = [shared_pieces(v) for v in vocabs.values()], shared_words()
         for batch in batches:
             for part in slices(batch, 1):
                 rows = []
@@ -138,14 +197,33 @@ def quality(df: DataFrame, vocab: str, typical: dict[str, tuple[float, float, fl
                             twice[order[1:][same]] = twice[order[:-1][same]] = True
                             repeat = int(covered(np.flatnonzero(twice), n, 8).sum())
                     failed = n < min_words or 100 * repeat > max_repeat_percent * n
-                    tokens, per, share, entropy = measures(pieces, words, chars)
+                    own = [measures(p, words, chars) for p in pieces]
                     code = CODE_END.split((lang or "").strip().lower())[0]
-                    known = [code] if code in typical and code != "*" else [] if failed else candidates(t, typical)
-                    kept = not failed and any(passes(tokens, per, share, entropy, typical.get(k, TYPICAL["*"]), WIDE if k == "*" else BAND) for k in known)
-                    rows.append((d, n, chars, sum(map(t.count, SYMBOLS)), len(lines) - len(set(lines)), repeat, failed, tokens, per, share, entropy, kept))
-                kinds = [pa.int64()] * 6 + [pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
+                    known = [code] if code in bands and code != "*" else [] if failed else candidates(t, bands)
+                    kept = not failed and any(all(passes(*m, b) for m, b in zip(own, bands.get(k, BANDS["*"]))) for k in known)
+                    rows.append((d, n, chars, sum(map(t.count, SYMBOLS)), len(lines) - len(set(lines)), repeat, failed, *(x for m in own for x in m), script(t), kept))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    types = {"bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}
+    names, kinds = zip(*((c.split()[0], types[c.split()[1]]) for c in schema.split(", ")))
+    names = list(names)
     lang = F.col(lang_col).cast("string") if lang_col in df.columns else F.lit(None).cast("string")
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), lang.alias("lang")).mapInArrow(run, SCHEMA)
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), lang.alias("lang")).mapInArrow(run, schema)
+
+
+def fit(good: DataFrame, vocabs: dict[str, str], by: str = "lang", rows: int = FIT_ROWS, text_col: str = "text") -> dict[str, tuple[Band, ...]]:
+    """Bands of each language (column ``by``), or of each script (``by`` is "script"), from at most ``rows`` good rows that the base rules pass; with the wide bands."""
+    key = F.lower(F.split(F.col(by).cast("string"), "[-_]")[0]) if by != "script" else F.lit(None).cast("string")
+    some = stored(good.select(F.col(text_col).cast("string").alias("text"), key.alias("lang")).limit(rows).withColumn("id", F.xxhash64("text")), "fertility-rows")
+    languages = some.groupBy("id").agg(F.min("lang").alias("lang")).withColumnRenamed("id", "doc_id")
+    m = quality(some.dropDuplicates(["id"]), vocabs, id_col="id").where("NOT base_failed").join(languages, "doc_id")
+    m = m.withColumn("key", F.col("script") if by == "script" else F.col("lang")).where("key <> ''")
+    out: dict[str, list[Band]] = {}
+    for v in vocabs:
+        n, per, e = (F.col(f"{v}_{x}") for x in ("n_tokens", "chars_per_token", "entropy"))
+        typical = m.groupBy("key").agg(F.percentile(per, 0.5).alias("per"), F.regr_slope(e, F.log2(n)).alias("growth"), F.regr_intercept(e, F.log2(n)).alias("start"))
+        far = m.join(typical, "key").withColumn("f", (per - F.col("per")) * F.sqrt(n)).withColumn("e", e - F.col("start") - F.col("growth") * F.log2(n))
+        edge = far.groupBy("key").agg(F.percentile("f", F.array(F.lit(BEYOND), F.lit(1 - BEYOND))).alias("f"), F.percentile("e", BEYOND).alias("e"), F.max(f"{v}_byte_share").alias("b"))
+        for r in typical.join(edge, "key").where("growth IS NOT NULL").collect():  # a row a language or script
+            out.setdefault(r.key, []).append(Band(r.per, r.start, r.growth, WIDER * r.f[0], WIDER * r.f[1], WIDER * r.e, 1.5 * r.b + 0.02))
+    return {k: tuple(b) for k, b in sorted(out.items()) if len(b) == len(vocabs)} | {"*": BANDS["*"][: len(vocabs)]}

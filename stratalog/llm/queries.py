@@ -19,6 +19,8 @@ def vocabulary(name: str) -> str:
 
 #: The languages of the labelled rows.
 LANGUAGES = ["de", "en", "es", "fr"]
+#: The vocabularies of the quality rules.
+VOCABULARIES = {"piece": "piece_bpe_32k.model", "multi": "byte_bpe_multi_50k.tiktoken"}
 #: The key of the pseudonyms; a deployment passes its own to pii.pseudonymise.
 KEY = b"stratalog example key"
 
@@ -62,7 +64,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fertility.quality(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+    return fertility.quality(documents(spark, sf_dir), {v: vocabulary(f) for v, f in VOCABULARIES.items()})
 
 
 def op8_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

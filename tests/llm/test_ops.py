@@ -19,7 +19,8 @@ import brute  # noqa: E402
 from stratalog.llm import fertility, graphs, imatch, language, lines, ngram_join, packing, pii, queries, substrings, token_files, tokens  # noqa: E402
 from stratalog.llm.arrow import work_dir  # noqa: E402
 
-BYTE, WORD, PIECE = (queries.vocabulary(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
+BYTE, WORD = (queries.vocabulary(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+PIECE = {v: queries.vocabulary(f) for v, f in queries.VOCABULARIES.items()}
 COMMON = "This line is shared by very many of the documents here."
 
 
@@ -371,6 +372,61 @@ def test_quality_verdicts_on_labelled_rows(spark):
     assert share[1] > 0.97 and share[0] < 0.3
 
 
+def test_measures_and_verdicts_equal_plain_ones(spark, docs):
+    """Word by word with the libraries, and the bands as they are written."""
+    import base64
+    import math
+
+    import public_tokenizers
+    import sentencepiece
+    import tiktoken
+
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()
+    rows_ = [(1000 + i, t, "en") for i, (_, t) in enumerate(docs)] + [(r.doc_id, r.text, r.lang) for r in real]
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PIECE["multi"], "rb"))}
+    of = {i: b for b, i in ranks.items()}
+    piece, multi = sentencepiece.SentencePieceProcessor(model_file=PIECE["piece"]), tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def plain(ids, is_byte, chars):
+        if not ids:
+            return 0, 0.0, 0.0, 0.0
+        n = len(ids)
+        return n, chars / n, sum(map(is_byte, ids)) / n, -sum(c / n * math.log2(c / n) for c in brute.Counter(ids).values())
+
+    got = {r.doc_id: r for r in fertility.quality(spark.createDataFrame(rows_, "doc_id bigint, text string, lang string"), PIECE).collect()}
+    kept = 0
+    for d, t, lang in rows_:
+        words = brute.WORD.findall(t or "")
+        chars = sum(map(len, words))
+        a = plain([i for w in words for i in piece.EncodeAsIds(w)], piece.IsByte, chars)
+        b = plain([i for w in words for i in multi.encode_ordinary(" " + w)], lambda i: len(of[i]) == 1 and of[i][0] > 127, chars)
+        r = got[d]
+        assert np.allclose([r.piece_n_tokens, r.piece_chars_per_token, r.piece_byte_share, r.piece_entropy], a) and np.allclose([r.multi_n_tokens, r.multi_chars_per_token, r.multi_byte_share, r.multi_entropy], b)
+        inside = []
+        for (n, per, share, e), band in zip((a, b), fertility.BANDS[lang]):
+            far = (per - band.per) * n**0.5
+            inside.append(n > 0 and band.low <= far <= band.high and (n and e - (band.start + band.growth * math.log2(n))) >= band.entropy and share <= band.bytes)
+        assert r.kept == (not r.base_failed and all(inside))
+        kept += r.kept
+    assert 100 < kept < len(rows_)
+
+
+def test_bands_are_fitted_and_hold_out(spark):
+    """Fitted on half of the labelled rows, bands tell the other half; those of the module are what fitting on all gives."""
+    at = "/root/testdata/sf0.1"
+    rows_ = spark.read.parquet(f"{at}/documents.parquet").join(spark.read.parquet(f"{at}/labels.parquet"), "doc_id")
+    bands = fertility.fit(rows_.where("quality = 1 AND doc_id % 2 = 0"), PIECE)
+    assert set(bands) == {"de", "en", "es", "fr", "*"}
+    got = fertility.quality(rows_.where("doc_id % 2 = 1"), PIECE, bands).where("n_words >= 20").join(rows_.select("doc_id", "quality"), "doc_id")
+    share = {r.quality: r.share for r in got.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("share")).collect()}
+    assert share[1] > 0.99 and share[0] < 0.1
+    for k, pair in fertility.fit(rows_.where("quality = 1"), PIECE).items():
+        assert np.allclose(np.array(pair), np.array(fertility.BANDS[k]), atol=0.001)
+    scripts = fertility.fit(rows_.where("quality = 1"), PIECE, by="script")
+    assert set(scripts) == {"latin", "*"}
+    assert fertility.script("В начале было") == "cyrillic" and fertility.script("東京 is") in ("han", "latin") and fertility.script("123") == ""
+
+
 def test_quality_verdicts_without_a_language(spark):
     """Most bad texts go where the language isn't given either, codes may be written otherwise, and other scripts stay."""
     at = "/root/testdata/sf0.01"
