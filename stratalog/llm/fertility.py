@@ -1,6 +1,7 @@
 """Quality rules from public vocabularies: how their tokens fit a text.
 
-Three measures of each text by each vocabulary, each word encoded by itself:
+Three measures of each text by each vocabulary, the words joined by single blanks,
+so that tokens don't cross them:
 
 - characters per token: low for symbols, capitals and made-up strings;
 - byte-fallback share: tokens that are single bytes of no ASCII character, of all tokens;
@@ -75,19 +76,24 @@ FUNCTION_WORDS = {
     "es": "el la los las y que del se una por con un para es su al lo como más no sus o fue ha",
 }
 SPEAKS = {k: {w.encode() for w in v.split()} for k, v in FUNCTION_WORDS.items()}
-#: Letters of scripts.
+#: Where the letters of scripts lie, first and last code point.
 SCRIPTS = {
-    "latin": re.compile(r"[A-Za-zªºÀ-ɏḀ-ỿ]"),
-    "greek": re.compile(r"[Ͱ-Ͽἀ-῿]"),
-    "cyrillic": re.compile(r"[Ѐ-ԯ]"),
-    "hebrew": re.compile(r"[֐-׿]"),
-    "arabic": re.compile(r"[؀-ۿݐ-ݿ]"),
-    "devanagari": re.compile(r"[ऀ-ॿ]"),
-    "thai": re.compile(r"[฀-๿]"),
-    "hangul": re.compile(r"[가-힣]"),
-    "kana": re.compile(r"[぀-ヿ]"),
-    "han": re.compile(r"[㐀-鿿]"),
+    "latin": ((0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0x24F), (0x1E00, 0x1EFF)),
+    "greek": ((0x370, 0x3FF), (0x1F00, 0x1FFF)),
+    "cyrillic": ((0x400, 0x52F),),
+    "hebrew": ((0x590, 0x5FF),),
+    "arabic": ((0x600, 0x6FF), (0x750, 0x77F)),
+    "devanagari": ((0x900, 0x97F),),
+    "thai": ((0xE00, 0xE7F),),
+    "hangul": ((0xAC00, 0xD7A3),),
+    "kana": ((0x3040, 0x30FF),),
+    "han": ((0x3400, 0x9FFF),),
 }
+#: The script of each 16-bit unit, by its place above and from 1; 0: of none.
+SCRIPT_OF = np.zeros(1 << 16, np.uint8)
+for _i, _spans in enumerate(SCRIPTS.values(), 1):
+    for _first, _last in _spans:
+        SCRIPT_OF[_first : _last + 1] = _i
 CODE_END = re.compile("[-_]")
 LETTER = re.compile(r"[^\W\d_]")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -96,41 +102,54 @@ MEASURES = ("n_tokens bigint", "chars_per_token double", "byte_share double", "e
 
 
 class Pieces(dict):
-    """Ids of a word by a vocabulary (a sentencepiece model, or ranks of byte strings), as little-endian 32-bit integers."""
+    """Token ids of a text by a sentencepiece model. Ids of words are kept, those of lately used ones."""
 
-    def __init__(self, path: str):
-        if path.endswith(".model"):
-            import sentencepiece
+    KEPT = 400_000
 
-            model = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.encode = model.EncodeAsIds
-            self.byte = np.array([model.IsByte(i) for i in range(model.GetPieceSize())])
-        else:
-            import tiktoken
+    def __init__(self, path: str):
+        import sentencepiece
 
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
-            model = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-            self.encode = lambda word: model.encode_ordinary(" " + word)
-            self.byte = np.zeros(1 + max(ranks.values()), bool)
-            self.byte[[i for b, i in ranks.items() if len(b) == 1 and b[0] > 127]] = True
+        super().__init__()
+        self.old: dict[bytes, bytes] = {}
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.byte = np.array([self.model.IsByte(i) for i in range(self.model.GetPieceSize())])
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = array("I", self.encode(word.decode("utf-8", "replace"))).tobytes()
+        ids = self.old.get(word) or array("I", self.model.EncodeAsIds(word.decode("utf-8", "replace"))).tobytes()
         if len(word) <= 64:
-            if len(self) >= 400_000:
+            if 2 * len(self) >= self.KEPT:
+                self.old = dict(self)
                 self.clear()
             self[word] = ids
         return ids
 
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), np.uint32)
+
+
+class Ranks:
+    """The same by ranks of byte strings."""
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+        self.model = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.byte = np.zeros(1 + max(ranks.values()), bool)
+        self.byte[[i for b, i in ranks.items() if len(b) == 1 and b[0] > 127]] = True
+
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        return self.model.encode_to_numpy((b" " + b" ".join(words)).decode("utf-8", "replace"), disallowed_special=()) if words else np.zeros(0, np.uint32)
+
 
 @lru_cache(maxsize=4)
-def shared_pieces(path: str) -> Pieces:
-    return Pieces(path)
+def shared_pieces(path: str) -> Pieces | Ranks:
+    return Pieces(path) if path.endswith(".model") else Ranks(path)
 
 
-def measures(pieces: Pieces, words: list[bytes], chars: int) -> tuple[int, float, float, float]:
+def measures(pieces: Pieces | Ranks, words: list[bytes], chars: int) -> tuple[int, float, float, float]:
     """Tokens, characters per token, byte-fallback share, entropy. A text without words has 0 of each."""
-    ids = np.frombuffer(b"".join(map(pieces.__getitem__, words)), np.uint32)
+    ids = pieces.ids(words)
     if not len(ids):
         return 0, 0.0, 0.0, 0.0
     p = np.unique(ids, return_counts=True)[1] / len(ids)
@@ -145,20 +164,24 @@ def passes(tokens: int, per: float, share: float, entropy: float, band: Band) ->
     return bool(band.low <= f <= band.high and e >= band.entropy and share <= band.bytes)
 
 
+def letters(t: str) -> np.ndarray:
+    """The letters of each script in a text, by its place in SCRIPTS and from 1."""
+    units = np.frombuffer(t.encode("utf-16-le", "surrogatepass"), np.uint16)
+    return np.bincount(SCRIPT_OF[units], minlength=len(SCRIPTS) + 1)[1:]
+
+
 def script(t: str) -> str:
     """The script of more letters than any other's, '' where there are none."""
-    n = {k: len(p.findall(t)) for k, p in SCRIPTS.items()} if not t.isascii() else {"latin": len(SCRIPTS["latin"].findall(t))}
-    best = max(n, key=n.get)
-    return best if n[best] else ""
+    n = letters(t)
+    return list(SCRIPTS)[int(n.argmax())] if n.any() else ""
 
 
-def candidates(t: str, bands: dict) -> list[str]:
-    """The keys of ``bands`` that judge a text of no known language: one of them must accept it."""
-    of = script(t)
+def candidates(t: str, of: str, bands: dict) -> list[str]:
+    """The keys of ``bands`` that judge a text of no known language and a main script: one of them must accept it."""
     if of in bands:
         return [of]
     fitted = [k for k in bands if k != "*" and k not in SCRIPTS]
-    if not fitted or of not in ("latin", "") or 2 * len(SCRIPTS["latin"].findall(t)) < len(LETTER.findall(t)):
+    if not fitted or of not in ("latin", "") or 2 * letters(t)[0] < len(LETTER.findall(t)):
         return ["*"]
     words = WORD.findall(t.lower().encode("utf-8", "surrogatepass"))
     n = {k: sum(map(SPEAKS[k].__contains__, words)) for k in fitted if k in SPEAKS}
@@ -199,9 +222,10 @@ def quality(df: DataFrame, vocabs: dict[str, str], bands: dict[str, tuple[Band,
                     failed = n < min_words or 100 * repeat > max_repeat_percent * n
                     own = [measures(p, words, chars) for p in pieces]
                     code = CODE_END.split((lang or "").strip().lower())[0]
-                    known = [code] if code in bands and code != "*" else [] if failed else candidates(t, bands)
+                    of = script(t)
+                    known = [code] if code in bands and code != "*" else [] if failed else candidates(t, of, bands)
                     kept = not failed and any(all(passes(*m, b) for m, b in zip(own, bands.get(k, BANDS["*"]))) for k in known)
-                    rows.append((d, n, chars, sum(map(t.count, SYMBOLS)), len(lines) - len(set(lines)), repeat, failed, *(x for m in own for x in m), script(t), kept))
+                    rows.append((d, n, chars, sum(map(t.count, SYMBOLS)), len(lines) - len(set(lines)), repeat, failed, *(x for m in own for x in m), of, kept))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     types = {"bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}
