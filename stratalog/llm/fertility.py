@@ -30,17 +30,18 @@ from __future__ import annotations
 
 import base64
 import re
-from array import array
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .arrow import slices, stored
 from .substrings import covered
-from .words import WORD, grams, shared_words
+from .words import WORD, grams
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -94,6 +95,8 @@ SCRIPT_OF = np.zeros(1 << 16, np.uint8)
 for _i, _spans in enumerate(SCRIPTS.values(), 1):
     for _first, _last in _spans:
         SCRIPT_OF[_first : _last + 1] = _i
+#: Words of a worker's table, and their bytes, after which it starts again.
+WORDS, WORD_BYTES = 400_000, 16 << 20
 CODE_END = re.compile("[-_]")
 LETTER = re.compile(r"[^\W\d_]")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -101,59 +104,110 @@ BASE = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint,
 MEASURES = ("n_tokens bigint", "chars_per_token double", "byte_share double", "entropy double")
 
 
-class Pieces(dict):
-    """Token ids of a text by a sentencepiece model. Ids of words are kept, those of lately used ones."""
-
-    KEPT = 400_000
+class Pieces:
+    """Token ids of words by a sentencepiece model."""
 
     def __init__(self, path: str):
         import sentencepiece
 
-        super().__init__()
-        self.old: dict[bytes, bytes] = {}
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.byte = np.array([self.model.IsByte(i) for i in range(self.model.GetPieceSize())])
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.old.get(word) or array("I", self.model.EncodeAsIds(word.decode("utf-8", "replace"))).tobytes()
-        if len(word) <= 64:
-            if 2 * len(self) >= self.KEPT:
-                self.old = dict(self)
-                self.clear()
-            self[word] = ids
-        return ids
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, words)), np.uint32)
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some words, one after another, and how many each has."""
+        ids = self.model.encode(words, out_type=int, num_threads=1)
+        n = np.array([len(x) for x in ids], np.int64)
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum())), n
 
 
 class Ranks:
-    """The same by ranks of byte strings."""
+    """The same by ranks of byte strings, of words after a blank."""
 
     def __init__(self, path: str):
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
         self.model = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.byte = np.zeros(1 + max(ranks.values()), bool)
-        self.byte[[i for b, i in ranks.items() if len(b) == 1 and b[0] > 127]] = True
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        return self.model.encode_to_numpy((b" " + b" ".join(words)).decode("utf-8", "replace"), disallowed_special=()) if words else np.zeros(0, np.uint32)
-
-
-@lru_cache(maxsize=4)
-def shared_pieces(path: str) -> Pieces | Ranks:
-    return Pieces(path) if path.endswith(".model") else Ranks(path)
-
-
-def measures(pieces: Pieces | Ranks, words: list[bytes], chars: int) -> tuple[int, float, float, float]:
-    """Tokens, characters per token, byte-fallback share, entropy. A text without words has 0 of each."""
-    ids = pieces.ids(words)
-    if not len(ids):
-        return 0, 0.0, 0.0, 0.0
-    p = np.unique(ids, return_counts=True)[1] / len(ids)
-    return len(ids), chars / len(ids), float(pieces.byte[ids].mean()), float(-(p * np.log2(p)).sum())
+        self.size = np.zeros(1 + max(ranks.values()), np.int64)
+        self.byte = np.zeros(len(self.size), bool)
+        for b, i in ranks.items():
+            self.size[i], self.byte[i] = len(b), len(b) == 1 and b[0] > 127
+
+    def _one(self, word: str) -> list[int]:
+        try:
+            return self.model.encode_ordinary(" " + word)
+        except ValueError:  # a run of some white space too long for the pattern's stack
+            return [i for at in range(0, len(word), 10_000) for i in self.model.encode_ordinary((" " if at == 0 else "") + word[at : at + 10_000])]
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        try:
+            ids = self.model.encode_to_numpy(" " + " ".join(words), disallowed_special=())
+        except ValueError:
+            ids = np.zeros(0, np.uint32)
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        tokens = np.cumsum(self.size[ids])
+        at = np.searchsorted(tokens, ends)
+        if len(ids) and at[-1] < len(ids) and (tokens[at] == ends).all():
+            return ids, np.diff(at, prepend=-1)
+        each = [self._one(w) for w in words]
+        return np.fromiter(chain.from_iterable(each), np.uint32), np.array([len(x) for x in each], np.int64)
+
+
+class WordTable(dict):
+    """Places of words in arrays of their hashes and token ids. New words wait until settle() encodes them together; the table starts again when it is full."""
+
+    def __init__(self, paths: tuple[str, ...]):
+        super().__init__()
+        self.vocabularies = [Pieces(p) if p.endswith(".model") else Ranks(p) for p in paths]
+        self._start()
+
+    def _start(self) -> None:
+        self.clear()
+        self.new, self.bytes = [], 0
+        self.hash = np.zeros(0, np.uint64)
+        self.ids = [np.zeros(0, np.uint32) for _ in self.vocabularies]
+        self.n = [np.zeros(0, np.int64) for _ in self.vocabularies]
+
+    def __missing__(self, word: bytes) -> int:
+        i = self[word] = len(self)
+        self.new.append(word)
+        self.bytes += len(word)
+        return i
+
+    def places(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """The places of each text's words, which the arrays then have."""
+        if len(self) > WORDS or self.bytes > WORD_BYTES:
+            self._start()
+        out = [np.fromiter(map(self.__getitem__, words), np.int64, len(words)) for words in texts]
+        if self.new:
+            words = [w.decode("utf-8", "replace") for w in self.new]
+            self.hash = np.concatenate([self.hash, np.fromiter(map(xxhash.xxh3_64_intdigest, self.new), np.uint64, len(words))])
+            for k, v in enumerate(self.vocabularies):
+                ids, n = v.encode(words)
+                self.ids[k], self.n[k] = np.concatenate([self.ids[k], ids]), np.concatenate([self.n[k], n])
+            self.new = []
+        self.first = [np.cumsum(n) - n for n in self.n]
+        return out
+
+    def tokens(self, k: int, at: np.ndarray) -> np.ndarray:
+        """The ids of the words at some places by the k-th vocabulary."""
+        n = self.n[k][at]
+        ends = np.cumsum(n)
+        return self.ids[k][np.repeat(self.first[k][at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def measures(self, k: int, at: np.ndarray, chars: int) -> tuple[int, float, float, float]:
+        """Tokens, characters per token, byte-fallback share, entropy. A text without words has 0 of each."""
+        ids = self.tokens(k, at)
+        if not len(ids):
+            return 0, 0.0, 0.0, 0.0
+        p = np.unique(ids, return_counts=True)[1] / len(ids)
+        return len(ids), chars / len(ids), float(self.vocabularies[k].byte[ids].mean()), float(-(p * np.log2(p)).sum())
+
+
+@lru_cache(maxsize=2)
+def shared_table(paths: tuple[str, ...]) -> WordTable:
+    """The worker process's own table."""
+    return WordTable(paths)
 
 
 def passes(tokens: int, per: float, share: float, entropy: float, band: Band) -> bool:
@@ -200,19 +254,19 @@ def quality(df: DataFrame, vocabs: dict[str, str], bands: dict[str, tuple[Band,
     schema = f"doc_id bigint, {BASE}, {columns(vocabs)}, script string, kept boolean"
 
     def run(batches):
-        pieces, memo = [shared_pieces(v) for v in vocabs.values()], shared_words()
+        table = shared_table(tuple(vocabs.values()))
         for batch in batches:
             for part in slices(batch, 1):
                 rows = []
-                for d, t, lang in zip(*(c.to_pylist() for c in part.columns)):
-                    t = t or ""
-                    words = WORD.findall(t.encode("utf-8", "surrogatepass"))
-                    n = len(words)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                places = table.places([WORD.findall(t.encode("utf-8", "surrogatepass")) for t in texts])
+                for d, t, lang, at in zip(part.column(0).to_pylist(), texts, part.column(2).to_pylist(), places):
+                    n = len(at)
                     chars = len(t) - sum(map(t.count, SPACES))
                     lines = [x for x in t.split("\n") if x.strip(SPACES)]
                     repeat = 0
                     if n > 8:
-                        h = grams(np.fromiter(map(memo.__getitem__, words), np.uint64, n), 8)
+                        h = grams(table.hash[at], 8)
                         order = np.argsort(h, kind="stable")
                         same = h[order][1:] == h[order][:-1]
                         if same.any():
@@ -220,7 +274,7 @@ def quality(df: DataFrame, vocabs: dict[str, str], bands: dict[str, tuple[Band,
                             twice[order[1:][same]] = twice[order[:-1][same]] = True
                             repeat = int(covered(np.flatnonzero(twice), n, 8).sum())
                     failed = n < min_words or 100 * repeat > max_repeat_percent * n
-                    own = [measures(p, words, chars) for p in pieces]
+                    own = [table.measures(k, at, chars) for k in range(len(vocabs))]
                     code = CODE_END.split((lang or "").strip().lower())[0]
                     of = script(t)
                     known = [code] if code in bands and code != "*" else [] if failed else candidates(t, of, bands)

@@ -382,7 +382,8 @@ def test_measures_and_verdicts_equal_plain_ones(spark, docs):
     import tiktoken
 
     real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()
-    rows_ = [(1000 + i, t, "en") for i, (_, t) in enumerate(docs)] + [(r.doc_id, r.text, r.lang) for r in real]
+    odd = ["a\xa0b \xa0 c\xa0\u3000 d", "\u3000 x \xa0y", "it's 's 'S", "東京 é½\u0301 🙂", "\x00 \x1c", "w" * 5000]
+    rows_ = [(1000 + i, t, "en") for i, (_, t) in enumerate(docs)] + [(5000 + i, t, "en") for i, t in enumerate(odd)] + [(r.doc_id, r.text, r.lang) for r in real]
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PIECE["multi"], "rb"))}
     of = {i: b for b, i in ranks.items()}
     piece, multi = sentencepiece.SentencePieceProcessor(model_file=PIECE["piece"]), tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -422,6 +423,8 @@ def test_bands_are_fitted_and_hold_out(spark):
     assert share[1] > 0.99 and share[0] < 0.1
     for k, pair in fertility.fit(rows_.where("quality = 1"), PIECE).items():
         assert np.allclose(np.array(pair), np.array(fertility.BANDS[k]), atol=0.001)
+    table = fertility.WordTable((PIECE["multi"],))
+    assert len(table.tokens(0, table.places([["x".encode(), ("\u3000" * 200_000).encode()]])[0])) > 1000  # too long for the pattern's stack
     scripts = fertility.fit(rows_.where("quality = 1"), PIECE, by="script")
     assert set(scripts) == {"latin", "*"}
     assert fertility.script("В начале было") == "cyrillic" and fertility.script("東京 is") in ("han", "latin") and fertility.script("123") == ""
