@@ -13,9 +13,11 @@ A shard file, little-endian::
     blocks   u32 ids, u32 data bytes, control bytes, data bytes
 
 Shards hold ascending ranges of doc_id (nulls first), as does each shard inside.
+A task writes as many shards as its range fills, one at a time, so their number grows
+with the ids while that of the tasks has a bound; the manifest is a table.
 Null and empty texts have the end id only; repeated rows are written each;
 an empty table makes no shard. A file appears under its name when it is whole,
-so a task that runs again replaces equal bytes.
+so a task that runs again replaces equal bytes. Texts are encoded whole.
 """
 
 from __future__ import annotations
@@ -29,13 +31,15 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .arrow import map_texts, stored, two
 from .tokens import word_bpe
 
 MAGIC = b"STK1"
 BLOCK = 1 << 18
+#: Tasks that write at most.
+TASKS = 50_000
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 _PLACE = np.arange(4, dtype=np.uint8)
 
@@ -146,9 +150,17 @@ def id_counts(encoded: DataFrame, vocabulary: int, documents: bool = False) -> n
     return out
 
 
-def write_token_files(df: DataFrame, vocab: str, out_dir: str, end_id: int = 2, shard_ids: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> list[tuple]:
-    """Write shards of about ``shard_ids`` ids and the rank table; return the manifest, [(shard, path, documents, ids, bytes, first)], a row a shard."""
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme that Spark takes it by."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
+def write_token_files(df: DataFrame, vocab: str, out_dir: str, end_id: int = 2, shard_ids: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write shards of about ``shard_ids`` ids and the rank table; return the manifest, a stored table with a row a shard: (task, shard, path, documents, ids, first), first: ids of all shards before it."""
     end = np.uint32(end_id).tobytes()
+    spark = df.sparkSession
+    out_dir = qualified(spark, out_dir)
 
     def make():
         bpe = word_bpe(vocab)
@@ -163,10 +175,22 @@ def write_token_files(df: DataFrame, vocab: str, out_dir: str, end_id: int = 2,
     rank = np.empty(size, "<u4")
     rank[by_rank] = np.arange(size, dtype="<u4")
     put(f"{out_dir}/ranks.u32", by_rank.tobytes())
-    shards = max(1, -(-int(counts.sum()) // shard_ids))
+    tasks = min(TASKS, max(1, -(-int(counts.sum()) // shard_ids)))
 
     def write(batches):
-        z, docs, null, n, parts, total = zstandard.ZstdDecompressor(), [], [], [], [], 0
+        z, docs, null, n, parts, total, made = zstandard.ZstdDecompressor(), [], [], [], [], 0, 0
+        task = TaskContext.get().partitionId()
+
+        def shard():
+            f = io.BytesIO()
+            f.write(MAGIC + struct.pack("<IQ", len(docs), total))
+            f.write(np.array(docs, "<i8").tobytes() + np.array(null, np.uint8).tobytes() + np.array(n, "<u4").tobytes())
+            f.write(pack_ranks(np.concatenate(parts)))
+            path = f"{out_dir}/shard-{task:05d}-{made:05d}.stk"
+            put(path, f.getvalue())
+            row = ((task, pa.int64()), (made, pa.int64()), (path, pa.string()), (len(docs), pa.int64()), (total, pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in row], ["task", "shard", "path", "documents", "ids"])
+
         for batch in batches:
             for i, blob in zip(batch.column(0).to_pylist(), batch.column(2)):
                 x = unpacked(blob.as_py(), z)
@@ -175,22 +199,22 @@ def write_token_files(df: DataFrame, vocab: str, out_dir: str, end_id: int = 2,
                 n.append(len(x))
                 parts.append(rank[x].astype("<u4"))
                 total += len(x)
+                if total >= 2 * shard_ids:  # ranges are sampled, so they may hold somewhat more than a shard
+                    yield shard()
+                    docs, null, n, parts, total, made = [], [], [], [], 0, made + 1
         if docs:
-            shard = TaskContext.get().partitionId()
-            f = io.BytesIO()
-            f.write(MAGIC + struct.pack("<IQ", len(docs), total))
-            f.write(np.array(docs, "<i8").tobytes() + np.array(null, np.uint8).tobytes() + np.array(n, "<u4").tobytes())
-            f.write(pack_ranks(np.concatenate(parts)))
-            path = f"{out_dir}/shard-{shard:06d}.stk"
-            put(path, f.getvalue())
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((shard, pa.int64()), (path, pa.string()), (len(docs), pa.int64()), (total, pa.int64()), (f.tell(), pa.int64()))], ["shard", "path", "documents", "ids", "bytes"])
+            yield shard()
 
-    rows = sorted(tuple(r) for r in encoded.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids").mapInArrow(write, "shard bigint, path string, documents bigint, ids bigint, bytes bigint").collect())
-    first, out = 0, []
-    for r in rows:
-        out.append((*r, first))
-        first += r[3]
-    return out
+    dealt = encoded.repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id", "ids")
+    shards = stored(dealt.mapInArrow(write, "task bigint, shard bigint, path string, documents bigint, ids bigint"), "token-shards")
+    first, before = 0, []
+    for r in shards.groupBy("task").agg(F.sum("ids").alias("ids")).orderBy("task").collect():  # TASKS rows at most
+        before.append((r.task, first))
+        first += r.ids
+    tasks_first = spark.createDataFrame(before, "task bigint, before bigint")
+    by = Window.partitionBy("task").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.coalesce(F.sum("ids").over(by), F.lit(0))
+    return shards.join(F.broadcast(tasks_first), "task").withColumn("first", F.col("before") + own).drop("before")
 
 
 def read_shard(path: str, by_rank: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
@@ -207,9 +231,10 @@ def read_shard(path: str, by_rank: np.ndarray) -> tuple[list, np.ndarray, np.nda
     return [None if z else int(i) for i, z in zip(ids, null)], n.astype(np.int64), tokens
 
 
-def read_token_files(spark: SparkSession, out_dir: str, manifest: list[tuple]) -> DataFrame:
+def read_token_files(spark: SparkSession, out_dir: str, manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of each document: ids as little-endian unsigned 32-bit integers, start: ids of all documents before it."""
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids binary"
+    out_dir = qualified(spark, out_dir)
 
     def run(batches):
         by_rank = np.frombuffer(get(f"{out_dir}/ranks.u32"), "<u4")
@@ -225,7 +250,5 @@ def read_token_files(spark: SparkSession, out_dir: str, manifest: list[tuple]) -
                     offsets = pa.py_buffer(((np.r_[base, e] - base) * 4).astype(np.int32).tobytes())
                     yield pa.RecordBatch.from_arrays([pa.array(docs[m], pa.int64()), pa.array(first + e - n[m]), pa.array(n[m]), pa.Array.from_buffers(pa.binary(), len(e), [None, offsets, blob])], ["doc_id", "start", "n_tokens", "ids"])
 
-    rows = [(m[1], m[5]) for m in manifest]
-    if not rows:
-        return spark.createDataFrame([], schema)
-    return spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "path string, first bigint").mapInArrow(run, schema)
+    tasks = min(TASKS, max(1, manifest.count()))
+    return manifest.select("path", "first").repartition(tasks, "path").mapInArrow(run, schema)
