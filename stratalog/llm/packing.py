@@ -1,7 +1,10 @@
 """Lexical retrieval packing into windows of a fixed length.
 
-Documents are laid out by a lexical signature (the least hash of their token
-pairs), so that related ones meet in a shard, and each shard gets a BM25
+Documents are laid out so that related ones meet in a shard: by the path of their
+terms, weighted and projected to a few dimensions, down a tree of centroids, and at
+its leaves by a lexical signature (the least hash of their token pairs). The tree and
+its weights are fitted on LAYOUT_DOCS sampled documents at most; every document
+takes its path. Each shard gets a BM25
 inverted index whose document frequencies come from all documents. A seed
 document queries its shard's index; the best unused neighbours fill the rest of
 its window greedily. A document that doesn't fit is cut, and what is left of it
@@ -10,7 +13,8 @@ powers of two, which need no padding, so no window is padded at all.
 
 Terms are the token ids: their number, and with it the table of frequencies,
 is bounded by the vocabulary. Null texts are empty and have the end id alone;
-repeated rows are packed each; an empty table gives no rows.
+repeated rows are packed each; an empty table gives no rows. A very long text is
+a shard by itself, and is cut over as many windows as it fills.
 """
 
 from __future__ import annotations
@@ -26,6 +30,10 @@ from .token_files import id_counts, packed_ids, unpacked
 from .tokens import rank_bpe
 
 K1, B = 1.2, 0.75
+#: Documents that the layout is fitted on, its dimensions, branches, levels, and documents of the sample at a leaf.
+LAYOUT_DOCS, DIMENSIONS, BRANCHES, LEVELS, LEAF = 3000, 16, 8, 8, 20
+#: Tasks at most; a task streams its shards, so there may be many in one.
+TASKS = 100_000
 #: A shard of the index ends at so many documents or ids.
 SHARD_DOCS, SHARD_IDS = 1024, 1 << 20
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -39,6 +47,75 @@ def signature(ids: np.ndarray) -> int:
     return int((pair >> np.uint64(33)).min()) if len(pair) else 0
 
 
+class Layout:
+    """Where documents lie: by a tree of centroids over weighted, projected term counts."""
+
+    def __init__(self, weight: np.ndarray, seed: int = 1):
+        self.random = np.random.default_rng(seed)
+        self.table = self.random.standard_normal((len(weight), DIMENSIONS), np.float32) * weight[:, None].astype(np.float32)
+        self.tree = None
+
+    def vectors(self, docs: list[np.ndarray]) -> np.ndarray:
+        x = np.stack([self.table[d].sum(0) for d in docs]) if docs else np.zeros((0, DIMENSIONS), np.float32)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+    def fit(self, x: np.ndarray) -> None:
+        self.tree = self._node(x, 0)
+
+    def _node(self, x: np.ndarray, level: int):
+        """(centroids, children), None at a leaf: spherical means, in their order along the direction they differ most in."""
+        if len(x) <= LEAF or level == LEVELS:
+            return None
+        c = x[self.random.choice(len(x), BRANCHES, replace=False)]
+        for _ in range(8):
+            of = (x @ c.T).argmax(1)
+            c = np.stack([x[of == j].mean(0) if (of == j).any() else c[j] for j in range(BRANCHES)])
+            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
+        c = c[np.argsort(c @ np.linalg.svd(c - c.mean(0), full_matrices=False)[2][0])]
+        of = (x @ c.T).argmax(1)
+        if len(np.unique(of)) < 2:
+            return None
+        return c, [self._node(x[of == j], level + 1) for j in range(BRANCHES)]
+
+    def paths(self, docs: list[np.ndarray]) -> np.ndarray:
+        """Numbers whose order is that of the tree's leaves."""
+        out = np.zeros(len(docs), np.int64)
+
+        def go(node, at, x, level):
+            if node is None or not len(at):
+                return
+            of = (x @ node[0].T).argmax(1)
+            out[at] += of * BRANCHES ** (LEVELS - 1 - level)
+            for j, child in enumerate(node[1]):
+                go(child, at[of == j], x[of == j], level + 1)
+
+        go(self.tree, np.arange(len(docs)), self.vectors(docs), 0)
+        return out
+
+    def places(self, docs: list[np.ndarray]) -> pa.Array:
+        """Paths, then signatures."""
+        return pa.array((self.paths(docs) << 31) + np.array([signature(x) for x in docs], np.int64))
+
+
+def fit_layout(df: DataFrame, make, size: int, id_col: str, text_col: str) -> Layout:
+    """The layout of a sample. Only frequencies and DIMENSIONS numbers a sampled document come to the driver."""
+    n = df.count()
+    some = df.sample(min(1.0, 1.5 * LAYOUT_DOCS / n), 1).limit(LAYOUT_DOCS) if n > LAYOUT_DOCS else df
+    ids = stored(packed_ids(some, make, id_col, text_col), "pack-layout")
+    m, freq = ids.count(), id_counts(ids, size, documents=True)
+    layout = Layout(np.log(1 + (m - freq + 0.5) / (freq + 0.5)))
+
+    def run(batches):
+        z = zstandard.ZstdDecompressor()
+        for batch in batches:
+            x = layout.vectors([unpacked(b.as_py(), z) for b in batch.column(0)])
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float32()))], ["x"])
+
+    found = ids.select("ids").mapInArrow(run, "x array<float>").toArrow().column(0).to_pylist()
+    layout.fit(np.array(sorted(found), np.float32).reshape(-1, DIMENSIONS))
+    return layout
+
+
 class Index:
     """BM25 over the documents of a shard. Postings of terms that many of them have are rows of a dense matrix, so that all documents' scores for them are one product; those of the others are lists."""
 
@@ -144,7 +221,8 @@ def pack_documents(df: DataFrame, vocab: str, window: int = 2048, end_id: int =
     from tokenizers import Tokenizer
 
     size = max(Tokenizer.from_file(vocab).get_vocab_size(with_added_tokens=True), end_id + 1)
-    encoded = stored(packed_ids(df, make, id_col, text_col, "sig bigint", lambda small: pa.array([signature(x) for x in small], pa.int64())), "pack-ids")
+    shared = df.sparkSession.sparkContext.broadcast(fit_layout(df, make, size, id_col, text_col))  # DIMENSIONS numbers an id of the vocabulary
+    encoded = stored(packed_ids(df, make, id_col, text_col, "sig bigint", lambda small: shared.value.places(small)), "pack-ids")
     n_docs, total = encoded.selectExpr("count(*)", "coalesce(sum(n), 0)").first()
     freq = id_counts(encoded, size, documents=True)
     idf = np.log(1 + (n_docs - freq + 0.5) / (freq + 0.5))
@@ -193,5 +271,5 @@ def pack_documents(df: DataFrame, vocab: str, window: int = 2048, end_id: int =
         windows.finish()
         yield from out()
 
-    parts = max(1, -(-int(total) // task_ids))
+    parts = min(TASKS, max(1, -(-int(total) // task_ids)))
     return encoded.repartitionByRange(parts, "sig", "doc_id").sortWithinPartitions("sig", "doc_id", "ids").select("doc_id", "ids").mapInArrow(run, SCHEMA)

@@ -318,13 +318,15 @@ def test_repeats_equal_brute_force(table, docs, nothing, monkeypatch, hot):
     assert substrings.repeats(nothing).count() == 0
 
 
-def test_token_files_round_trip(spark, table, docs, nothing):
+@pytest.mark.parametrize("tasks", [50_000, 2])
+def test_token_files_round_trip(spark, table, docs, nothing, monkeypatch, tasks):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORD)
     out = work_dir(spark, "test-token-files")
-    manifest = token_files.write_token_files(table, WORD, out, shard_ids=2000)
-    assert len(manifest) > 1
+    monkeypatch.setattr(token_files, "TASKS", tasks)
+    manifest = token_files.write_token_files(table, WORD, out, shard_ids=700)
+    assert manifest.count() > 3 and manifest.select("task").distinct().count() <= tasks
     got = token_files.read_token_files(spark, out, manifest).collect()
     ids = {(r.doc_id, bytes(r.ids)) for r in got}
     assert ids == {(d, np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for d, x in docs} and len(got) == len(docs)
@@ -475,6 +477,62 @@ def test_packing_places_every_id_once(spark, table, docs, nothing):
     assert packing.pack_documents(nothing, BYTE).count() == 0
 
 
+def test_neighbours_fill_a_window_best_first():
+    """After a seed come the unused documents of its shard in the order of their scores by a plain BM25, up to the one that fills the window, whose rest seeds the next."""
+    r = np.random.default_rng(4)
+    for _ in range(30):
+        docs = [r.integers(0, 60, r.integers(3, 40)).astype(np.uint32) for _ in range(25)]
+        df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=60)
+        idf, mean = np.log(1 + (len(docs) - df + 0.5) / (df + 0.5)), np.mean([len(d) for d in docs])
+
+        def score(q, k):
+            d = docs[k]
+            return sum(idf[t] * (tf := int((d == t).sum())) * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(d) / mean)) for t in set(docs[q].tolist()) & set(d.tolist()))
+
+        w = packing.Windows(64)
+        packing.fill(docs, packing.Index(docs, idf, mean), w, 0)
+        w.finish()
+        unused, used, order, seed = set(range(len(docs))), 0, [], None
+        while unused or seed is not None:
+            seed = min(unused) if seed is None else seed
+            unused.discard(seed)
+            order.append(seed)
+            used = (used + len(docs[seed])) % 64
+            nxt = None
+            if used:
+                for k in sorted(unused, key=lambda k: (-round(score(seed, k), 3), k)):
+                    if len(docs[k]) >= 64 - used:
+                        nxt = k
+                        break
+                    unused.discard(k)
+                    order.append(k)
+                    used += len(docs[k])
+            seed = nxt
+        got = list(dict.fromkeys(x[0] for x in w.done))
+        assert got == order
+
+
+def test_layout_brings_related_documents_together(spark):
+    """Shards hold the best neighbours more often than chance does, and every document has a place."""
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    bpe = tokens.RankBpe(BYTE)
+    docs = [np.frombuffer(bpe.encode(t), np.uint32) for t in texts if t]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=50258)
+    idf = np.log(1 + (len(docs) - df + 0.5) / (df + 0.5))
+    layout = packing.Layout(idf)
+    layout.fit(layout.vectors(docs[::2]))
+    place = layout.places(docs).to_numpy()
+    shard = np.empty(len(docs), int)
+    shard[np.argsort(place, kind="stable")] = np.arange(len(docs)) * 10 // len(docs)
+    index = packing.Index(docs, idf, np.mean([len(d) for d in docs]))
+    hit = []
+    for k in range(0, len(docs), 7):
+        s = index.scores(k)
+        s[k] = -1
+        hit.append(np.mean(shard[np.argsort(-s)[:10]] == shard[k]))
+    assert np.mean(hit) > 0.25
+
+
 def test_index_scores_are_bm25():
     r = np.random.default_rng(2)
     docs = [r.integers(0, 30, n).astype(np.uint32) for n in (5, 20, 40, 1)]
