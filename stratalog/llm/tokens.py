@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from .arrow import map_texts, two
 
 #: Entries of a worker's cache; it is emptied when full.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 300_000
 #: Longer chunks are encoded but not kept.
 CACHE_CHARS = 64
 #: Below this code point the classes L and N of all Unicode versions in use agree.
@@ -44,12 +44,18 @@ _L, _N, _S = _class("L"), _class("N"), re.escape(_spaces())
 SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 FAR = re.compile(rf"[^\x00-{chr(AGREED - 1)}]")
 #: White space beside other white space or at an end: blanks and line ends then don't mark where chunks begin.
-LOOSE = re.compile(rf"[ \n][{_S}]|[{_S}][ \n]|[{_S}]\Z|\A[{_S}]")
+LOOSE = ("  ", " \n", "\n ", "\n\n")
+OTHER_SPACES = [c for c in _spaces() if c not in " \n"]
 #: The splitting pattern of the vocabulary with word ends, for lower-cased Latin-1 words.
 WORD_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 LATIN = re.compile(r"[\x00-\xff]*")
 
 
+def loose(text: str) -> bool:
+    """Whether a text has white space beside white space, at an end, or of other kinds."""
+    return any(map(text.__contains__, LOOSE)) or text[0].isspace() or text[-1].isspace() or any(map(text.__contains__, OTHER_SPACES))
+
+
 def byte_chars() -> dict[int, str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -144,7 +150,7 @@ class ForcedBoundaryBpe:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if LOOSE.search(text) or self.special_re and self.special_re.search(text):
+        if loose(text) or self.special_re and self.special_re.search(text):
             return self._loose(text)
         first, *rest = text.replace("\n", " \n").split(" ")  # each blank or line end now begins a word, so chunks are independent
         return self._loose(first) + b"".join(map(self.chunks.__getitem__, rest))
@@ -166,9 +172,12 @@ class WordBpe:
         self.words, self.pieces = Memo(self._word), Memo(self._piece)
 
     def _piece(self, piece: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.chars))]).tobytes()
+        own = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.chars)
+        return array("I", [t.id for t in self.model.tokenize(own)]).tobytes()
 
     def _word(self, w: str) -> bytes:
+        if w.isascii() and w.isalpha():  # one piece
+            return self._piece(w.lower())
         if "<|" in w or not LATIN.fullmatch(w):  # special tokens, composition, case beyond Latin-1
             return array("I", self.whole.encode(w, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.pieces.__getitem__, WORD_SPLIT.findall(w.lower())))
@@ -209,7 +218,7 @@ def decode_documents(df: DataFrame, vocab: str, id_col: str = "doc_id", ids_col:
 
 
 class RankBpe:
-    """The same ids as ForcedBoundaryBpe, for operators that only need them fast: by the rank form of the vocabulary, over whole texts. Texts with special tokens, with letters that Unicode versions class differently, or with very long runs of blanks go the exact way."""
+    """The same ids as ForcedBoundaryBpe, for operators that only need them fast: by the rank form of the vocabulary. Texts with special tokens, with letters that Unicode versions class differently, or with very long runs of blanks go the exact way."""
 
     def __init__(self, path: str):
         import tiktoken
