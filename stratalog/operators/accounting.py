@@ -25,9 +25,10 @@ def refcounts(refs: DataFrame) -> DataFrame:
 
 def snapshot_stats(refs: DataFrame) -> DataFrame:
     """Files and bytes by snapshot; a chunk's bytes count as deduplicated where it first occurs."""
-    first = Window.partitionBy("chunk_id").orderBy("snapshot_id", "item_index", "pos")
-    new = F.when(F.row_number().over(first) == 1, F.col("size")).otherwise(F.lit(0).cast("long"))
-    return refs.withColumn("_new", new).groupBy("snapshot_id").agg(F.count_distinct("item_index").alias("nfiles"), F.sum("size").alias("original"), F.sum("_new").alias("deduplicated"))
+    files = refs.groupBy("snapshot_id", "item_index").agg(F.sum("size").alias("size"))
+    whole = files.groupBy("snapshot_id").agg(F.count("*").alias("nfiles"), F.sum("size").alias("original"))
+    new = first_occurrence(refs).select("snapshot_id", F.col("new_bytes").alias("deduplicated"))
+    return whole.join(new, "snapshot_id", "left").na.fill(0, ["deduplicated"])
 
 
 def first_occurrence(refs: DataFrame) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 
 #: Bytes between two blobs that are still read at once, and of a read at most.
 MAX_GAP, MAX_READ = 256 << 10, 16 << 20
@@ -65,23 +68,31 @@ def gap_groups(blobs: DataFrame, max_gap: int = MAX_GAP) -> DataFrame:
 def read_groups(blobs: DataFrame, max_gap: int = MAX_GAP, max_read: int = MAX_READ) -> DataFrame:
     """(pack_id, read_start, read_end, blobs): blobs of a pack merged while the gap and the whole read stay in bounds.
 
-    Where a read must end depends on where it began, so each pack's sorted blobs
-    are folded; a pack holds a bounded number of them.
+    Where a read must end depends on where it began, so blobs are folded in order; a
+    gap ends every read, so each gap group is folded by itself, as a stream of sorted
+    rows of which only the open read is held.
     """
-    step = F.struct(F.col("pack_offset").alias("s"), (F.col("pack_offset") + F.col("stored_size")).alias("e"))
-    empty = F.array().cast("array<struct<s:bigint,e:bigint,n:bigint>>")
-    one = F.lit(1).cast("long")
-
-    def add(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        fits = (x.s - last.e <= max_gap) & (F.greatest(x.e, last.e) - last.s <= max_read)
-        merged = F.struct(last.s.alias("s"), F.greatest(x.e, last.e).alias("e"), (last.n + 1).alias("n"))
-        fresh = F.array(F.struct(x.s.alias("s"), x.e.alias("e"), one.alias("n")))
-        return F.when(F.coalesce(fits, F.lit(False)), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(merged))).otherwise(F.concat(acc, fresh))
-
-    g = blobs.groupBy("pack_id").agg(F.array_sort(F.collect_list(step)).alias("b"))
-    # Runs that the gap separates are folded by themselves, which keeps the folds short.
-    return g.select("pack_id", F.inline(F.aggregate("b", empty, add))).select("pack_id", F.col("s").alias("read_start"), F.col("e").alias("read_end"), F.col("n").alias("blobs"))
+    rows = gap_groups(blobs, max_gap).select("pack_id", "read_group", F.col("pack_offset").cast("long").alias("s"), (F.col("pack_offset") + F.col("stored_size")).cast("long").alias("e"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, start, end, n = None, 0, 0, 0
+        for batch in batches:
+            out = []
+            for pack, g, s, e in zip(*(c.to_pylist() for c in batch.columns)):
+                if (pack, g) == group and max(e, end) - start <= max_read:
+                    end, n = max(e, end), n + 1
+                    continue
+                if group is not None:
+                    out.append((group[0], start, end, n))
+                group, start, end, n = (pack, g), s, e, 1
+            yield reads(out)
+        if group is not None:
+            yield reads([(group[0], start, end, n)])
+
+    def reads(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string() if i == 0 else pa.int64()) for i in range(4)], ["pack_id", "read_start", "read_end", "blobs"])
+
+    return rows.sortWithinPartitions("pack_id", "s").mapInArrow(fold, "pack_id string, read_start bigint, read_end bigint, blobs bigint")
 
 
 def segments(items: DataFrame, size: int = 64 << 20) -> DataFrame:

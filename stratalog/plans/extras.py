@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import folds
 from ..sources import catalog, formats
+from ..sources.catalog import work_dir
 from ..streaming import streams
 from .queries import QUERIES, query
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, or a local one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/stratalog-checkpoints"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query()
 def content_defined_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts as files in content-defined chunks with keyed ids."""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import scalars as S
 from ..operators import accounting, benchstats, check, compaction, diff, find, index, restore, retention, sessions, tree
 from ..sources import catalog
-from ..sources.catalog import with_tables
+from ..sources.catalog import PACK_SQL, with_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,10 +29,6 @@ def query(sql: str | None = None):
     return add
 
 
-def text_columns(df: DataFrame, **columns) -> DataFrame:
-    return df.select(*(c.alias(n) for n, c in columns.items()))
-
-
 # Retention
 
 _RULES = ("hourly", "daily", "weekly", "monthly", "yearly")
@@ -235,9 +231,9 @@ def index_after_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accounting.decrement(catalog.chunk_index(spark, sf_dir), gone)
 
 
-@query(with_tables("chunk_refs chunk_index", "SELECT chunk_id, r.refcount, stored_size, pack_id FROM chunk_index i JOIN (SELECT chunk_id, count(*) AS refcount FROM chunk_refs WHERE snapshot_id < 3 GROUP BY chunk_id) r USING (chunk_id)"))
+@query(with_tables("chunk_refs chunk_index", "SELECT chunk_id, r.refcount, stored_size, pack_id FROM chunk_index i JOIN (SELECT chunk_id, count(*) AS refcount FROM chunk_refs WHERE item_index % 13 <> 5 GROUP BY chunk_id) r USING (chunk_id)"))
 def rebuilt_refcounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return accounting.rebuild_refcounts(catalog.chunk_refs(spark, sf_dir).where("snapshot_id < 3"), catalog.chunk_index(spark, sf_dir))
+    return accounting.rebuild_refcounts(catalog.chunk_refs(spark, sf_dir).where("item_index % 13 <> 5"), catalog.chunk_index(spark, sf_dir))
 
 
 @query("SELECT CAST(l_suppkey % 10 AS BIGINT) AS repo, l_orderkey AS orderkey, l_linenumber AS linenumber, 1000000 + sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_suppkey % 10 ORDER BY l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING) <= 1100000 AS accepted FROM lineitem")
@@ -248,11 +244,11 @@ def quota_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Index maintenance: an index as of snapshots 0 to 3, and a delta of snapshot 4
 
-_OLD = "SELECT chunk_id, count(*) AS refcount, max(size) AS stored_size, substring(chunk_id, 1, 2) AS pack_id FROM chunk_refs WHERE snapshot_id <= {} GROUP BY chunk_id"
+_OLD = f"SELECT chunk_id, count(*) AS refcount, max(size) AS stored_size, {PACK_SQL} AS pack_id FROM chunk_refs WHERE snapshot_id <= {{}} GROUP BY chunk_id"
 _DELTA = {
     "base": _OLD.format(3),
-    "now": "SELECT chunk_id, count(*) AS refcount, max(size) AS stored_size, substring(chunk_id, 1, 2) AS pack_id FROM chunk_refs WHERE snapshot_id <= 3 OR (snapshot_id = 5 AND item_index % 2 = 0) GROUP BY chunk_id",
-    "own": "SELECT chunk_id, count(*) AS refcount, max(size) AS stored_size, substring(chunk_id, 1, 2) AS pack_id FROM chunk_refs WHERE snapshot_id = 5 GROUP BY chunk_id",
+    "now": f"SELECT chunk_id, count(*) AS refcount, max(size) AS stored_size, {PACK_SQL} AS pack_id FROM chunk_refs WHERE snapshot_id <= 3 OR (snapshot_id = 5 AND item_index % 2 = 0) GROUP BY chunk_id",
+    "own": f"SELECT chunk_id, count(*) AS refcount, max(size) AS stored_size, {PACK_SQL} AS pack_id FROM chunk_refs WHERE snapshot_id = 5 GROUP BY chunk_id",
     "fresh": "SELECT * FROM own WHERE chunk_id NOT IN (SELECT chunk_id FROM base)",
     "bumps": "SELECT chunk_id, refcount AS n FROM own WHERE chunk_id IN (SELECT chunk_id FROM base)",
     "late": "SELECT chunk_id, CAST(sum(n) AS BIGINT) AS n FROM (SELECT chunk_id, n FROM bumps UNION ALL SELECT chunk_id, refcount FROM fresh WHERE chunk_id IN (SELECT chunk_id FROM now)) GROUP BY chunk_id",
@@ -260,15 +256,15 @@ _DELTA = {
 }
 
 
-def _entries(refs: DataFrame) -> DataFrame:
-    return refs.groupBy("chunk_id").agg(F.count("*").alias("refcount"), F.max("size").alias("stored_size")).withColumn("pack_id", F.substring("chunk_id", 1, 2))
+def _entries(refs: DataFrame, pack) -> DataFrame:
+    return refs.groupBy("chunk_id").agg(F.count("*").alias("refcount"), F.max("size").alias("stored_size")).withColumn("pack_id", pack)
 
 
 def _delta(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The current index, and new entries and bumps made against an older one."""
-    refs = catalog.chunk_refs(spark, sf_dir)
-    base, own = _entries(refs.where("snapshot_id <= 3")), _entries(refs.where("snapshot_id = 5"))
-    now = _entries(refs.where("snapshot_id <= 3 OR (snapshot_id = 5 AND item_index % 2 = 0)"))
+    refs, pack = catalog.chunk_refs(spark, sf_dir), catalog.pack_of(spark, sf_dir)
+    base, own = _entries(refs.where("snapshot_id <= 3"), pack), _entries(refs.where("snapshot_id = 5"), pack)
+    now = _entries(refs.where("snapshot_id <= 3 OR (snapshot_id = 5 AND item_index % 2 = 0)"), pack)
     known = base.select("chunk_id")
     return now, own.join(known, "chunk_id", "left_anti"), own.join(known, "chunk_id", "left_semi").select("chunk_id", F.col("refcount").alias("n"))
 
@@ -289,13 +285,13 @@ def index_apply_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 def index_stale_bumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = catalog.chunk_refs(spark, sf_dir)
     _, fresh, bumps = _delta(spark, sf_dir)
-    return index.stale_bumps(bumps, fresh, _entries(refs.where("snapshot_id <= 3")).where("refcount > 2"))
+    return index.stale_bumps(bumps, fresh, _entries(refs.where("snapshot_id <= 3"), catalog.pack_of(spark, sf_dir)).where("refcount > 2"))
 
 
 @query(with_tables("chunk_refs", "SELECT chunk_id, chunk_id IN (SELECT chunk_id FROM base) AS stored FROM own", **_DELTA))
 def dedup_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = catalog.chunk_refs(spark, sf_dir)
-    return index.membership(refs.where("snapshot_id = 5"), _entries(refs.where("snapshot_id <= 3")))
+    return index.membership(refs.where("snapshot_id = 5"), _entries(refs.where("snapshot_id <= 3"), catalog.pack_of(spark, sf_dir)))
 
 
 @query(
@@ -314,14 +310,14 @@ def dedup_lookup_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_tables("chunk_refs packs", "SELECT DISTINCT pack_id FROM own WHERE pack_id NOT IN (SELECT pack_id FROM packs)", **_DELTA))
 def delta_missing_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.missing_packs_of(_entries(catalog.chunk_refs(spark, sf_dir).where("snapshot_id = 5")), catalog.packs(spark, sf_dir))
+    return index.missing_packs_of(_entries(catalog.chunk_refs(spark, sf_dir).where("snapshot_id = 5"), catalog.pack_of(spark, sf_dir)), catalog.packs(spark, sf_dir))
 
 
 @query(with_tables("chunk_refs packs", "SELECT chunk_id, pack_id FROM own WHERE pack_id IN (SELECT pack_id FROM packs) AND chunk_id NOT IN (SELECT chunk_id FROM base)", **_DELTA))
 def journal_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = catalog.chunk_refs(spark, sf_dir)
-    journal = _entries(refs.where("snapshot_id = 5")).select("chunk_id", "pack_id")
-    return index.recover_journal(journal, catalog.packs(spark, sf_dir), _entries(refs.where("snapshot_id <= 3"))).select("chunk_id", "pack_id")
+    journal = _entries(refs.where("snapshot_id = 5"), catalog.pack_of(spark, sf_dir)).select("chunk_id", "pack_id")
+    return index.recover_journal(journal, catalog.packs(spark, sf_dir), _entries(refs.where("snapshot_id <= 3"), catalog.pack_of(spark, sf_dir))).select("chunk_id", "pack_id")
 
 
 @query(with_tables("chunk_refs", "SELECT chunk_id, refcount FROM fresh WHERE chunk_id IN (SELECT chunk_id FROM chunk_refs WHERE snapshot_id = 6)", **_DELTA))
@@ -404,7 +400,7 @@ _HIT = "SELECT snapshot_id, item_index, count(DISTINCT chunk_id) AS chunks, stri
 _PART = "SELECT * FROM chunk_index WHERE substring(chunk_id, 3, 2) <> '0f'"
 _INVALID = """SELECT * FROM (SELECT i.snapshot_id, i.item_index, CASE WHEN entry_type = 'file' AND coalesce(b, 0) <> size THEN 'chunk sizes don''t make up the size' WHEN entry_type = 'symlink' THEN 'symlink without target' END AS reason
 FROM items i LEFT JOIN (SELECT snapshot_id, item_index, sum(size) AS b FROM chunk_refs GROUP BY ALL) r ON i.snapshot_id = r.snapshot_id AND i.item_index = r.item_index) WHERE reason IS NOT NULL"""
-_REMOVED = "SELECT chunk_id FROM chunk_index WHERE pack_id IN ('a0', 'b1') OR substring(chunk_id, 1, 4) = 'ffff'"
+_REMOVED = "SELECT chunk_id FROM chunk_index WHERE substring(pack_id, 1, 2) IN ('a0', 'b1') OR substring(chunk_id, 1, 4) = 'ffff'"
 
 
 def _part(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -591,18 +587,32 @@ def range_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _GAPS = """SELECT chunk_id, pack_id, pack_offset, CAST(sum(fresh) OVER (PARTITION BY pack_id ORDER BY pack_offset) AS BIGINT) AS read_group FROM (
-  SELECT *, CASE WHEN pack_offset - max(pack_offset + stored_size) OVER (PARTITION BY pack_id ORDER BY pack_offset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 600 OR row_number() OVER (PARTITION BY pack_id ORDER BY pack_offset) = 1 THEN 1 ELSE 0 END AS fresh FROM o WHERE refcount > 5)"""
+  SELECT *, CASE WHEN pack_offset - max(pack_offset + stored_size) OVER (PARTITION BY pack_id ORDER BY pack_offset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 600 OR row_number() OVER (PARTITION BY pack_id ORDER BY pack_offset) = 1 THEN 1 ELSE 0 END AS fresh FROM o WHERE chunk_id IN (SELECT chunk_id FROM chunk_refs WHERE snapshot_id = 2))"""
+
+
+def _wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks that a restore of a snapshot reads, placed."""
+    refs = catalog.chunk_refs(spark, sf_dir).where("snapshot_id = 2")
+    return compaction.pack_offsets(catalog.chunk_index(spark, sf_dir)).join(refs, "chunk_id", "left_semi")
 
 
 @query(with_tables("chunk_index", _GAPS, o=_OFFSETS.format("chunk_index")))
 def read_gap_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = compaction.pack_offsets(catalog.chunk_index(spark, sf_dir)).where("refcount > 5")
-    return restore.gap_groups(placed, 600).select("chunk_id", "pack_id", "pack_offset", "read_group")
+    return restore.gap_groups(_wanted(spark, sf_dir), 600).select("chunk_id", "pack_id", "pack_offset", "read_group")
 
 
-@query()
+@query(
+    with_tables(
+        "chunk_index",
+        """SELECT pack_id, s AS read_start, max(e) AS read_end, count(*) AS blobs FROM fold GROUP BY pack_id, s""",
+        o=_OFFSETS.format("chunk_index"),
+        wanted="SELECT pack_id, pack_offset AS a, pack_offset + stored_size AS b, row_number() OVER (PARTITION BY pack_id ORDER BY pack_offset) AS n FROM o WHERE chunk_id IN (SELECT chunk_id FROM chunk_refs WHERE snapshot_id = 2)",
+        fold="""SELECT pack_id, n, a AS s, b AS e FROM wanted WHERE n = 1 UNION ALL
+  SELECT w.pack_id, w.n, CASE WHEN w.a - f.e <= 600 AND greatest(w.b, f.e) - f.s <= 4096 THEN f.s ELSE w.a END, CASE WHEN w.a - f.e <= 600 AND greatest(w.b, f.e) - f.s <= 4096 THEN greatest(w.b, f.e) ELSE w.b END FROM fold f JOIN wanted w ON w.pack_id = f.pack_id AND w.n = f.n + 1""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+)
 def read_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return restore.read_groups(compaction.pack_offsets(catalog.chunk_index(spark, sf_dir)).where("refcount > 5"), 600, 4096)
+    return restore.read_groups(_wanted(spark, sf_dir), 600, 4096)
 
 
 @query(with_tables("items", "SELECT snapshot_id, item_index, CAST(segment AS BIGINT) AS segment, CAST(segment * 1000 AS BIGINT) AS start, CAST(least(size - segment * 1000, 1000) AS BIGINT) AS length FROM (SELECT *, unnest(range(0, greatest(CAST(ceil(size / 1000) AS BIGINT), 1))) AS segment FROM items)"))
@@ -710,10 +720,10 @@ def lock_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.lock_state(locks, F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"), "h0", "b1", [1, 2]).select("event_id", "state")
 
 
-@query("SELECT c_name AS name, count(DISTINCT repo) AS repos, min(repo) AS repo, CASE WHEN count(DISTINCT repo) = 1 THEN 'unique' ELSE 'ambiguous' END AS outcome FROM (SELECT o_custkey % 500 AS c_name, o_orderpriority AS repo FROM orders WHERE o_totalprice > 300000) GROUP BY c_name")
+@query("SELECT c_name AS name, count(DISTINCT repo) AS repos, min(repo) AS repo, CASE WHEN count(DISTINCT repo) = 1 THEN 'unique' ELSE 'ambiguous' END AS outcome FROM (SELECT o_orderkey // 3 AS c_name, o_orderpriority AS repo FROM orders) GROUP BY c_name")
 def snapshot_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = catalog.table(spark, sf_dir, "orders").where("o_totalprice > 300000")
-    return sessions.resolve_targets(o.select((F.col("o_custkey") % 500).alias("name"), F.col("o_orderpriority").alias("repo")))
+    o = catalog.table(spark, sf_dir, "orders")
+    return sessions.resolve_targets(o.select(F.floor(F.col("o_orderkey") / 3).alias("name"), F.col("o_orderpriority").alias("repo")))
 
 
 @query("SELECT DISTINCT o_orderpriority AS repo FROM orders WHERE o_custkey % 500 = 7 INTERSECT SELECT o_orderpriority FROM orders WHERE o_custkey % 500 = 8")

@@ -6,8 +6,14 @@ members, by table, with the tables each one needs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import math
+import uuid
+from collections.abc import Callable
 
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+#: Documents up to which packs have two digits; each sixteenfold of them adds one.
+PACK_DOCUMENTS = 100_000
 #: Characters of a stored chunk, and snapshots that items are taken in.
 CHUNK_CHARS, SNAPSHOTS = 512, 7
 #: Bytes of a pack's header and of each blob's length field.
@@ -24,6 +30,33 @@ POLICIES = [
 POLICY_COLUMNS = ["source_label", "keep_within_days", "keep_last", "keep_hourly", "keep_daily", "keep_weekly", "keep_monthly", "keep_yearly"]
 
 
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which all executors share; where that is unset, a local one, on one machine only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "/tmp/stratalog-checkpoints"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table, written once a session and folder: a catalog keeps its chunk references and its index, queries don't cut and hash files again. It is written again where it has been cleared away."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    path = _stored.get(key)
+    if path is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            path = None
+    if path is None:
+        path = _stored[key] = work_dir(spark, name)
+        make().write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -71,8 +104,23 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pack_digits(spark: SparkSession, sf_dir: str) -> int:
+    """So many digits that a pack stays of a bounded size, whatever the documents."""
+    n = max(1, table(spark, sf_dir, "documents").count())
+    return 2 + math.floor(max(0.0, math.log(n / PACK_DOCUMENTS) / math.log(16.0)))
+
+
+def pack_of(spark: SparkSession, sf_dir: str) -> Column:
+    """The pack of a chunk: its first digits."""
+    return F.substring("chunk_id", 1, pack_digits(spark, sf_dir))
+
+
 def chunk_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunks of regular files: their texts in pieces of CHUNK_CHARS characters."""
+    """The chunks of regular files: their texts in pieces of CHUNK_CHARS characters. Stored."""
+    return stored(spark, sf_dir, "chunk-refs", lambda: _chunk_refs(spark, sf_dir))
+
+
+def _chunk_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = items(spark, sf_dir).where("entry_type = 'file'")
     last = F.greatest(F.lit(0), F.floor((F.length("content") - 1) / CHUNK_CHARS)).cast("int")
     pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("content"), i * CHUNK_CHARS + 1, F.lit(CHUNK_CHARS)))
@@ -82,22 +130,25 @@ def chunk_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row a chunk: references, stored bytes, its pack (by its first two digits)."""
+    """A row a chunk: references, stored bytes, its pack. Stored."""
     refs = chunk_refs(spark, sf_dir)
-    return refs.groupBy("chunk_id").agg(F.count("*").alias("refcount"), F.max("size").alias("stored_size")).withColumn("pack_id", F.substring("chunk_id", 1, 2))
+    return stored(spark, sf_dir, "chunk-index", lambda: refs.groupBy("chunk_id").agg(F.count("*").alias("refcount"), F.max("size").alias("stored_size")).withColumn("pack_id", pack_of(spark, sf_dir)))
 
 
 def packs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packs in storage: live bytes and some dead ones; pack 'a0' is missing, 'zz' is an orphan, 'b1' is shorter than what is live."""
+    """The packs in storage: live bytes and some dead ones; packs of 'a0' are missing, 'zz' is an orphan, those of 'b1' are shorter than what is live."""
     live = chunk_index(spark, sf_dir).groupBy("pack_id").agg(F.sum(F.col("stored_size") + BLOB_HEADER).alias("live"))
     dead = F.when(F.substring("pack_id", 2, 1) < "8", F.col("live")).when(F.substring("pack_id", 2, 1) < "c", F.floor(F.col("live") / 10).cast("long")).otherwise(F.lit(0).cast("long"))
-    size = F.when(F.col("pack_id") == "b1", F.floor(F.col("live") / 2).cast("long")).otherwise(PACK_HEADER + F.col("live") + dead)
+    size = F.when(F.col("pack_id").startswith("b1"), F.floor(F.col("live") / 2).cast("long")).otherwise(PACK_HEADER + F.col("live") + dead)
     orphan = spark.sql("SELECT 'zz' AS pack_id, CAST(5000 AS BIGINT) AS size")
-    return live.where("pack_id <> 'a0'").select("pack_id", size.alias("size")).unionByName(orphan)
+    return live.where("NOT startswith(pack_id, 'a0')").select("pack_id", size.alias("size")).unionByName(orphan)
 
 
 _policy_rows = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in POLICIES)
 
+#: The pack of a chunk, in SQL.
+PACK_SQL = f"substring(chunk_id, 1, (SELECT 2 + CAST(floor(greatest(0.0, ln(greatest(count(*), 1) / {PACK_DOCUMENTS}.0) / ln(16.0))) AS INTEGER) FROM documents))"
+
 SQL: dict[str, tuple[list[str], str]] = {
     "snapshots": (
         [],
@@ -123,11 +174,11 @@ FROM orders""",
   SELECT snapshot_id, item_index, path, pos, substring(content, pos * 512 + 1, 512) AS piece FROM (
     SELECT *, unnest(range(0, greatest(0, (length(content) - 1) // 512) + 1)) AS pos FROM items WHERE entry_type = 'file'))""",
     ),
-    "chunk_index": (["chunk_refs"], "SELECT chunk_id, count(*) AS refcount, max(size) AS stored_size, substring(chunk_id, 1, 2) AS pack_id FROM chunk_refs GROUP BY chunk_id"),
+    "chunk_index": (["chunk_refs"], f"SELECT chunk_id, count(*) AS refcount, max(size) AS stored_size, {PACK_SQL} AS pack_id FROM chunk_refs GROUP BY chunk_id"),
     "packs": (
         ["chunk_index"],
-        """SELECT pack_id, CASE WHEN pack_id = 'b1' THEN live // 2 ELSE 9 + live + CASE WHEN substring(pack_id, 2, 1) < '8' THEN live WHEN substring(pack_id, 2, 1) < 'c' THEN live // 10 ELSE 0 END END AS size
-FROM (SELECT pack_id, CAST(sum(stored_size + 4) AS BIGINT) AS live FROM chunk_index GROUP BY pack_id) WHERE pack_id <> 'a0' UNION ALL SELECT 'zz', 5000""",
+        """SELECT pack_id, CASE WHEN starts_with(pack_id, 'b1') THEN live // 2 ELSE 9 + live + CASE WHEN substring(pack_id, 2, 1) < '8' THEN live WHEN substring(pack_id, 2, 1) < 'c' THEN live // 10 ELSE 0 END END AS size
+FROM (SELECT pack_id, CAST(sum(stored_size + 4) AS BIGINT) AS live FROM chunk_index GROUP BY pack_id) WHERE NOT starts_with(pack_id, 'a0') UNION ALL SELECT 'zz', 5000""",
     ),
 }
 
