@@ -60,8 +60,101 @@ def validate_items(items: DataFrame, refs: DataFrame) -> DataFrame:
     return items.join(own, ["snapshot_id", "item_index"], "left").withColumn("reason", item_reason()).where("reason IS NOT NULL").select("snapshot_id", "item_index", "reason")
 
 
+def dangling_item_ptrs(ptrs: DataFrame, index: DataFrame) -> DataFrame:
+    """Chunks of item streams that the index lacks."""
+    return ptrs.join(index.select("chunk_id"), "chunk_id", "left_anti")
+
+
+#: The newest format of snapshots that is read.
+FORMAT = 1
+SNAPSHOT_KEY = r"^snapshots/[0-9a-f]{64}$"
+
+
+def snapshot_kind() -> Column:
+    """What is wrong with a snapshot object, null where nothing is. A read that failed, a newer format and an envelope of another length say nothing about the object itself."""
+    outcome = F.col("outcome")
+    return (
+        F.when(~F.col("key").rlike(SNAPSHOT_KEY), "invalid_snapshot_key")
+        .when(outcome.isin("io_error", "items_io_error"), "snapshot_read_failed")
+        .when(outcome == "other_length", "incompatible_snapshot_envelope")
+        .when(outcome == "undecodable", "corrupt_snapshot")
+        .when(F.col("format_version") > FORMAT, "unsupported_snapshot_version")
+        .when(outcome == "items_undecodable", "unreadable_snapshot")
+    )
+
+
+def snapshot_issues(objects: DataFrame) -> DataFrame:
+    """Issues of snapshot objects (key, snapshot_id, outcome of reading them, format_version)."""
+    found = objects.withColumn("kind", snapshot_kind()).where("kind IS NOT NULL")
+    detail = F.when(F.col("kind") == "invalid_snapshot_key", F.col("key")).when(F.col("kind") == "unsupported_snapshot_version", F.concat(F.lit("version "), F.col("format_version").cast("string"))).otherwise(F.col("outcome"))
+    return with_kinds(found.withColumn("detail", detail))
+
+
+def with_kinds(df: DataFrame) -> DataFrame:
+    """Rows that name their own kind, in the common form."""
+    return df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(_TYPES[c]).alias(c) for c in ISSUE))
+
+
+def pack_issues(index: DataFrame, checks: DataFrame) -> DataFrame:
+    """Issues of the packs an index refers to, by what a check of each found (pack_id, outcome): missing where none was made, io_error where presence isn't known, anything but ok is bad content."""
+    refs = index.groupBy("pack_id").agg(F.count("*").alias("chunks"))
+    j = refs.join(checks, "pack_id", "left")
+    kind = F.when(F.col("outcome").isNull(), "missing_pack").when(F.col("outcome") == "io_error", "pack_existence_check_failed").when(F.col("outcome") != "ok", "corrupt_pack_content")
+    detail = F.when(F.col("outcome").isNull(), F.concat(F.col("chunks").cast("string"), F.lit(" chunks"))).otherwise(F.col("outcome"))
+    return with_kinds(j.withColumn("kind", kind).withColumn("detail", detail).where("kind IS NOT NULL"))
+
+
+def chunk_issues(verified: DataFrame, bad_packs: DataFrame) -> DataFrame:
+    """Chunks that fail by themselves (chunk_id, pack_id, outcome); those of bad packs are counted there."""
+    return issue(verified.where("outcome <> 'ok'").join(bad_packs.select("pack_id"), "pack_id", "left_anti"), "corrupt_chunk", F.col("outcome"))
+
+
+def full_scan(objects: DataFrame, items: DataFrame, refs: DataFrame, ptrs: DataFrame, index: DataFrame, tree_index: DataFrame, checks: DataFrame, verified: DataFrame) -> DataFrame:
+    """The issues of all phases: snapshots, item streams and items, packs, and chunks where data was verified."""
+    packs = pack_issues(index, checks)
+    bad = packs.where("kind <> 'pack_existence_check_failed'")
+    return (
+        snapshot_issues(objects)
+        .unionByName(issue(dangling_item_ptrs(ptrs, tree_index), "dangling_item_ptr"))
+        .unionByName(issue(validate_items(items, refs), "invalid_item", F.col("reason")))
+        .unionByName(issue(dangling_chunks(refs, index), "dangling_file_chunk"))
+        .unionByName(packs)
+        .unionByName(chunk_issues(verified, bad))
+    )
+
+
+#: What a message says of each kind.
+MESSAGES = {
+    "corrupt_snapshot": "can't be decoded",
+    "invalid_snapshot_key": "isn't the key of a snapshot",
+    "dangling_item_ptr": "has an item stream with a chunk that isn't indexed",
+    "dangling_file_chunk": "has a file with a chunk that isn't indexed",
+    "missing_pack": "isn't in storage",
+    "corrupt_pack_content": "has bad content",
+    "corrupt_chunk": "has bad content",
+    "pack_existence_check_failed": "couldn't be looked up",
+    "unreadable_snapshot": "has items that can't be decoded",
+    "snapshot_read_failed": "couldn't be read",
+    "unsupported_snapshot_version": "has a newer format",
+    "incompatible_snapshot_envelope": "has an envelope of another length",
+    "invalid_item": "has an invalid item",
+}
+
+
+def messages(issues: DataFrame) -> DataFrame:
+    """(context, message) of each issue, for people."""
+    says = F.create_map(*(F.lit(x) for kv in MESSAGES.items() for x in kv))[F.col("kind")]
+    context = (
+        F.when(F.col("kind") == "invalid_snapshot_key", F.col("detail"))
+        .when(F.col("snapshot_id").isNotNull(), F.concat(F.lit("snapshot "), F.col("snapshot_id").cast("string")))
+        .when(F.col("chunk_id").isNotNull(), F.concat(F.lit("chunk "), F.substring("chunk_id", 1, 16)))
+        .otherwise(F.concat(F.lit("pack "), F.col("pack_id")))
+    )
+    return issues.select("kind", context.alias("context"), F.concat(says, F.coalesce(F.when(F.col("kind") != "invalid_snapshot_key", F.concat(F.lit(": "), F.col("detail"))), F.lit(""))).alias("message"))
+
+
 def scan(items: DataFrame, refs: DataFrame, index: DataFrame, packs: DataFrame) -> DataFrame:
-    """All issues in one form."""
+    """What a catalog's own tables tell, in one form, with orphan packs and the items that missing packs hit."""
     gone = missing_packs(index, packs)
     return (
         issue(dangling_chunks(refs, index), "dangling_file_chunk")
@@ -116,12 +209,62 @@ def repair_plan(items: DataFrame, refs: DataFrame, removed: DataFrame, unreadabl
     plan = total.join(lost, "snapshot_id", "left").na.fill(0, ["lost_items", "lost_chunks"])
     bad = F.lit(False)
     if unreadable is not None:
-        plan = plan.join(F.broadcast(unreadable.select("snapshot_id", F.lit(True).alias("bad")).distinct()), "snapshot_id", "left")
+        plan = plan.join(unreadable.select("snapshot_id", F.lit(True).alias("bad")).distinct(), "snapshot_id", "left")
         bad = F.coalesce("bad", F.lit(False))
     action = F.when(bad, "remove_snapshot").when(F.col("lost_items") == 0, "keep").when(F.col("lost_items") >= F.col("files"), "remove_snapshot").otherwise("drop_items")
     return plan.select("snapshot_id", action.alias("action"), "items", "lost_items", "lost_chunks")
 
 
+def gated_drops(drops: DataFrame, items: DataFrame, declared: DataFrame, ptrs: DataFrame, refs: DataFrame, removed: DataFrame) -> DataFrame:
+    """(snapshot_id, drops, items, gate, action) of each snapshot with items to drop (snapshot_id, item_index): drop_items where every gate holds, else remove_snapshot and the first that doesn't.
+
+    Gates: data, all declared items (snapshot_id, items) are known and so is each to be
+    dropped; count, some item stays; pointers, its item stream needs no removed chunk;
+    survivors, nor do the items that stay.
+    """
+    drops = drops.select("snapshot_id", "item_index").distinct()
+    own = items.select("snapshot_id", "item_index", F.lit(True).alias("known"))
+    known = drops.join(own, ["snapshot_id", "item_index"], "left").groupBy("snapshot_id").agg(F.count("*").alias("drops"), F.count("known").alias("known"))
+    have = items.groupBy("snapshot_id").agg(F.count("*").alias("have"))
+    stream = ptrs.join(removed.withColumn("hit", F.lit(1)), "chunk_id", "left").groupBy("snapshot_id").agg(F.count("hit").alias("stream_hits"))
+    left = refs.join(removed, "chunk_id", "left_semi").join(drops, ["snapshot_id", "item_index"], "left_anti").groupBy("snapshot_id").agg(F.count("*").alias("left_hits"))
+    j = known.join(declared.select("snapshot_id", "items"), "snapshot_id", "left").join(have, "snapshot_id", "left").join(stream, "snapshot_id", "left").join(left, "snapshot_id", "left")
+    zero = F.lit(0)
+    gate = (
+        F.when(F.col("items").isNull() | (F.col("items") != F.coalesce("have", zero)) | (F.col("known") < F.col("drops")), "data")
+        .when(F.col("drops") >= F.col("items"), "count")
+        .when(F.col("stream_hits").isNull() | (F.col("stream_hits") > 0), "pointers")
+        .when(F.coalesce("left_hits", zero) > 0, "survivors")
+    )
+    return j.withColumn("gate", gate).select("snapshot_id", "drops", "items", "gate", F.when(F.col("gate").isNull(), "drop_items").otherwise("remove_snapshot").alias("action"))
+
+
+#: The order in which a repair is carried out: what would leave references to nothing comes after what makes them.
+STEPS = (
+    "remove_corrupt_snapshot",
+    "remove_invalid_snapshot_key",
+    "remove_dangling_index_entries",
+    "remove_corrupt_pack",
+    "remove_corrupt_chunks",
+    "drop_items",
+    "remove_snapshot",
+    "rebuild_refcounts",
+)
+
+
+def steps(issues: DataFrame, gated: DataFrame) -> DataFrame:
+    """(step, action, target): a repair's actions in the order of their steps. Nothing is planned for snapshots that couldn't be read or are of a newer format: refuse_unreadable() stops such a repair."""
+    by = {"corrupt_snapshot": ("remove_corrupt_snapshot", F.col("snapshot_id").cast("string")), "invalid_snapshot_key": ("remove_invalid_snapshot_key", F.col("detail")), "missing_pack": ("remove_dangling_index_entries", F.col("pack_id")), "corrupt_pack_content": ("remove_corrupt_pack", F.col("pack_id")), "corrupt_chunk": ("remove_corrupt_chunks", F.col("pack_id"))}
+    action, target = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for kind, (name, of) in by.items():
+        action, target = F.when(F.col("kind") == kind, name).otherwise(action), F.when(F.col("kind") == kind, of).otherwise(target)
+    own = issues.select(action.alias("action"), target.alias("target")).where("action IS NOT NULL").distinct()
+    both = own.unionByName(gated.select("action", F.col("snapshot_id").cast("string").alias("target")))
+    last = issues.sparkSession.createDataFrame([("rebuild_refcounts", None)], "action string, target string")
+    place = F.create_map(*(F.lit(x) for i, n in enumerate(STEPS, 1) for x in (n, i)))[F.col("action")]
+    return both.unionByName(last).select(place.alias("step"), "action", "target")
+
+
 def survivors(items: DataFrame, refs: DataFrame, removed: DataFrame) -> DataFrame:
     """Items that need no removed chunk."""
     return items.join(refs.join(removed, "chunk_id", "left_semi").select("snapshot_id", "item_index").distinct(), ["snapshot_id", "item_index"], "left_anti")
@@ -132,8 +275,8 @@ def rewritten_stats(items: DataFrame, refs: DataFrame, removed: DataFrame) -> Da
     return survivors(items, refs, removed).where("entry_type = 'file'").groupBy("snapshot_id").agg(F.count("*").alias("nfiles"), F.sum("size").alias("original_size"))
 
 
-def refuse_unreadable(issues: DataFrame, kinds: tuple[str, ...] = ("unsupported_snapshot", "unreadable_snapshot")) -> None:
-    """Raise where snapshots of a newer format are about: a repair could lose them."""
+def refuse_unreadable(issues: DataFrame, kinds: tuple[str, ...] = ("unsupported_snapshot", "unsupported_snapshot_version", "incompatible_snapshot_envelope", "unreadable_snapshot", "snapshot_read_failed")) -> None:
+    """Raise where snapshots of a newer format, or that couldn't be read, are about: a repair could lose them."""
     if not issues.where(F.col("kind").isin(*kinds)).isEmpty():
         raise ValueError("a repair needs every snapshot to be readable")
 
@@ -143,6 +286,11 @@ def full_check_due(last: Column, now: Column, interval_seconds: Column) -> Colum
     return F.coalesce(F.unix_seconds(now) - F.unix_seconds(last) >= interval_seconds, F.lit(True))
 
 
+def check_share(percent: Column, due: Column) -> Column:
+    """The percentage of a catalog that a check covers: all where a full one is due or no share is set."""
+    return F.when(F.coalesce(due, F.lit(True)) | percent.isNull(), F.lit(100)).otherwise(percent)
+
+
 def verify_reconcile(expected: DataFrame, answers: DataFrame) -> DataFrame:
     """(pack_key, outcome): what a verification asked for and what it got: verified, failed, missing, unexpected or duplicate (each answer after the first)."""
     by = Window.partitionBy("pack_key").orderBy("ordinal")

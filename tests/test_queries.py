@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from stratalog.plans import extras  # noqa: F401  registers more
+from stratalog.plans import extras, integrity, listings, values  # noqa: F401  register more
 from stratalog.plans.queries import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
