@@ -44,6 +44,23 @@ def parse_size(c) -> Column:
     return F.floor(n * _by_unit(c, pattern, UNITS).cast("decimal(14,0)")).cast("long")
 
 
+def parse_bench_size(c) -> Column:
+    """Bytes of a report's size: digits, or a number with K, M, G, T or P, rounded down; null if malformed, empty or NA."""
+    c = F.upper(F.trim(col(c)))
+    pattern = r"^(\d+(?:\.\d+)?)([KMGTP]?)(?:I?B?)?$"
+    n = F.regexp_extract(c, pattern, 1).try_cast("decimal(24,6)")
+    return F.floor(n * _by_unit(c, pattern, UNITS | {"P": 1 << 50}).cast("decimal(17,0)")).cast("long")
+
+
+def parse_corpus_size(c) -> Column:
+    """Bytes of a corpus's size, whose unit (b, kb, mb, gb, tb) can't be left out; null if malformed."""
+    c = F.lower(F.trim(col(c)))
+    pattern = r"^(\d+(?:\.\d+)?)\s*(b|kb|mb|gb|tb)$"
+    n = F.regexp_extract(c, pattern, 1).try_cast("decimal(24,6)")
+    units = {"b": 1, "kb": 1 << 10, "mb": 1 << 20, "gb": 1 << 30, "tb": 1 << 40}
+    return F.floor(n * _by_unit(c, pattern, units).cast("decimal(14,0)")).cast("long")
+
+
 def elapsed_seconds(c) -> Column:
     """Seconds of h:mm:ss or m:ss."""
     part = F.reverse(F.split(col(c), ":"))
@@ -70,6 +87,15 @@ def format_bytes(c) -> Column:
     )
 
 
+def format_mount_size(c) -> Column:
+    """One digit of the greatest unit that leaves 1 or more, as directory listings show it; ties go to the even digit."""
+    n = col(c).cast("double")
+    out = F.concat(F.format_string("%.1f", F.bround(n / (1 << 50), 1)), F.lit(" PiB"))
+    for i, unit in reversed(list(enumerate(("KiB", "MiB", "GiB", "TiB"), 1))):
+        out = F.when(n < float(1 << 10 * (i + 1)), F.concat(F.format_string("%.1f", F.bround(n / float(1 << 10 * i), 1)), F.lit(f" {unit}"))).otherwise(out)
+    return F.when(n < 1024, F.concat(col(c).cast("long").cast("string"), F.lit(" B"))).otherwise(out)
+
+
 def format_delta(c) -> Column:
     """A signed size; zero has no sign."""
     n = col(c).cast("long")
@@ -185,6 +211,25 @@ def substitute(template, values: dict[str, Column]) -> Column:
     return reduce(lambda out, kv: F.replace(out, F.lit("{" + kv[0] + "}"), shell_escape(kv[1])), values.items(), col(template))
 
 
+def expand_tilde(path, home) -> Column:
+    """~ and what begins with ~/ in a home directory."""
+    p = col(path)
+    return F.when(p == "~", col(home)).when(p.startswith("~/"), F.concat(F.rtrim(col(home), F.lit("/")), F.expr("substring({}, 2)".format(path) if isinstance(path, str) else "NULL"))).otherwise(p)
+
+
+def label_from_path(path) -> Column:
+    """The last component of a path; the path itself where it has none."""
+    p = col(path)
+    name = file_name(F.regexp_replace(p, "/+$", ""))
+    return F.when(name.isin("", ".."), p).otherwise(name)
+
+
+def expand_placeholders(text, values: dict[str, Column]) -> Column:
+    """${NAME} replaced by the value of NAME; null where a name has none."""
+    out = reduce(lambda out, kv: F.replace(out, F.lit("${" + kv[0] + "}"), kv[1]), values.items(), col(text))
+    return F.when(~out.rlike(r"\$\{[A-Za-z_][A-Za-z0-9_]*\}"), out)
+
+
 def shard_prefix(hex_id) -> Column:
     return F.substring(F.lower(col(hex_id)), 1, 2)
 
@@ -220,6 +265,27 @@ def is_newer(a, b) -> Column:
     return F.coalesce(version_parts(a) > version_parts(b), F.lit(False))
 
 
+def protocol_state(version, least: int = 1, most: int = 1) -> Column:
+    """ok, too old or not supported; a client that names no version (0) passes while the first one does."""
+    v = col(version)
+    return F.when(v == 0, "ok" if least <= 1 else "too old").when(v < least, "too old").when(v > most, "not supported").otherwise("ok")
+
+
+def listing_concurrency(connections, remote) -> Column:
+    """Requests at once in a listing: thrice the connections to a remote store, 24 at most; 8 at most to a local one."""
+    return F.when(col(remote), F.least(col(connections) * 3, F.lit(24))).otherwise(F.least(col(connections), F.lit(8)))
+
+
+def verify_concurrency(connections) -> Column:
+    return F.least(col(connections), F.lit(4))
+
+
+def backup_threads(cores, local, most: int = 8) -> Column:
+    """Half of the cores, 2 to 4, on a local store (1 where there is one); up to ``most`` on a remote one."""
+    half = F.greatest(F.lit(2), F.least(F.lit(4), F.ceil(col(cores) / 2))).cast("int")
+    return F.when(~col(local), F.least(col(cores), F.lit(most))).when(col(cores) == 1, 1).otherwise(half).cast("int")
+
+
 def throughput_mib_s(n, seconds) -> Column:
     return F.when(col(seconds) > 0, col(n).cast("double") / 1048576 / col(seconds))
 
@@ -265,6 +331,16 @@ def valid_pack_key(c) -> Column:
     return col(c).rlike(r"^/*packs/[0-9a-fA-F]{2}/[0-9a-fA-F]{64}/*$")
 
 
+def valid_storage_key(c) -> Column:
+    """Keys that a server stores: known names in known folders, no temporary ones, nothing that leaves them."""
+    k = F.regexp_replace(F.regexp_replace(col(c), "^/+", ""), "/+$", "")
+    folder = k.rlike(r"\A(keys|snapshots|locks|sessions|pending_index)(/[^/]+)?\z")
+    pack = k.rlike(r"\Apacks(/[0-9a-fA-F]{2}(/[0-9a-fA-F]{64})?)?\z")
+    root = k.rlike(r"\A(config|manifest|index|index\.gen)\z")
+    bad = F.contains(col(c), F.lit("\x00")) | F.contains(col(c), F.lit("\\")) | temp_file(c)
+    return ~bad & ((k == "") | (safe_relative_path(k) & (folder | pack | root)))
+
+
 def temp_file(c) -> Column:
     return file_name(F.regexp_replace(col(c), "/+$", "")).startswith(".tmp")
 
@@ -280,7 +356,7 @@ def symlink_class(c) -> Column:
 def valid_blob(offset, length) -> Column:
     """A length of 1 to 2^32-1 whose end is an unsigned 64-bit number."""
     o, n = col(offset).cast("decimal(20,0)"), col(length).cast("decimal(20,0)")
-    return (n > 0) & (n <= (1 << 32) - 1) & (o + n <= F.lit((1 << 64) - 1).cast("decimal(20,0)"))
+    return (n > 0) & (n <= (1 << 32) - 1) & (o + n <= F.lit(str((1 << 64) - 1)).cast("decimal(20,0)"))
 
 
 def repo_url_kind(c) -> Column:
@@ -297,7 +373,7 @@ def repo_url_kind(c) -> Column:
 
 
 def glob_regex(pattern: str, ignore_case: bool = False, separator_literal: bool = True) -> str:
-    """A regular expression of a glob. With ``separator_literal``, * and ? stop at separators and ** doesn't."""
+    """A regular expression of a glob, over the whole text. With ``separator_literal``, *, ? and brackets stop at separators and ** doesn't."""
     out, i = [], 0
     one = "[^/]" if separator_literal else "."
     while i < len(pattern):
@@ -312,12 +388,14 @@ def glob_regex(pattern: str, ignore_case: bool = False, separator_literal: bool
             continue
         if c == "[" and (end := pattern.find("]", i + 2)) > 0:
             inside = pattern[i + 1 : end]
-            out.append("[" + ("^" + inside[1:] if inside[0] in "!^" else inside).replace("\\", "\\\\") + "]")
+            own = inside[1:] if inside[0] in "!^" else inside
+            own = own.replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&")
+            out.append(("(?!/)" if separator_literal else "") + "[" + ("^" if inside[0] in "!^" else "") + own + "]")
             i = end
         else:
             out.append({"*": one + "*", "?": one}.get(c) or ("\\" + c if c in r"\.+^$(){}|[]" else c))
         i += 1
-    return ("(?is)" if ignore_case else "(?s)") + "^" + "".join(out) + "$"
+    return ("(?is)" if ignore_case else "(?s)") + r"\A" + "".join(out) + r"(?![\s\S])"
 
 
 def glob_matches(path, pattern: str, ignore_case: bool = False) -> Column:

@@ -61,6 +61,12 @@ def rebuild_refcounts(refs: DataFrame, index: DataFrame) -> DataFrame:
     return index.drop("refcount").join(refcounts(refs), "chunk_id").select(*index.columns)
 
 
+def cache_hits(files: DataFrame, *by: str) -> DataFrame:
+    """Files, original, compressed and deduplicated bytes; a file taken from the cache (``hit``) adds none of the last."""
+    new = F.when(F.col("hit"), 0).otherwise(F.col("size"))
+    return files.groupBy(*by).agg(F.count("*").alias("files"), F.sum("size").alias("original"), F.sum("stored").alias("compressed"), F.sum(new).alias("deduplicated"))
+
+
 def delete_names(names: DataFrame) -> DataFrame:
     """Each requested name once, at its first place."""
     return names.groupBy("name").agg(F.min("ordinal").alias("ordinal"))

@@ -38,9 +38,9 @@ def soft_error(code: Column) -> Column:
     return F.coalesce(code.isin(*SOFT_ERRORS), F.lit(False))
 
 
-def legacy_reuse(parent_items: DataFrame) -> DataFrame:
+def legacy_reuse(parent_items: DataFrame, *by: str) -> DataFrame:
     """Whether a parent's items may be reused: none if any file lacks a ctime."""
-    return parent_items.agg(F.coalesce(~F.bool_or((F.col("entry_type") == "file") & F.col("ctime_ns").isNull()), F.lit(False)).alias("usable"))
+    return parent_items.groupBy(*by).agg(F.coalesce(~F.bool_or((F.col("entry_type") == "file") & F.col("ctime_ns").isNull()), F.lit(False)).alias("usable"))
 
 
 def absolute_paths(items: DataFrame, roots: DataFrame) -> DataFrame:
@@ -66,13 +66,21 @@ def string_or_list(c: Column) -> Column:
 SOURCE = "path string, paths array<string>, label string, exclude array<string>, repos array<string>"
 
 
-def normalise_sources(raw: DataFrame, value: str = "value") -> DataFrame:
-    """Sources given as a bare path or an object: label (the path's name where none is given), paths, excludes and repositories."""
+def normalise_sources(raw: DataFrame, value: str = "value", keep: list[str] | None = None) -> DataFrame:
+    """Sources given as a bare path or an object: label (the path's name where none is given), paths, excludes and repositories; ``keep`` names columns that come along."""
     bare = ~F.ltrim(F.col(value)).startswith("{")
     s = raw.withColumn("s", F.when(~bare, F.from_json(value, SOURCE))).withColumn("bare", F.trim(F.col(value), F.lit('"')))
     paths = F.when(F.col("s").isNull(), F.array("bare")).otherwise(F.coalesce("s.paths", F.array("s.path")))
     none = F.array().cast("array<string>")
-    return s.select(F.coalesce("s.label", S.file_name(F.rtrim(paths[0], F.lit("/")))).alias("label"), paths.alias("paths"), F.coalesce("s.exclude", none).alias("exclude"), F.coalesce("s.repos", none).alias("repos"))
+    return s.select(*(keep or []), F.coalesce("s.label", S.file_name(F.rtrim(paths[0], F.lit("/")))).alias("label"), paths.alias("paths"), F.coalesce("s.exclude", none).alias("exclude"), F.coalesce("s.repos", none).alias("repos"))
+
+
+def attributes(items: DataFrame, *keys: str) -> DataFrame:
+    """Of each item's extended attributes (a map of names to bytes): how many, their bytes, and the names that users set, sorted."""
+    m = F.col("xattrs")
+    size = F.aggregate(F.map_values(m), F.lit(0).cast("long"), lambda n, v: n + F.octet_length(v))
+    own = F.array_sort(F.map_keys(F.map_filter(m, lambda k, _: k.startswith("user."))))
+    return items.select(*keys, F.coalesce(F.size(F.map_keys(m)), F.lit(0)).cast("long").alias("names"), F.coalesce(size, F.lit(0)).alias("bytes"), F.array_join(own, ",").alias("user_names"))
 
 
 def expected_blobs_missing(expected: DataFrame, scanned: DataFrame) -> DataFrame:
@@ -81,9 +89,18 @@ def expected_blobs_missing(expected: DataFrame, scanned: DataFrame) -> DataFrame
 
 
 def structure_summary(packs: DataFrame) -> DataFrame:
-    """Packs, bytes, and the errors of a structure check, sorted: malformed keys, and files too short for a header."""
-    error = F.when(~S.valid_pack_key("path"), F.concat(F.lit("bad key: "), F.col("path"))).when(F.col("length") < 9, F.concat(F.lit("too short: "), F.col("path")))
-    return packs.withColumn("error", error).agg(F.count("*").alias("packs"), F.sum("length").alias("bytes"), F.array_sort(F.collect_list("error")).alias("errors"))
+    """Packs, bytes and errors of a structure check; structure_errors() lists them."""
+    return packs.agg(F.count("*").alias("packs"), F.sum("length").alias("bytes"), F.count(structure_error()).alias("errors"))
+
+
+def structure_error() -> Column:
+    """Malformed keys, and files too short for a header."""
+    return F.when(~S.valid_pack_key("path"), F.concat(F.lit("bad key: "), F.col("path"))).when(F.col("length") < 9, F.concat(F.lit("too short: "), F.col("path")))
+
+
+def structure_errors(packs: DataFrame) -> DataFrame:
+    """(path, error) of the packs that fail it."""
+    return packs.select("path", structure_error().alias("error")).where("error IS NOT NULL")
 
 
 def hidden_summary(states: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Seconds after which a session, and a lock, are stale.
 SESSION_STALE, LOCK_STALE = 45 * 60, 6 * 3600
+#: Repositories of a configuration.
+MOST_REPOS = 10_000
 
 
 def sessions(events: DataFrame, gap: str = "45 minutes") -> DataFrame:
@@ -61,12 +63,31 @@ def diff_targets(matches: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def assign_sources(sources: DataFrame, repos: DataFrame) -> DataFrame:
-    """(source, repo): a source without repositories goes to all; configuration tables are small, but the join is by key all the same."""
-    listed = sources.where(F.size("repos") > 0).select("label", F.explode("repos").alias("repo")).join(repos, "repo", "left_semi").select("label", "repo")
-    everywhere = sources.where(F.size("repos") == 0).select("label", F.lit(1).alias("_k")).join(repos.select("repo", F.lit(1).alias("_k")), "_k").select("label", "repo")
+    """(source, repo): a source without repositories goes to all of them. Repositories are entries of one configuration file, so their names are one array that is exploded for each such source."""
+    listed = sources.where(F.size("repos") > 0).select("label", F.explode(F.array_distinct("repos")).alias("repo")).join(repos, "repo", "left_semi").select("label", "repo")
+    names = F.array(*(F.lit(r.repo) for r in repos.select("repo").distinct().orderBy("repo").limit(MOST_REPOS).collect()))
+    everywhere = sources.where(F.size("repos") == 0).select("label", F.explode(names).alias("repo"))
     return listed.unionByName(everywhere)
 
 
+def first_of(sources: DataFrame, key: str, ordinal: str) -> DataFrame:
+    """The first row of each key, and how many there are."""
+    return sources.groupBy(key).agg(F.min(ordinal).alias("first"), F.count("*").alias("sources"))
+
+
+def select_labels(asked: DataFrame, labels: DataFrame) -> DataFrame:
+    """(name, known) of requested labels, each once."""
+    known = labels.select(F.col("label").alias("name"), F.lit(True).alias("known")).distinct()
+    return asked.distinct().join(known, "name", "left").select("name", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+def select_repos(asked: DataFrame, repos: DataFrame) -> DataFrame:
+    """(name, repo): the repository of that label, else the one of that URL, else null."""
+    by_url = repos.groupBy(F.col("url").alias("name")).agg(F.min("repo").alias("by_url"))
+    by_label = repos.select(F.col("repo").alias("name"), F.col("repo").alias("by_label")).distinct()
+    return asked.join(by_label, "name", "left").join(by_url, "name", "left").select("name", F.coalesce("by_label", "by_url").alias("repo"))
+
+
 def unknown_repos(sources: DataFrame, repos: DataFrame) -> DataFrame:
     return sources.select("label", F.explode("repos").alias("repo")).join(repos, "repo", "left_anti").select("label", "repo")
 
@@ -107,3 +128,9 @@ def parent_snapshot(snapshots: DataFrame) -> DataFrame:
     """Per source label and host: the newest snapshot before each one, which a backup may reuse."""
     by = Window.partitionBy("source_label", "hostname").orderBy("time", "ordinal")
     return snapshots.select("name", F.lag("name").over(by).alias("parent"))
+
+
+def parent_by_paths(snapshots: DataFrame) -> DataFrame:
+    """Per set of source paths, in whatever order: the newest snapshot before each one."""
+    by = Window.partitionBy("paths").orderBy("time", "ordinal")
+    return snapshots.withColumn("paths", F.array_sort("source_paths")).select("name", F.lag("name").over(by).alias("parent"))
