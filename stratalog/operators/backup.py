@@ -142,6 +142,16 @@ def reordered(entries: DataFrame) -> DataFrame:
     return entries.withColumn("item_index", F.row_number().over(by) - 1)
 
 
+def walk_order(entries: DataFrame, by_inode: bool) -> DataFrame:
+    """Entries as a walk reads them."""
+    return entries.orderBy("inode", "path") if by_inode else entries.orderBy("path")
+
+
+def ordinals(streams: DataFrame) -> DataFrame:
+    """(stream, item_index, item): the items of each stream by their place in it."""
+    return streams.select("stream", F.posexplode("items").alias("item_index", "item"))
+
+
 def next_run(cron: str, after) -> object:
     """The first minute after a time that a five-field cron expression matches (a datetime); fields are *, numbers, ranges, lists and steps."""
     import datetime as dt

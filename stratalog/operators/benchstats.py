@@ -43,13 +43,34 @@ def type_counts(files: DataFrame) -> DataFrame:
 def key_values(lines: DataFrame) -> DataFrame:
     """'name: value' lines of a report as (run, name, value)."""
     part = F.split("value", ": ", 2)
-    return lines.where(F.contains("value", F.lit(": "))).select("run", F.trim(part[0]).alias("name"), F.trim(part[1]).alias("value"))
+    return lines.where(F.contains("value", F.lit(": "))).select("run", F.btrim(part[0], F.lit(" \t")).alias("name"), F.btrim(part[1], F.lit(" \t")).alias("value"))
 
 
-def schedule_brief(repos: DataFrame) -> DataFrame:
-    """The cadence all repositories share, else per-repo."""
-    return repos.agg(F.when(F.count_distinct("schedule") == 1, F.first("schedule")).otherwise(F.lit("per-repo")).alias("brief"))
+def wide(values: DataFrame, names: list[str]) -> DataFrame:
+    """(run, a column a name): the first value of each name, null where there is none. The names are given, so the plan needs no pass to find them."""
+    return values.groupBy("run").agg(*(F.min(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names))
 
 
-def next_wake(plans: DataFrame) -> DataFrame:
-    return plans.agg(F.min("next_run").alias("next_wake"))
+def schedule_brief(repos: DataFrame, *by: str) -> DataFrame:
+    """Off where all are paused, else the cadence all repositories share, else per-repo."""
+    one = F.when(F.min("schedule") == F.max("schedule"), F.min("schedule")).otherwise(F.lit("per-repo"))
+    return repos.groupBy(*by).agg(F.when(F.bool_and("paused"), "Off").otherwise(one).alias("brief"))
+
+
+def next_wake(plans: DataFrame, *by: str) -> DataFrame:
+    """The earliest next run; plans without one don't count."""
+    return plans.groupBy(*by).agg(F.min("next_run").alias("next_wake"))
+
+
+def status_json(snapshots: DataFrame, by: str) -> DataFrame:
+    """A JSON object for each repository."""
+    s = snapshots.groupBy(by).agg(F.count("*").alias("snapshots"), F.date_format(F.max("time"), "yyyy-MM-dd HH:mm:ss").alias("newest"), F.sum("original_size").alias("bytes"))
+    return s.select(by, F.to_json(F.struct(F.col(by).alias("repo"), "snapshots", "newest", "bytes")).alias("status"))
+
+
+def report_lines(records: DataFrame) -> DataFrame:
+    """Records as lines of TSV, markdown and JSON."""
+    cells = [F.concat_ws(".", "tool", "phase"), F.col("run_count").cast("string"), F.col("failed_runs").cast("string"), F.format_string("%.2f", F.round("duration_mean", 2)), F.format_string("%.0f", F.round("bytes_mean", 0))]
+    blank = [F.coalesce(c, F.lit("NA")) for c in cells]
+    whole = F.to_json(F.struct(cells[0].alias("op"), F.col("run_count").alias("runs"), "failed_runs"))
+    return records.select(cells[0].alias("op"), F.concat_ws("\t", *blank).alias("tsv"), F.concat(F.lit("| "), F.concat_ws(" | ", *blank), F.lit(" |")).alias("markdown"), whole.alias("json"))

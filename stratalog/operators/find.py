@@ -100,6 +100,26 @@ def sort_contents(items: DataFrame, field: str) -> DataFrame:
     return items.orderBy(*{"name": ["path"], "size": [F.desc("size"), "path"], "mtime": [F.desc("mtime_ns"), "path"]}[field])
 
 
+def sort_snapshots(snapshots: DataFrame, column: str, ascending: bool = True) -> DataFrame:
+    """By any column; what isn't known comes last, and first in descending order. Ties keep the order of ``ordinal``, which is turned too."""
+    c, tie = F.col(column), F.col("ordinal")
+    return snapshots.orderBy(c.asc_nulls_last(), tie) if ascending else snapshots.orderBy(c.desc_nulls_first(), tie.desc())
+
+
+def recent(snapshots: DataFrame, n: int = 10) -> DataFrame:
+    """The newest of all repositories, of which each task keeps so many."""
+    return snapshots.orderBy(F.desc("time"), F.desc("ordinal")).limit(n)
+
+
+def by_id(skipped: DataFrame) -> DataFrame:
+    return skipped.orderBy("id_hex")
+
+
+def states(snapshots: DataFrame, newest: int = 1) -> DataFrame:
+    """Snapshots with whether their format can be read."""
+    return snapshots.withColumn("state", F.when(F.col("format_version") <= newest, "ok").otherwise("unsupported"))
+
+
 def restore_selection(items: DataFrame, pattern: str | None = None, selected: DataFrame | None = None) -> DataFrame:
     """Items a restore takes: by glob over whole paths, or those that are, or lie below, a selected path."""
     if pattern is not None:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import glob_regex
 
@@ -31,7 +31,27 @@ def assign_packs(blobs: DataFrame, target: int, max_blobs: int = MAX_BLOBS, max_
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], ["session", "seq", "pack"])
 
     rows = blobs.select(F.col("session").cast("long"), F.col("seq").cast("long"), F.col("size").cast("long"), F.col("at").cast("double"))
-    return rows.repartition("session").sortWithinPartitions("session", "seq").mapInArrow(run, "session bigint, seq bigint, pack bigint")
+    return rows.repartition("session").sortWithinPartitions("session", "seq", "size").mapInArrow(run, "session bigint, seq bigint, pack bigint")
+
+
+def stream_chunks(items: DataFrame, average: int) -> DataFrame:
+    """(stream, seq, chunk): items in order; a chunk of their stream closes once it has the average size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, chunk, held = object(), 0, 0
+        for b in batches:
+            out = []
+            for s, _, n in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if s != stream:
+                    stream, chunk, held = s, 0, 0
+                elif held >= average:
+                    chunk, held = chunk + 1, 0
+                held += n
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int64())], ["stream", "seq", "chunk"])
+
+    rows = items.select(F.col("stream").cast("long"), F.col("seq").cast("long"), F.col("size").cast("long"))
+    return rows.repartition("stream").sortWithinPartitions("stream", "seq", "size").mapInArrow(run, "stream bigint, seq bigint, chunk bigint")
 
 
 def batch_plans(ops: DataFrame, limit: int = 2 << 30) -> DataFrame:
@@ -51,11 +71,11 @@ def batch_plans(ops: DataFrame, limit: int = 2 << 30) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int64())], ["repo", "seq", "batch"])
 
     rows = ops.select("repo", F.col("seq").cast("long"), F.col("size").cast("long"))
-    return rows.repartition("repo").sortWithinPartitions("repo", "seq").mapInArrow(run, "repo string, seq bigint, batch bigint")
+    return rows.repartition("repo").sortWithinPartitions("repo", "seq", "size").mapInArrow(run, "repo string, seq bigint, batch bigint")
 
 
 class IgnoreRules:
-    """Ignore patterns in order: the last that matches a path, or a directory above it, decides; ! takes an earlier one back, a trailing / is for directories, a leading one for the root."""
+    """Ignore patterns in order: the last that matches a path, or a directory above it, decides; ! takes an earlier one back, a trailing / is for directories, a leading one for the root. Their plain form; ignored() is the same as an expression."""
 
     def __init__(self, patterns: list[str]):
         self.rules = []
@@ -83,15 +103,40 @@ class IgnoreRules:
         return bool(self._own(path, is_dir))
 
 
-def ignored(patterns: list[str]):
-    """A function of (path, entry_type) columns: whether the rules exclude it."""
-
-    @F.pandas_udf("boolean")
-    def f(path: pd.Series, kind: pd.Series) -> pd.Series:
-        rules = IgnoreRules(patterns)
-        return pd.Series([rules.ignored(p, k == "dir") for p, k in zip(path, kind)])
-
-    return f
+def _verdict(patterns: list[str], path: Column, is_dir: Column) -> Column:
+    """Whether the last rule that matches a path excludes it, null where none matches."""
+    out = F.lit(None).cast("boolean")
+    for negate, only_dir, regex in IgnoreRules(patterns).rules:
+        hit = path.rlike(regex.pattern)
+        out = F.when(hit & is_dir if only_dir else hit, F.lit(not negate)).otherwise(out)
+    return out
+
+
+def _above(path: Column) -> Column:
+    """The directories above a path, outermost first."""
+    parts = F.split(path, "/")
+    n = F.size(parts) - 1
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).otherwise(F.array().cast("array<string>"))
+
+
+def ignored(patterns: list[str], path: Column, is_dir: Column) -> Column:
+    """Whether the rules exclude a path, or a directory above it, below which nothing comes back."""
+    below = F.exists(_above(path), lambda up: F.coalesce(_verdict(patterns, up, F.lit(True)), F.lit(False)))
+    return below | F.coalesce(_verdict(patterns, path, is_dir), F.lit(False))
+
+
+def ignored_by_files(files: dict[str, list[str]], path: Column, is_dir: Column) -> Column:
+    """The same by ignore files in directories ('' is the root): of those above a path, the deepest with a rule that matches it, or a directory below the file, decides."""
+    out = F.lit(False)
+    for folder, patterns in sorted(files.items(), key=lambda x: x[0].count("/") + bool(x[0])):
+        inside = path.startswith(folder + "/") if folder else F.lit(True)
+        rest = F.substring(path, len(folder) + 2, 1 << 30) if folder else path
+        # The nearest to the path decides: itself, else the directories above it from below.
+        own = _verdict(patterns, rest, is_dir)
+        above = F.filter(F.transform(F.reverse(_above(rest)), lambda up: _verdict(patterns, up, F.lit(True))), lambda v: v.isNotNull())
+        verdict = F.coalesce(own, F.try_element_at(above, F.lit(1)))
+        out = F.when(inside & verdict.isNotNull(), verdict).otherwise(out)
+    return out
 
 
 def _width(c: str) -> int:

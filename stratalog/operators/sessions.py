@@ -38,6 +38,12 @@ def lock_state(locks: DataFrame, now: Column, host: str, boot_id: str, live_pids
     return locks.withColumn("state", state)
 
 
+def journal_points(packs: DataFrame, every: int = 8) -> DataFrame:
+    """(session, seq, journal): the packs after which a session's journal is written."""
+    n = F.row_number().over(Window.partitionBy("session").orderBy("seq"))
+    return packs.withColumn("_n", n).where(F.col("_n") % every == 0).withColumn("journal", F.floor(F.col("_n") / every)).drop("_n")
+
+
 def oldest_lock(locks: DataFrame) -> DataFrame:
     """The lock that wins: of the least key."""
     return locks.agg(F.min_by(F.struct(*locks.columns), "key").alias("l")).where("l IS NOT NULL").select("l.*")

@@ -26,6 +26,14 @@ def children(tree: DataFrame, path: str) -> DataFrame:
     return tree.where(F.col("parent") == path).orderBy(F.desc("is_dir"), F.lower(S.file_name("path")), "path")
 
 
+def html_lines(tree: DataFrame) -> DataFrame:
+    """Nodes with the line that a directory's page has for them."""
+    name = S.file_name("path")
+    slash = F.when(F.col("is_dir"), "/").otherwise("")
+    line = F.concat(F.lit('<li><a href="'), S.percent_encode_path(name), slash, F.lit('">'), S.html_escape(name), slash, F.lit("</a> "), F.col("files").cast("string"), F.lit("</li>"))
+    return tree.withColumn("line", line)
+
+
 def lookup(tree: DataFrame, path: str) -> DataFrame:
     return tree.where(F.col("path") == path)
 
@@ -75,7 +83,7 @@ def nested_roots(roots: DataFrame) -> DataFrame:
 def display_paths(items: DataFrame, sources: DataFrame) -> DataFrame:
     """Paths below the source whose base name is their first component, else as they are."""
     first = F.substring_index("path", "/", 1)
-    j = items.withColumn("base", first).join(F.broadcast(sources.select("base", "root")), "base", "left")
+    j = items.withColumn("base", first).join(sources.select("base", "root"), "base", "left")
     return j.withColumn("shown", F.when(F.col("root").isNull(), F.col("path")).otherwise(F.concat("root", F.expr("substring(path, length(base) + 1)")))).drop("base", "root")
 
 

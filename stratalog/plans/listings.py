@@ -1,0 +1,288 @@
+"""Queries of sorted views, reports, sinks and storage, with their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from ..functions import scalars as S
+from ..operators import backup, benchstats, diff, find, folds, restore, sessions, tree
+from ..sources import catalog, formats, sinks
+from ..sources.catalog import with_tables, work_dir
+from .queries import _DIFF, _NODES, _PATHS, _RUNS, _SIDE, _UP, _paths, _runs, query
+
+#: Rows of a view that is shown.
+SHOWN = 100
+
+
+def _shown(df: DataFrame, *columns: str) -> DataFrame:
+    """The first rows of a sorted view, numbered."""
+    n = F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))  # over the rows of a view
+    return df.limit(SHOWN).withColumn("place", n).select("place", *columns)
+
+
+def _top(order: str, columns: str, table: str) -> str:
+    return f"SELECT * FROM (SELECT CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS place, {columns} FROM {table}) WHERE place <= {SHOWN}"
+
+
+# Views
+
+
+@query(with_tables("items", " UNION ALL ".join(_top(o, f"'{f}' AS field, snapshot_id, path", "(SELECT * FROM items WHERE snapshot_id = 2)") for f, o in (("name", "path"), ("size", "size DESC, path"), ("mtime", "mtime_ns DESC, path")))))
+def sorted_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot's contents by name, size and time."""
+    i = catalog.items(spark, sf_dir).where("snapshot_id = 2").drop("content")
+    parts = [_shown(find.sort_contents(i, f), "snapshot_id", "path").withColumn("field", F.lit(f)) for f in ("name", "size", "mtime")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_SNAPS = "(SELECT *, CASE WHEN ordinal % 4 <> 0 THEN nfiles END AS files, CASE WHEN ordinal % 3 <> 0 THEN original_size END AS bytes FROM snapshots)"
+
+
+def _partial_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("ordinal")
+    return catalog.snapshots(spark, sf_dir).withColumns({"files": F.when(k % 4 != 0, F.col("nfiles")), "bytes": F.when(k % 3 != 0, F.col("original_size"))})
+
+
+_SORTS = (("name", True), ("time", False), ("hostname", True), ("label", False), ("files", True), ("files", False), ("bytes", False))
+
+
+@query(
+    with_tables(
+        "snapshots",
+        " UNION ALL ".join(_top(f"{c} {'ASC NULLS LAST' if up else 'DESC NULLS FIRST'}, ordinal {'ASC' if up else 'DESC'}", f"'{c} {'up' if up else 'down'}' AS sort, name", _SNAPS) for c, up in _SORTS),
+    )
+)
+def sorted_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots by each column; what isn't known comes last, first in descending order."""
+    s = _partial_snapshots(spark, sf_dir)
+    parts = [_shown(find.sort_snapshots(s, c, up), "name").withColumn("sort", F.lit(f"{c} {'up' if up else 'down'}")) for c, up in _SORTS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query(with_tables("items", _top("list_position(['added', 'removed', 'modified'], change), path", "path, change", "d") + " UNION ALL " + _top("old_size DESC NULLS LAST, path", "path, 'by size'", "d"), a=_SIDE.format(2), b=_SIDE.format(5), d=_DIFF))
+def sorted_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = diff.diff(catalog.items(spark, sf_dir), 2, 5)
+    by_size = _shown(diff.sort_rows(d, "old_size", True), "path").withColumn("change", F.lit("by size"))
+    return _shown(diff.sort_rows(d, "change"), "path", "change").unionByName(by_size)
+
+
+@query(with_tables("snapshots", "SELECT source_label AS repo, name, time FROM snapshots ORDER BY time DESC, ordinal DESC LIMIT 10"))
+def recent_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest of all repositories."""
+    s = catalog.snapshots(spark, sf_dir).withColumnRenamed("source_label", "repo")
+    return find.recent(s, 10).select("repo", "name", "time")
+
+
+@query(with_tables("items", _top("inode, path", "'inode' AS walk, path", "w") + " UNION ALL " + _top("path", "'path', path", "w"), w="SELECT *, item_index * 7919 % 1009 AS inode FROM items WHERE snapshot_id = 3"))
+def walk_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A walk by inode, which spares a disk's heads, and by path."""
+    i = catalog.items(spark, sf_dir).where("snapshot_id = 3").withColumn("inode", F.col("item_index") * 7919 % 1009)
+    return _shown(backup.walk_order(i, True), "path").withColumn("walk", F.lit("inode")).unionByName(_shown(backup.walk_order(i, False), "path").withColumn("walk", F.lit("path")))
+
+
+@query(_top("id_hex", "id_hex, reason", "(SELECT sha256(CAST(o_orderkey AS VARCHAR)) AS id_hex, CASE WHEN o_orderkey % 2 = 0 THEN 'newer' ELSE 'unreadable' END AS reason FROM orders WHERE o_orderstatus = 'P')"))
+def skipped_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots that a listing skips, by id."""
+    o = catalog.table(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
+    s = o.select(F.sha2(F.col("o_orderkey").cast("string"), 256).alias("id_hex"), F.when(F.col("o_orderkey") % 2 == 0, "newer").otherwise("unreadable").alias("reason"))
+    return _shown(find.by_id(s), "id_hex", "reason")
+
+
+@query("SELECT count(*) FILTER (WHERE s = 'unsupported') || ' of a newer format, ' || count(*) FILTER (WHERE s = 'unreadable') || ' unreadable' AS hidden FROM (SELECT CASE WHEN o_orderkey % 97 = 0 THEN 'unsupported' WHEN o_orderkey % 89 = 0 THEN 'unreadable' ELSE 'ok' END AS s FROM orders)")
+def hidden_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a listing says of the snapshots it leaves out."""
+    k = F.col("o_orderkey")
+    return backup.hidden_summary(catalog.table(spark, sf_dir, "orders").select(F.when(k % 97 == 0, "unsupported").when(k % 89 == 0, "unreadable").otherwise("ok").alias("state")))
+
+
+@query(with_tables("snapshots", "SELECT name, CASE WHEN format_version <= 1 THEN 'ok' ELSE 'unsupported' END AS state FROM snapshots"))
+def snapshot_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot of a newer format is marked, never left out silently."""
+    return find.states(catalog.snapshots(spark, sf_dir)).select("name", "state")
+
+
+@query(with_tables("items", _top("len(string_split(path, '/')) DESC, path", "path", "(SELECT path FROM items WHERE entry_type = 'dir' AND snapshot_id = 4)")))
+def deepest_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(restore.deepest_first(catalog.items(spark, sf_dir).where("snapshot_id = 4").drop("content")), "path")
+
+
+@query("SELECT l_suppkey % 50 AS session, l_orderkey * 10 + l_linenumber AS seq, row_number() OVER (PARTITION BY l_suppkey % 50 ORDER BY l_orderkey * 10 + l_linenumber) - 1 AS item_index FROM lineitem")
+def walk_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries numbered in the order of the walk, whatever order they were finished in."""
+    li = catalog.table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 50).alias("session"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    return backup.reordered(li).withColumn("item_index", F.col("item_index").cast("long"))
+
+
+@query("SELECT min(k) AS key, arg_min(user_id, k) AS user_id FROM (SELECT 'locks/' || sha256(CAST(event_id AS VARCHAR)) AS k, user_id FROM events)")
+def oldest_lock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = catalog.table(spark, sf_dir, "events")
+    return sessions.oldest_lock(e.select(F.concat(F.lit("locks/"), F.sha2(F.col("event_id").cast("string"), 256)).alias("key"), "user_id"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 10 <> 3 THEN 'h' || user_id % 3 END AS hostname, CASE WHEN event_id % 10 <> 3 THEN event_id % 7 END AS pid, event_id % 10 = 3 AS malformed FROM events")
+def session_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markers of sessions as JSON; a malformed one is marked."""
+    e, k = catalog.table(spark, sf_dir, "events"), F.col("event_id")
+    host = F.concat(F.lit("h"), (F.col("user_id") % 3).cast("string"))
+    value = F.when(k % 10 == 3, "{oops").otherwise(F.to_json(F.struct(host.alias("hostname"), (k % 7).alias("pid"))))
+    return sessions.parse_markers(e.select("event_id", value.alias("value"))).select("event_id", "hostname", "pid", "malformed")
+
+
+@query(with_tables("items", "SELECT path, parent, is_dir, files FROM n WHERE path = 'src1/en' OR path = 'src1'", paths=_PATHS, up=_UP, n=_NODES))
+def node_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = tree.nodes(_paths(spark, sf_dir))
+    return tree.lookup(nodes, "src1/en").unionByName(tree.lookup(nodes, "src1")).select("path", "parent", "is_dir", "files")
+
+
+@query("SELECT o_custkey AS stream, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS item_index, o_orderkey FROM orders")
+def item_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of a stream by their place in it."""
+    o = catalog.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("stream")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("items"))
+    return backup.ordinals(o).select("stream", "item_index", F.col("item").alias("o_orderkey"))
+
+
+# Reports
+
+_BRIEF = "SELECT o_custkey % 200 AS plan, CASE WHEN bool_and(paused) THEN 'Off' WHEN count(DISTINCT every) = 1 THEN min(every) ELSE 'per-repo' END AS brief, min(CASE WHEN o_orderkey % 4 <> 1 THEN o_orderdate END) AS next_wake FROM (SELECT *, o_custkey % 10 = 9 AS paused, CASE WHEN o_custkey % 3 = 0 THEN '24h' ELSE o_orderkey % 5 || 'h' END AS every FROM orders) GROUP BY o_custkey % 200"
+
+
+@query(_BRIEF)
+def schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cadence of a plan's repositories, and when the next of them is due."""
+    o, c, k = catalog.table(spark, sf_dir, "orders"), F.col("o_custkey"), F.col("o_orderkey")
+    r = o.select((c % 200).alias("plan"), (c % 10 == 9).alias("paused"), F.when(c % 3 == 0, "24h").otherwise(F.concat((k % 5).cast("string"), F.lit("h"))).alias("schedule"), F.when(k % 4 != 1, F.col("o_orderdate")).alias("next_run"))
+    return benchstats.schedule_brief(r, "plan").join(benchstats.next_wake(r, "plan"), "plan")
+
+
+@query(with_tables("snapshots", """SELECT source_label, '{"repo":"' || source_label || '","snapshots":' || count(*) || ',"newest":"' || strftime(max(time), '%Y-%m-%d %H:%M:%S') || '","bytes":' || CAST(sum(original_size) AS BIGINT) || '}' AS status FROM snapshots GROUP BY source_label"""))
+def status_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a status page says of each repository, as JSON."""
+    return benchstats.status_json(catalog.snapshots(spark, sf_dir), "source_label")
+
+
+@query(
+    with_tables(
+        "items",
+        "SELECT path, '<li><a href=\"' || regexp_extract(path, '[^/]*$') || CASE WHEN is_dir THEN '/' ELSE '' END || '\">' || regexp_extract(path, '[^/]*$') || CASE WHEN is_dir THEN '/' ELSE '' END || '</a> ' || files || '</li>' AS line FROM n",
+        paths=_PATHS,
+        up=_UP,
+        n=_NODES,
+    )
+)
+def directory_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line of HTML for each entry of a directory's page."""
+    return tree.html_lines(tree.nodes(_paths(spark, sf_dir))).select("path", "line")
+
+
+_RECORD = f"SELECT tool || '.' || phase AS op, count(*) AS runs, count(*) FILTER (WHERE exit_status <> 0) AS failed, avg(duration_s) AS d, avg(bytes) AS b FROM ({_RUNS}) GROUP BY tool, phase"
+
+
+@query(f"WITH r AS ({_RECORD}) SELECT op, op || chr(9) || runs || chr(9) || failed || chr(9) || format('{{:.2f}}', round(d, 2)) || chr(9) || format('{{:.0f}}', round(b, 0)) AS tsv, '| ' || op || ' | ' || runs || ' | ' || failed || ' | ' || format('{{:.2f}}', round(d, 2)) || ' | ' || format('{{:.0f}}', round(b, 0)) || ' |' AS markdown, '{{\"op\":\"' || op || '\",\"runs\":' || runs || ',\"failed_runs\":' || failed || '}}' AS json FROM r")
+def bench_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as lines of TSV, markdown and JSON."""
+    return benchstats.report_lines(benchstats.records(_runs(spark, sf_dir)))
+
+
+@query("SELECT o_orderkey AS run, CAST(o_orderkey % 50 AS DOUBLE) AS elapsed, o_orderkey % 7 || '%' AS cpu, CAST(NULL AS VARCHAR) AS other FROM orders")
+def time_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of 'name: value' lines, a column a name."""
+    o, k = catalog.table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    lines = F.array(F.concat(F.lit("\tElapsed (wall clock) time (h:mm:ss or m:ss): 0:"), F.lpad((k % 50).cast("string"), 2, "0")), F.concat(F.lit("  Percent of CPU this job got: "), (k % 7).cast("string"), F.lit("%")), F.lit("no value here"))
+    r = benchstats.key_values(o.select(k.alias("run"), F.explode(lines).alias("value")))
+    wide = benchstats.wide(r, ["Elapsed (wall clock) time (h:mm:ss or m:ss)", "Percent of CPU this job got", "Other"])
+    return wide.toDF("run", "elapsed", "cpu", "other").withColumn("elapsed", S.elapsed_seconds("elapsed"))
+
+
+# Sinks and storage
+
+
+@query("SELECT 'dumps' AS path, 'dir' AS entry_type, CAST(0 AS BIGINT) AS size, 493 AS mode UNION ALL SELECT 'dumps/' || c_name, 'file', c_custkey * 3, 420 FROM customer")
+def dump_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The output of commands as items: a directory, and a file each."""
+    c = catalog.table(spark, sf_dir, "customer")
+    return sinks.dump_items(c.select(F.col("c_name").alias("name"), (F.col("c_custkey") * 3).alias("size")))
+
+
+_STREAMED = "SELECT snapshot_id, item_index, 60 + length(path) AS n, row_number() OVER (PARTITION BY snapshot_id ORDER BY item_index) AS r FROM items"
+
+
+@query(
+    with_tables(
+        "items",
+        "SELECT snapshot_id, item_index, chunk FROM fold",
+        rows=_STREAMED,
+        fold="SELECT snapshot_id, item_index, r, CAST(0 AS BIGINT) AS chunk, CAST(n AS BIGINT) AS held FROM rows WHERE r = 1 UNION ALL SELECT x.snapshot_id, x.item_index, x.r, f.chunk + CASE WHEN f.held >= 4096 THEN 1 ELSE 0 END, CASE WHEN f.held >= 4096 THEN 0 ELSE f.held END + x.n FROM fold f JOIN rows x ON x.snapshot_id = f.snapshot_id AND x.r = f.r + 1",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+)
+def item_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which chunk of its snapshot's item stream each item is written to: one closes once it has the average size."""
+    i = catalog.items(spark, sf_dir).select(F.col("snapshot_id").alias("stream"), F.col("item_index").alias("seq"), (60 + F.length("path")).cast("long").alias("size"))
+    return folds.stream_chunks(i, 4096).select(F.col("stream").alias("snapshot_id"), F.col("seq").alias("item_index"), "chunk")
+
+
+@query(with_tables("items", "SELECT snapshot_id, item_index, path, entry_type, size FROM items"))
+def decoded_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items written as streams of records, a stream for 64 of them, and decoded again."""
+    i = catalog.items(spark, sf_dir).select("snapshot_id", "item_index", "path", "entry_type", "size")
+    streams = sinks.encode_items(i.withColumn("stream", F.floor(F.col("item_index") / 64)), ["snapshot_id", "stream"])
+    return sinks.decode_items(streams).select("snapshot_id", "item_index", "path", "entry_type", "size")
+
+
+@query("SELECT * FROM (VALUES ('benchmark.parquet'), ('conversations.parquet'), ('customer.parquet'), ('documents.parquet'), ('embeddings.parquet'), ('events.parquet'), ('labels.parquet'), ('lineitem.parquet'), ('nation.parquet'), ('orders.parquet'), ('pages.parquet'), ('part.parquet'), ('region.parquet'), ('supplier.parquet')) AS t(key)")
+def storage_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of the input folder as a store lists them, with a size and a time."""
+    return formats.list_keys(spark, sf_dir, "*.parquet").where("size > 0 AND modified IS NOT NULL").select("key")
+
+
+@query("SELECT p_partkey, p_name AS content, CAST(length(p_name) AS BIGINT) AS size, CASE WHEN length(p_name) >= 4 THEN p_name[3:4] END AS part FROM part")
+def stored_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small objects written as files, listed and read back, whole and by a range."""
+    path = work_dir(spark, "objects")
+    p = catalog.table(spark, sf_dir, "part").select(F.concat(F.lit("objects/"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("key"), F.col("p_name").cast("binary").alias("content"))
+    sinks.write_objects(p, path)
+    r = sinks.read_objects(spark, path)
+    part = formats.read_range(F.col("content"), 2, 2)
+    return r.select(F.regexp_extract("key", r"(\d+)$", 1).cast("long").alias("p_partkey"), F.col("content").cast("string").alias("content"), F.length("content").cast("long").alias("size"), part.cast("string").alias("part"))
+
+
+@query("SELECT doc_id, sha256(text) AS digest, false AS short, CAST(strlen(text) AS BIGINT) AS size FROM documents WHERE length(text) > 0")
+def blob_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blobs read from packs by their ranges."""
+    d = catalog.table(spark, sf_dir, "documents").where("length(text) > 0").select("doc_id", F.floor(F.col("doc_id") / 64).cast("string").alias("pack"), F.col("text").cast("binary").alias("blob"))
+    packs = formats.seal_packs(d.select("pack", F.col("doc_id").alias("seq"), "blob"))
+    rows = d.select("doc_id", "pack", F.length("blob").cast("long").alias("stored_size"))
+    by = Window.partitionBy("pack").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    index = rows.withColumn("pack_offset", 13 + F.coalesce(F.sum(F.col("stored_size") + 4).over(by), F.lit(0))).select(F.col("doc_id").alias("chunk_id"), F.col("pack").alias("pack_id"), "pack_offset", "stored_size")
+    return formats.read_blobs(index, packs.select(F.col("pack").alias("pack_id"), "content")).select(F.col("chunk_id").alias("doc_id"), F.sha2("blob", 256).alias("digest"), "short", F.length("blob").cast("long").alias("size"))
+
+
+@query(with_tables("chunk_index", "SELECT CAST(2 AS BIGINT) AS generation, chunk_id, refcount FROM chunk_index WHERE refcount > 1"))
+def committed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three generations of an index, of which the last one's snapshot never came: readers see the second."""
+    path, i = work_dir(spark, "commits"), catalog.chunk_index(spark, sf_dir)
+    snap = catalog.snapshots(spark, sf_dir).limit(1).select("name")
+    sinks.commit(i, snap, path, 1)
+    sinks.commit(i.where("refcount > 1"), snap, path, 2)
+    sinks.write_index(i.limit(0), path, 3)
+    return sinks.read_committed(spark, path).select("generation", "chunk_id", "refcount")
+
+
+@query(with_tables("items", "SELECT path, size FROM items WHERE snapshot_id = 5 AND starts_with(path, 'src1/')"))
+def file_cache_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file cache saved by sections, of which one is loaded."""
+    path = work_dir(spark, "file-cache")
+    i = catalog.items(spark, sf_dir).where("snapshot_id = 5").select("path", "size", "mtime_ns")
+    sinks.save_file_cache(i.withColumn("root", F.substring_index("path", "/", 1)), path)
+    return sinks.load_file_cache(spark, path, "src1").select("path", "size")
+
+
+@query(
+    """SELECT user_id, n AS journal, event_id AS last_event FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) // 8 AS n FROM events) WHERE k % 8 = 0"""
+)
+def journal_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session writes its journal after every eighth pack."""
+    e = catalog.table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.struct("ts", "event_id").alias("seq"))
+    return sessions.journal_points(e).select(F.col("session").alias("user_id"), F.col("journal").cast("long").alias("journal"), F.col("seq.event_id").alias("last_event"))

@@ -7,6 +7,7 @@ Column expressions.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 from functools import cache
@@ -21,6 +22,8 @@ MAGIC, VERSION = b"STRATPAK", 1
 HEADER = MAGIC + bytes([VERSION])
 #: Kinds of sealed objects by their first byte.
 OBJECT_TYPES = ("config", "manifest", "snapshot_meta", "chunk_data", "chunk_index", "file_cache", "pending_index", "key", "lock")
+#: Bytes that a compressed blob has beside its tag and data: the length, and a frame's own.
+FRAME = 24
 #: What decompression may give at most, by kind of data.
 CAPS = {"data": 32 << 20, "metadata": 4 << 30}
 
@@ -154,6 +157,19 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     return (r.option("pathGlobFilter", glob) if glob else r).load(path)
 
 
+def list_keys(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """(key, size, modified) of the files below a path, by their names relative to it; contents aren't read."""
+    files = read_files(spark, path, glob).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    key = F.element_at(F.split("path", F.concat(F.lit("/"), F.lit(re.escape(path.rstrip("/").rpartition("/")[2])), F.lit("/"))), -1)
+    return files.select(key.alias("key"), "size", "modified")
+
+
+def read_range(content: Column, start: int, length: int) -> Column:
+    """A range of an object, null where it ends before that."""
+    part = F.substring(content, start + 1, length)
+    return F.when(F.length(part) == length, part)
+
+
 def read_blobs(index: DataFrame, packs: DataFrame) -> DataFrame:
     """Each indexed chunk's bytes by range, with an error where the pack is too short."""
     blob = F.substring(F.col("content"), F.col("pack_offset").cast("int") + 1, F.col("stored_size").cast("int"))

@@ -50,6 +50,38 @@ def session_state(beats: DataFrame, seconds: int = SESSION_STALE) -> DataFrame:
     return beats.select("user_id", "ts").withWatermark("ts", "0 seconds").groupBy("user_id").applyInPandasWithState(step, "user_id bigint, beats bigint, last_refresh timestamp, event string", "n bigint, last bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+#: Seconds after its first blob at which an open pack is flushed.
+PACK_AGE = 300
+
+
+def pack_ages(blobs: DataFrame, seconds: int = PACK_AGE, key: str = "user_id", time: str = "ts") -> DataFrame:
+    """(user_id, began, blobs): packs closed by age, whether a later blob comes or only the time passes; began in microseconds."""
+    limit = seconds * 1_000_000
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        began, n = state.getOption or (0, 0)
+        done = []
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"user_id": [k[0]], "began": [began], "blobs": [n]})
+            return
+        times = sorted(t for f in frames for t in (f.ts.astype("datetime64[us]").astype("int64")).tolist())
+        for t in times:
+            if n and t - began > limit:
+                done.append((k[0], began, n))
+                n = 0
+            if not n:
+                began = t
+            n += 1
+        state.update((began, n))
+        state.setTimeoutTimestamp(max((began + limit) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        if done:
+            yield pd.DataFrame(done, columns=["user_id", "began", "blobs"])
+
+    rows = blobs.select(F.col(key).alias("user_id"), F.col(time).alias("ts")).withWatermark("ts", "0 seconds")
+    return rows.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, began bigint, blobs bigint", "began bigint, n bigint", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def journal(stream: DataFrame, path: str, checkpoint: str, apply: Callable[[DataFrame, int], None] | None = None):
     """Write each micro-batch under its number, so that one that is replayed after a crash replaces itself."""
 
