@@ -43,7 +43,7 @@ def delete_impact(refs: DataFrame, index: DataFrame, doomed: DataFrame) -> DataF
     References are summed a snapshot and chunk before the window, so its groups
     have a row a deleted snapshot at most.
     """
-    own = refs.join(F.broadcast(doomed), "snapshot_id").groupBy("chunk_id", "snapshot_id", "place").agg(F.count("*").alias("n"))
+    own = refs.join(doomed, "snapshot_id").groupBy("chunk_id", "snapshot_id", "place").agg(F.count("*").alias("n"))
     by = Window.partitionBy("chunk_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     gone = own.withColumn("total", F.sum("n").over(by)).join(index.select("chunk_id", "refcount", "stored_size"), "chunk_id")
     freed = (F.col("total") >= F.col("refcount")) & (F.col("total") - F.col("n") < F.col("refcount"))
@@ -72,7 +72,11 @@ def delete_names(names: DataFrame) -> DataFrame:
     return names.groupBy("name").agg(F.min("ordinal").alias("ordinal"))
 
 
-def quota(requests: DataFrame, committed: Column, limit: Column) -> DataFrame:
-    """Which requests, in order a repository, stay within its quota with all before them."""
-    by = Window.partitionBy("repo").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    return requests.withColumn("accepted", committed + F.sum("bytes").over(by) <= limit)
+def quota(requests: DataFrame, committed: Column, limit: Column, part: Column) -> DataFrame:
+    """Which requests, in order a repository, stay within its quota with all before them. ``part`` cuts the order into ranges (it never falls along it): sums of ranges come first, so that no task has a repository's whole history."""
+    r = requests.withColumn("_p", part)
+    sums = r.groupBy("repo", "_p").agg(F.sum("bytes").alias("_s"))
+    before = F.coalesce(F.sum("_s").over(Window.partitionBy("repo").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by = Window.partitionBy("repo", "_p").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
+    own = r.withColumn("_o", F.sum("bytes").over(by)).join(sums.select("repo", "_p", before.alias("_b")), ["repo", "_p"])
+    return own.withColumn("accepted", committed + F.col("_b") + F.col("_o") <= limit).drop("_p", "_o", "_b")

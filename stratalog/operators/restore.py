@@ -34,11 +34,11 @@ def fingerprints(refs: DataFrame) -> DataFrame:
 
 
 def hard_links(files: DataFrame) -> DataFrame:
-    """Members of (dev, ino) groups: the first is written, the others are links where size and fingerprint equal its own, else copies."""
-    by = Window.partitionBy("dev", "ino").orderBy("ordinal")
-    first = lambda c: F.first(c).over(by)
-    kind = F.when(F.row_number().over(by) == 1, "primary").when((first("size") == F.col("size")) & (first("fingerprint") == F.col("fingerprint")), "link").otherwise("copy")
-    return files.withColumn("kind", kind)
+    """Members of (dev, ino) groups: the first is written, the others are links where size and fingerprint equal its own, else copies. The first of each group is an aggregate, and the join with it can be split."""
+    first = files.groupBy("dev", "ino").agg(F.min(F.struct("ordinal", "size", "fingerprint")).alias("_f"))
+    same = (F.col("_f.size") == F.col("size")) & (F.col("_f.fingerprint") == F.col("fingerprint"))
+    kind = F.when(F.col("_f.ordinal") == F.col("ordinal"), "primary").when(same, "link").otherwise("copy")
+    return files.join(first, ["dev", "ino"]).withColumn("kind", kind).drop("_f")
 
 
 def link_counts(linked: DataFrame) -> DataFrame:

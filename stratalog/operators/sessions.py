@@ -130,10 +130,14 @@ def section_of(paths: DataFrame, roots: DataFrame) -> DataFrame:
     return hit.groupBy("path").agg(F.max_by("root", F.length("root")).alias("root"))
 
 
-def parent_snapshot(snapshots: DataFrame) -> DataFrame:
-    """Per source label and host: the newest snapshot before each one, which a backup may reuse."""
-    by = Window.partitionBy("source_label", "hostname").orderBy("time", "ordinal")
-    return snapshots.select("name", F.lag("name").over(by).alias("parent"))
+def parent_snapshot(snapshots: DataFrame, unit: str = "MONTH") -> DataFrame:
+    """Per source label and host: the newest snapshot before each one, which a backup may reuse. Rows are sorted in parts of a time unit; the first of a part takes the last of the part before, so that a label's history isn't one task's."""
+    key = ["source_label", "hostname"]
+    s = snapshots.select(*key, "name", "time", "ordinal").withColumn("part", F.date_trunc(unit, "time"))
+    ends = s.groupBy(*key, "part").agg(F.max_by("name", F.struct("time", "ordinal")).alias("end"))
+    ends = ends.select(*key, "part", F.lag("end").over(Window.partitionBy(*key).orderBy("part")).alias("before"))
+    own = F.lag("name").over(Window.partitionBy(*key, "part").orderBy("time", "ordinal"))
+    return s.withColumn("own", own).join(ends, [*key, "part"]).select("name", F.coalesce("own", "before").alias("parent"))
 
 
 def parent_by_paths(snapshots: DataFrame) -> DataFrame:
