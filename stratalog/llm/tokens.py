@@ -234,6 +234,8 @@ class RankBpe:
         if "<|" in text or FAR.search(text):
             return self.exact.encode(text)
         try:
+            if len(text) < 100_000:  # a list is faster, but takes more memory
+                return array("I", self.ranks.encode_ordinary(text)).tobytes()
             return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
         except ValueError:  # a run of blanks too long for the pattern's stack
             return self.exact.encode(text)
