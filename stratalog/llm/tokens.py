@@ -48,6 +48,7 @@ LOOSE = ("  ", " \n", "\n ", "\n\n")
 OTHER_SPACES = [c for c in _spaces() if c not in " \n"]
 #: The splitting pattern of the vocabulary with word ends, for lower-cased Latin-1 words.
 WORD_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
+MARKS = frozenset(".,;:!?)")
 LATIN = re.compile(r"[\x00-\xff]*")
 
 
@@ -176,8 +177,11 @@ class WordBpe:
         return array("I", [t.id for t in self.model.tokenize(own)]).tobytes()
 
     def _word(self, w: str) -> bytes:
-        if w.isascii() and w.isalpha():  # one piece
-            return self._piece(w.lower())
+        if w.isascii():
+            if w.isalpha():  # one piece
+                return self.pieces[w.lower()]
+            if w[-1:] in MARKS and w[:-1].isalpha():  # and a mark
+                return self.pieces[w[:-1].lower()] + self.pieces[w[-1]]
         if "<|" in w or not LATIN.fullmatch(w):  # special tokens, composition, case beyond Latin-1
             return array("I", self.whole.encode(w, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.pieces.__getitem__, WORD_SPLIT.findall(w.lower())))
