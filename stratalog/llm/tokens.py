@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 
 from .arrow import map_texts, two
 
-#: Entries of a worker's cache; it is emptied when full.
-CACHE_ENTRIES = 300_000
+#: Entries of a worker's cache.
+CACHE_ENTRIES = 500_000
 #: Longer chunks are encoded but not kept.
 CACHE_CHARS = 64
 #: Below this code point the classes L and N of all Unicode versions in use agree.
@@ -65,16 +65,19 @@ def byte_chars() -> dict[int, str]:
 
 
 class Memo(dict):
-    """A bounded memo of a function of strings."""
+    """A bounded memo of a function of strings: of the last so many different ones, about, in two generations."""
 
-    def __init__(self, f):
+    def __init__(self, f, entries: int = CACHE_ENTRIES):
         super().__init__()
-        self.f = f
+        self.f, self.entries, self.old = f, entries, {}
 
     def __missing__(self, key):
-        value = self.f(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.f(key)
         if len(key) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
+            if 2 * len(self) >= self.entries:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -106,8 +109,8 @@ class ForcedBoundaryBpe:
         self.inside = inside
         self.allowed = inside.tobytes()
         self.special_re = re.compile("|".join(map(re.escape, self.special))) if self.special else None
-        self.fragments = Memo(self._fragment)
-        self.pieces = Memo(self._piece)
+        self.fragments = Memo(self._fragment, CACHE_ENTRIES // 5)
+        self.pieces = Memo(self._piece, CACHE_ENTRIES // 2)
         self.chunks = Memo(self._chunk)
 
     def _chunk(self, w: str) -> bytes:
@@ -170,18 +173,17 @@ class WordBpe:
         self.whole.no_truncation()
         self.whole.no_padding()
         self.model, self.chars = self.whole.model, byte_chars()
-        self.words, self.pieces = Memo(self._word), Memo(self._piece)
+        self.words, self.pieces = Memo(self._word), Memo(self._piece, CACHE_ENTRIES // 5)
 
     def _piece(self, piece: str) -> bytes:
         own = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.chars)
         return array("I", [t.id for t in self.model.tokenize(own)]).tobytes()
 
     def _word(self, w: str) -> bytes:
-        if w.isascii():
-            if w.isalpha():  # one piece
-                return self.pieces[w.lower()]
-            if w[-1:] in MARKS and w[:-1].isalpha():  # and a mark
-                return self.pieces[w[:-1].lower()] + self.pieces[w[-1]]
+        if w[-1:] in MARKS and w[:-1].isalpha():
+            return self.words[w[:-1]] + self.pieces[w[-1]]
+        if w.isalpha() and (w.isascii() or LATIN.fullmatch(w)):  # one piece
+            return self._piece(w.lower())
         if "<|" in w or not LATIN.fullmatch(w):  # special tokens, composition, case beyond Latin-1
             return array("I", self.whole.encode(w, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.pieces.__getitem__, WORD_SPLIT.findall(w.lower())))
