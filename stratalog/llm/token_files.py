@@ -129,18 +129,20 @@ def id_counts(encoded: DataFrame, vocabulary: int, documents: bool = False) -> n
     """How often each id occurs in all rows of packed_ids, or in how many documents. At most one row a task and id is shuffled, and one an id collected."""
 
     def run(batches):
-        z, c = zstandard.ZstdDecompressor(), np.zeros(vocabulary, np.int64)
+        z, c, held, size = zstandard.ZstdDecompressor(), np.zeros(vocabulary, np.int64), [], 0
+
+        def tally():
+            return np.bincount(np.concatenate(held), minlength=vocabulary) if held else 0
+
         for batch in batches:
             for blob in batch.column(0):
                 x = unpacked(blob.as_py(), z)
-                if not documents:
-                    c += np.bincount(x, minlength=vocabulary)
-                elif len(x) < 1000:
-                    c[np.unique(x)] += 1
-                else:
-                    present = np.zeros(vocabulary, bool)
-                    present[x] = True
-                    c += present
+                held.append(np.unique(x) if documents else x)
+                size += len(held[-1])
+                if size > 1 << 20:
+                    c += tally()
+                    held, size = [], 0
+        c += tally()
         at = np.flatnonzero(c)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], ["id", "c"])
 
