@@ -204,5 +204,6 @@ def fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
 
 
 def identify(df: DataFrame, model: np.ndarray, languages: list[str], **columns) -> DataFrame:
-    """(id, language, probability, kept) of each row; see evidence() for the columns."""
-    return fuse(stored(evidence(df, model, languages, **columns), "language-evidence"), languages)
+    """(id, language, probability, kept) of each row; see evidence() for the columns. With ``carry``, the evidence is taken twice, for a table of it would copy the texts."""
+    rows = evidence(df, model, languages, **columns)
+    return fuse(rows if columns.get("carry") else stored(rows, "language-evidence"), languages)
