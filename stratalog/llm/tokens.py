@@ -83,29 +83,36 @@ class Memo(dict):
         return value
 
 
+def byte_vocabulary(path: str) -> tuple[list[bytes], dict[str, int]]:
+    """The bytes of each id of a byte-level vocabulary, and the ids of its special tokens."""
+    spec = json.loads(open(path, "rb").read())
+    back = {c: b for b, c in byte_chars().items()}
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    vocab = spec["model"]["vocab"]
+    out = [b""] * (1 + max([*vocab.values(), *special.values()]))
+    for token, i in vocab.items():
+        if i not in special.values():
+            out[i] = bytes(back[c] for c in token)
+    for token, i in special.items():
+        out[i] = token.encode()
+    return out, special
+
+
 class ForcedBoundaryBpe:
     """A byte-level BPE vocabulary (a tokenizers file). Ids come as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        spec = json.loads(open(path, "rb").read())
         self.whole = Tokenizer.from_file(path)
         self.model, self.pre = self.whole.model, self.whole.pre_tokenizer
-        chars = byte_chars()
-        back = {c: b for b, c in chars.items()}
-        self.chars = {b: c for b, c in chars.items()}
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        vocab = spec["model"]["vocab"]
-        self.bytes_of = [b""] * (1 + max([*vocab.values(), *self.special.values()]))
+        self.chars = byte_chars()
+        self.bytes_of, self.special = byte_vocabulary(path)
         inside = np.zeros(65536, bool)
-        for token, i in vocab.items():
-            b = bytes(back[c] for c in token)
-            self.bytes_of[i] = b
-            for x, y in zip(b, b[1:]):
-                inside[x << 8 | y] = True
-        for token, i in self.special.items():
-            self.bytes_of[i] = token.encode()
+        for i, b in enumerate(self.bytes_of):
+            if i not in self.special.values():
+                for x, y in zip(b, b[1:]):
+                    inside[x << 8 | y] = True
         self.inside = inside
         self.allowed = inside.tobytes()
         self.special_re = re.compile("|".join(map(re.escape, self.special))) if self.special else None
@@ -229,10 +236,15 @@ class RankBpe:
     def __init__(self, path: str):
         import tiktoken
 
-        self.exact = ForcedBoundaryBpe(path)
-        special = set(self.exact.special.values())
+        self.path = path
+        bytes_of, special = byte_vocabulary(path)
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        self.ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks={b: i for i, b in enumerate(self.exact.bytes_of) if i not in special}, special_tokens={})
+        self.ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks={b: i for i, b in enumerate(bytes_of) if i not in special.values()}, special_tokens={})
+
+    @property
+    def exact(self) -> ForcedBoundaryBpe:
+        """Loaded only where a text needs it."""
+        return forced_boundary(self.path)
 
     def encode(self, text: str | None) -> bytes:
         if not text:

@@ -10,7 +10,7 @@ import xxhash
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Distinct words a worker remembers; the table is emptied when full.
-WORDS = 500_000
+WORDS = 150_000
 _M, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
 
 
