@@ -97,6 +97,11 @@ def profiles(df: DataFrame, n: int, id_col: str, text_col: str) -> tuple[DataFra
 
     def run(batches):
         words, counts, held, size = shared_words(), np.zeros(BUCKETS, np.uint32), [], 0
+
+        def add(sets):
+            at, n = np.unique(np.concatenate(sets) >> _SHIFT, return_counts=True)
+            counts[at.astype(np.int64)] += n.astype(np.uint32)
+
         for batch in batches:
             for part in slices(batch, 1):
                 rows, sets = [], []
@@ -106,14 +111,14 @@ def profiles(df: DataFrame, n: int, id_col: str, text_col: str) -> tuple[DataFra
                     rows.append((len(s), *(digest(s) if len(s) else (None, None))))
                 held += sets
                 size += sum(map(len, sets))
-                if size > 4_000_000:
-                    counts += np.bincount((np.concatenate(held) >> _SHIFT).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
+                if size > 1_000_000:
+                    add(held)
                     held, size = [], 0
                 k = len(rows)
                 sig = pa.array([np.minimum(binned(s, POSTING_BINS), 255).astype(np.uint8).tobytes() for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), pa.nulls(k, pa.int32()), sig], names)
         if size:
-            counts += np.bincount((np.concatenate(held) >> _SHIFT).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
+            add(held)
         z, own = zstandard.ZstdCompressor(level=1), counts.reshape(SLICES, -1)
         none = pa.nulls(SLICES, pa.int64())
         yield pa.RecordBatch.from_arrays([*[none] * 5, pa.array(range(SLICES), pa.int32()), pa.array([z.compress(x.tobytes()) for x in own], pa.binary())], names)
