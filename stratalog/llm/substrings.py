@@ -75,8 +75,20 @@ def _least(rows: DataFrame, key: str) -> DataFrame:
     if hot is None:
         return out
     own = rows.join(hot, key, "left_semi")
-    least = own.groupBy(key).agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select(key, "low")
-    return out.unionByName(own.join(F.broadcast(least), key).select(*rows.columns, "low"))  # HOT_KEYS rows at most
+    least = own.groupBy(key).agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select(key, "low").orderBy(key).toArrow()  # HOT_KEYS rows at most
+    keys, lows = (least.column(i).to_numpy() for i in range(2))
+    names = rows.columns
+    at = names.index(key)
+
+    def look_up(batches):
+        for batch in batches:
+            k = batch.column(at).to_numpy()
+            i = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
+            known = keys[i] == k if len(keys) else np.zeros(len(k), bool)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lows[i] if len(keys) else k)], [*names, "low"]).filter(pa.array(known))
+
+    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", low bigint"
+    return out.unionByName(own.select(*names).mapInArrow(look_up, schema))
 
 
 def repeats(df: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
