@@ -37,7 +37,7 @@ LEAST = -(1 << 63)
 #: Words of a seed.
 SEED = 4
 #: Keys handled as hot at most, the part of all documents in the sample, and the rows of it that make one hot.
-HOT_KEYS, SHARE, HOT_ROWS = 50_000, 64, 60
+HOT_KEYS, SHARE, HOT_ROWS = 5_000, 64, 60
 
 
 def seeds(w: np.ndarray, window: int, k: int = SEED) -> np.ndarray:
@@ -67,14 +67,14 @@ def covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
 def _least(rows: DataFrame, key: str) -> DataFrame:
     """Rows (d, t, key, ...) whose key occurs with two values of d, with the least of them as ``low``. Hot keys don't go through the window: their least values are aggregated before the shuffle and looked up."""
     sample = rows.where(F.pmod(F.xxhash64("d"), F.lit(SHARE)) == 0).groupBy(key).agg(F.count("*").alias("c")).where(F.col("c") >= HOT_ROWS)
-    found = sample.orderBy(F.desc("c")).limit(HOT_KEYS).select(key).toArrow()
+    hot = sample.orderBy(F.desc("c")).limit(HOT_KEYS).select(key).toArrow().column(0).to_pylist()
     by = Window.partitionBy(key)
-    hot = F.broadcast(rows.sparkSession.createDataFrame(found)) if found.num_rows else None
-    rest = rows if hot is None else rows.join(hot, key, "left_anti")
+    is_hot = F.expr(f"{key} IN ({', '.join(f'{k}L' if k > -(1 << 63) else 'CAST(-9223372036854775808 AS BIGINT)' for k in hot)})") if hot else F.lit(False)  # a set of literals, not a join
+    rest = rows.where(~is_hot)
     out = rest.withColumn("low", F.min("d").over(by)).withColumn("high", F.max("d").over(by)).where("low < high").drop("high").select(*rows.columns, "low")
-    if hot is None:
+    if not hot:
         return out
-    own = rows.join(hot, key, "left_semi")
+    own = rows.where(is_hot)
     least = own.groupBy(key).agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select(key, "low").orderBy(key).toArrow()  # HOT_KEYS rows at most
     keys, lows = (least.column(i).to_numpy() for i in range(2))
     names = rows.columns
