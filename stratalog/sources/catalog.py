@@ -84,7 +84,7 @@ def policies(spark: SparkSession) -> DataFrame:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row a document and snapshot k that has it; texts change in one snapshot and stay changed in no other."""
+    """A row a document and snapshot k that has it; texts change in one snapshot and stay changed in no other. Nanoseconds are decimals: 64 bits end at document 106,751."""
     d = table(spark, sf_dir, "documents")
     k = F.col("snapshot_id")
     changed = F.col("doc_id") % 11 == k
@@ -97,7 +97,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat_ws("/", "source", "lang", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))).alias("path"),
             F.when(F.col("doc_id") % 17 == 0, "symlink").when(F.col("doc_id") % 23 == 0, "dir").otherwise("file").alias("entry_type"),
             F.when(changed, F.concat("text", F.lit(" v"), k.cast("string"))).otherwise(F.col("text")).alias("content"),
-            (F.col("doc_id") * 86_400_000_000_000 + F.when(changed, k * 3_600_000_000_000).otherwise(F.lit(0))).cast("long").alias("mtime_ns"),
+            (F.col("doc_id").cast("decimal(20,0)") * 86_400_000_000_000 + F.when(changed, k * 3_600_000_000_000).otherwise(F.lit(0))).cast("decimal(38,0)").alias("mtime_ns"),
             (F.col("doc_id") % 4096).alias("mode"),
         )
         .withColumn("size", F.octet_length("content").cast("long"))
