@@ -182,8 +182,9 @@ def octal_mode(c) -> Column:
 
 
 def mtime_string(c) -> Column:
-    """Nanoseconds since the epoch as text, in the session's zone."""
-    return F.date_format(F.timestamp_seconds(F.floor(col(c) / 1_000_000_000)), "yyyy-MM-dd HH:mm:ss")
+    """Nanoseconds since the epoch as text, in the session's zone. Whole numbers only: a quotient would round the last nanoseconds of a second up."""
+    second = F.lit(1_000_000_000)
+    return F.date_format(F.timestamp_seconds(F.call_function("div", col(c) - F.pmod(col(c), second), second)), "yyyy-MM-dd HH:mm:ss")
 
 
 def html_escape(c) -> Column:

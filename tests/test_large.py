@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from stratalog.functions import scalars as S
 from stratalog.plans import extras, integrity, listings, values  # noqa: F401  register more
@@ -35,7 +36,13 @@ def by_sql(sql, **tables):
     return rows(names, (dict(zip(names, r)) for r in x.fetchall()))
 
 
-@pytest.mark.parametrize("name", ["drifted_files", "find_by_snapshot"])
+@pytest.mark.parametrize("name", ["drifted_files", "find_by_snapshot", "item_columns"])
 def test_times_beyond_64_bits(spark, far, name):
     df = QUERIES[name](spark, far)
     assert rows(df.columns, df.collect()) == by_sql(ORACLE_SQL[name].replace(NARROW, WIDE).replace("mtime_ns // 1000", "CAST(mtime_ns // 1000 AS BIGINT)"), documents=f"{far}/documents.parquet")
+
+
+def test_mtime_string_keeps_the_second(spark):
+    df = spark.createDataFrame([(1_700_000_000_999_999_999,)], "t long")
+    assert df.select(S.mtime_string("t")).first()[0] == "2023-11-14 22:13:20"
+    assert df.select(S.mtime_string(-F.col("t"))).first()[0] == "1916-02-18 01:46:39"
