@@ -36,7 +36,7 @@ def by_sql(sql, **tables):
     return rows(names, (dict(zip(names, r)) for r in x.fetchall()))
 
 
-@pytest.mark.parametrize("name", ["drifted_files", "find_by_snapshot", "item_columns", "file_cache_hits", "find_items", "reusable_parents", "file_cache_section", "find_totals"])
+@pytest.mark.parametrize("name", ["drifted_files", "find_by_snapshot", "item_columns", "file_cache_hits", "find_items", "reusable_parents", "file_cache_section", "find_totals", "sorted_contents"])
 def test_times_beyond_64_bits(spark, far, name):
     df = QUERIES[name](spark, far)
     assert rows(df.columns, df.collect()) == by_sql(ORACLE_SQL[name].replace(NARROW, WIDE).replace("mtime_ns // 1000", "CAST(mtime_ns // 1000 AS BIGINT)"), documents=f"{far}/documents.parquet")
