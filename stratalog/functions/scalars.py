@@ -136,9 +136,9 @@ def format_age(c) -> Column:
 
 
 def savings_percent(stored, original) -> Column:
-    """Tenths of a percent saved, null where the original is zero."""
+    """Tenths of a percent saved, null where the original is zero. Tenths are rounded as whole numbers: 63.95 is a little less as a double, its ten times isn't."""
     a, b = col(stored).cast("double"), col(original).cast("double")
-    return F.when(b != 0, F.round((1 - a / b) * 100, 1) + 0.0)
+    return F.when(b != 0, F.round((1 - a / b) * 100 * 10, 0) / 10 + 0.0)
 
 
 def display_width(c) -> Column:

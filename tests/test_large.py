@@ -46,3 +46,8 @@ def test_mtime_string_keeps_the_second(spark):
     df = spark.createDataFrame([(1_700_000_000_999_999_999,)], "t long")
     assert df.select(S.mtime_string("t")).first()[0] == "2023-11-14 22:13:20"
     assert df.select(S.mtime_string(-F.col("t"))).first()[0] == "1916-02-18 01:46:39"
+
+
+def test_savings_round_as_the_sql(spark):
+    df = spark.createDataFrame([(216300,), (1218900,), (600000,)], "n long")
+    assert [r[0] for r in df.select(S.savings_percent("n", F.lit(600000))).collect()] == [64.0, -103.2, 0.0]
