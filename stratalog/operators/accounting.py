@@ -73,10 +73,13 @@ def delete_names(names: DataFrame) -> DataFrame:
 
 
 def quota(requests: DataFrame, committed: Column, limit: Column, part: Column) -> DataFrame:
-    """Which requests, in order a repository, stay within its quota with all before them. ``part`` cuts the order into ranges (it never falls along it): sums of ranges come first, so that no task has a repository's whole history."""
+    """Which requests, in order a repository, stay within its quota with all before them. ``part`` cuts the order into ranges (it never falls along it, null is the last): sums of ranges come first, so that no task has a repository's whole history. Null repositories are one; null bytes add nothing, and before any others nothing is known."""
     r = requests.withColumn("_p", part)
     sums = r.groupBy("repo", "_p").agg(F.sum("bytes").alias("_s"))
-    before = F.coalesce(F.sum("_s").over(Window.partitionBy("repo").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.sum("_s").over(Window.partitionBy("repo").orderBy(F.asc_nulls_last("_p")).rowsBetween(Window.unboundedPreceding, -1))
     by = Window.partitionBy("repo", "_p").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    own = r.withColumn("_o", F.sum("bytes").over(by)).join(sums.select("repo", "_p", before.alias("_b")), ["repo", "_p"])
-    return own.withColumn("accepted", committed + F.col("_b") + F.col("_o") <= limit).drop("_p", "_o", "_b")
+    own = r.withColumn("_o", F.sum("bytes").over(by))
+    sums = sums.select(F.col("repo").alias("_r"), F.col("_p").alias("_q"), before.alias("_b"))
+    own = own.join(sums, F.col("repo").eqNullSafe(F.col("_r")) & F.col("_p").eqNullSafe(F.col("_q")))
+    total = F.coalesce(F.col("_b") + F.col("_o"), F.col("_o"), F.col("_b"))
+    return own.withColumn("accepted", committed + total <= limit).drop("_p", "_o", "_b", "_r", "_q")

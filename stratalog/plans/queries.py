@@ -238,7 +238,10 @@ def rebuilt_refcounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(l_suppkey % 10 AS BIGINT) AS repo, l_orderkey AS orderkey, l_linenumber AS linenumber, 1000000 + sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_suppkey % 10 ORDER BY l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING) <= 1100000 AS accepted FROM lineitem")
 def quota_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = catalog.table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 10).alias("repo"), F.struct("l_orderkey", "l_linenumber").alias("ordinal"), F.col("l_quantity").cast("long").alias("bytes"))
+    """Lines of one number keep their places in the table, by file and row: their order decides which of them is accepted."""
+    keys = [f(c) for c in ("l_orderkey", "l_linenumber") for f in (lambda c: F.col(c).isNull().alias(f"{c}_null"), F.col)]  # nulls come last
+    ordinal = F.struct(*keys, F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    r = catalog.table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 10).alias("repo"), ordinal.alias("ordinal"), F.rint("l_quantity").cast("long").alias("bytes"))
     return accounting.quota(r, F.lit(1_000_000), F.lit(1_100_000), F.floor(F.col("ordinal.l_orderkey") / 4096)).select("repo", F.col("ordinal.l_orderkey").alias("orderkey"), F.col("ordinal.l_linenumber").alias("linenumber"), "accepted")
 
 

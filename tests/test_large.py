@@ -28,7 +28,8 @@ def rows(names, found):
 
 
 def by_sql(sql, **tables):
-    c = duckdb.connect()
+    """One thread takes equal rows in the table's order; several take them in any."""
+    c = duckdb.connect(config={"threads": 1})
     for t, path in tables.items():
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}'")
     x = c.execute(sql)
@@ -51,3 +52,18 @@ def test_mtime_string_keeps_the_second(spark):
 def test_savings_round_as_the_sql(spark):
     df = spark.createDataFrame([(216300,), (1218900,), (600000,)], "n long")
     assert [r[0] for r in df.select(S.savings_percent("n", F.lit(600000))).collect()] == [64.0, -103.2, 0.0]
+
+
+def test_quota_of_equal_numbers_and_nulls(spark, tmp_path):
+    """Spark reads the larger, later file first; the SQL takes equal numbers in the table's order."""
+    row = "SELECT CAST({} AS BIGINT) AS l_suppkey, CAST({} AS BIGINT) AS l_orderkey, CAST({} AS INTEGER) AS l_linenumber, CAST({} AS DOUBLE) AS l_quantity"
+    (tmp_path / "lineitem.parquet").mkdir()
+    first = [row.format(3, 1, 1, 99_950), *(row.format(3, 5, 1, 40) for _ in range(2)), row.format("NULL", 1, 1, 7), row.format(4, "NULL", 1, 60_000), row.format(5, 1, 1, "NULL")]
+    later = [*(row.format(3, 5, 1, 5) for _ in range(2)), row.format(4, 9000, 1, 40_000.5), row.format(4, 9000, 2, 1.5), row.format(5, 5000, "NULL", 99_999), row.format(5, 5000, 1, 2), row.format(5, 5000, 2, "NULL")]
+    more = "SELECT i % 10 * 10 + 6, 20000 + i, CAST(1 AS INTEGER), CAST(1 + hash(i) % 50 AS DOUBLE) FROM range(20000) AS t(i)"
+    for k, parts in enumerate((first, [*later, more])):
+        duckdb.sql(f"COPY ({' UNION ALL '.join(parts)}) TO '{tmp_path}/lineitem.parquet/part-{k}.parquet'")
+    df = QUERIES["quota_usage"](spark, str(tmp_path))
+    got, want = rows(df.columns, df.collect()), by_sql(ORACLE_SQL["quota_usage"], lineitem=f"{tmp_path}/lineitem.parquet/*.parquet")
+    assert [x for x in got if x not in want] == [x for x in want if x not in got] == []
+    assert got == want
