@@ -7,7 +7,6 @@ Column expressions.
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
 from collections.abc import Iterator
 from functools import cache
@@ -160,8 +159,9 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
 def list_keys(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(key, size, modified) of the files below a path, by their names relative to it; contents aren't read."""
     files = read_files(spark, path, glob).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
-    key = F.element_at(F.split("path", F.concat(F.lit("/"), F.lit(re.escape(path.rstrip("/").rpartition("/")[2])), F.lit("/"))), -1)
-    return files.select(key.alias("key"), "size", "modified")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    top = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
+    return files.select(F.substring("path", len(top) + 2, F.length("path")).alias("key"), "size", "modified")
 
 
 def read_range(content: Column, start: int, length: int) -> Column:

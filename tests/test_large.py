@@ -1,5 +1,7 @@
 """Queries over keys, values and folders that the small tables don't have, against their SQL."""
 
+from pathlib import Path
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -67,3 +69,15 @@ def test_quota_of_equal_numbers_and_nulls(spark, tmp_path):
     got, want = rows(df.columns, df.collect()), by_sql(ORACLE_SQL["quota_usage"], lineitem=f"{tmp_path}/lineitem.parquet/*.parquet")
     assert [x for x in got if x not in want] == [x for x in want if x not in got] == []
     assert got == want
+
+
+def test_storage_keys_of_tables_in_parts(spark, sf, tmp_path):
+    """A table is one key, be it a file or a folder, also below a folder of the same name."""
+    top = tmp_path / "store" / "store"
+    for f in Path(sf).glob("*.parquet"):
+        for part in range(3) if f.stem in ("documents", "pages") else (None,):
+            to = top / f.name if part is None else top / f.name / f"part-{part}.parquet"
+            to.parent.mkdir(parents=True, exist_ok=True)
+            to.symlink_to(f)
+    df = QUERIES["storage_keys"](spark, str(top))
+    assert rows(df.columns, df.collect()) == by_sql(ORACLE_SQL["storage_keys"])
