@@ -26,6 +26,8 @@ read whole, a slice of bytes or one text at a time.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -98,23 +100,27 @@ def plain(html: str) -> str:
     return entities.unescape(TAG.sub(" ", html))
 
 
-def evidence(df: DataFrame, model: np.ndarray, languages: list[str], id_col: str, text_col: str, declared_col: str | None = None, url_col: str | None = None, host_col: str | None = None, html: bool = False, carry: list[str] | None = None) -> DataFrame:
-    """(id, text array<double>, declared, suffix, domain, host): the text log likelihoods and the rest, as far as given. With ``html``, text and declared language come from the markup. ``carry`` names columns that come along in a struct ``carried``."""
+def _read(df: DataFrame, model: np.ndarray, languages: list[str], id_col: str, text_col: str, declared_col: str | None = None, url_col: str | None = None, host_col: str | None = None, html: bool = False, carry: list[str] | None = None):
+    """The columns that evidence is taken from, the function that takes it from their batches, and the type of what is carried."""
     none = F.lit(None).cast("string")
     shared = df.sparkSession.sparkContext.broadcast(model)  # a fixed number of buckets a language
 
     def string(c):
         return F.col(c).cast("string") if c else none
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), string(text_col).alias("text"), string(declared_col).alias("declared"), string(url_col).alias("url"), string(host_col).alias("host"), *([F.struct(*carry).alias("carried")] if carry else []))
+    within = text_col in (carry or []) and df.schema[text_col].dataType.simpleString() == "string"  # texts that are carried go to the worker once
+    size = F.octet_length(F.col(text_col)).cast("long") if within else string(text_col)
+    rows = df.select(F.col(id_col).cast("long").alias("id"), size.alias("text"), string(declared_col).alias("declared"), string(url_col).alias("url"), string(host_col).alias("host"), *([F.struct(*carry).alias("carried")] if carry else []))
     more = f", carried {rows.schema['carried'].dataType.simpleString()}" if carry else ""
+    names = ["id", "text", "declared", "suffix", "domain", "host", *(["carried"] if carry else [])]
 
     def run(batches):
         logs = shared.value.T.copy()
         for batch in batches:
             for part in slices(batch, 1):
                 ll, declared, suffix, domain, host = [], [], [], [], []
-                for t, code, url, h in zip(*(c.to_pylist() for c in part.columns[1:5])):
+                texts = part.column(5).field(text_col) if within else part.column(1)
+                for t, code, url, h in zip(*(c.to_pylist() for c in (texts, *part.columns[2:5]))):
                     t = t or ""
                     if html:
                         m = HTML_LANG.search(t)
@@ -134,7 +140,12 @@ def evidence(df: DataFrame, model: np.ndarray, languages: list[str], id_col: str
                     host.append(name)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ll, pa.list_(pa.float64())), *(pa.array(c, pa.string()) for c in (declared, suffix, domain, host)), *part.columns[5:]], names)
 
-    names = ["id", "text", "declared", "suffix", "domain", "host", *(["carried"] if carry else [])]
+    return rows, run, more
+
+
+def evidence(df: DataFrame, model: np.ndarray, languages: list[str], id_col: str, text_col: str, declared_col: str | None = None, url_col: str | None = None, host_col: str | None = None, html: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """(id, text array<double>, declared, suffix, domain, host): the text log likelihoods and the rest, as far as given. With ``html``, text and declared language come from the markup. ``carry`` names columns that come along in a struct ``carried``."""
+    rows, run, more = _read(df, model, languages, id_col, text_col, declared_col, url_col, host_col, html, carry)
     return rows.mapInArrow(run, "id bigint, text array<double>, declared string, suffix string, domain string, host string" + more)
 
 
@@ -147,18 +158,26 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
-    """(id, language, probability, kept) from rows of evidence, and ``carried`` where they have it."""
-    names = [*languages, UND]
-    k = len(names)
+def _weights(k: int):
+    """The function of batches of (text, declared, suffix, domain, host) that makes posteriors by the text alone, and its schema."""
     p = [f"p{i}" for i in range(k)]
 
     def soft(batches):
         for batch in batches:
-            m = _soft(_matrix(batch.column(0), k)) if batch.num_rows else np.zeros((0, k))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(1, 5)), *(pa.array(m[:, i]) for i in range(k))], ["declared", "suffix", "domain", "host", *p])
+            m = _soft(_matrix(batch.column("text"), k)) if batch.num_rows else np.zeros((0, k))
+            keys = ["declared", "suffix", "domain", "host"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, keys), *(pa.array(m[:, i]) for i in range(k))], [*keys, *p])
+
+    return soft, "declared string, suffix string, domain string, host string, " + ", ".join(f"{x} double" for x in p)
 
-    weighed = rows.select("text", "declared", "suffix", "domain", "host").mapInArrow(soft, "declared string, suffix string, domain string, host string, " + ", ".join(f"{x} double" for x in p))
+
+def fuse(rows: DataFrame, languages: list[str], weighed: DataFrame | None = None) -> DataFrame:
+    """(id, language, probability, kept) from rows of evidence, and ``carried`` where they have it. ``weighed``: the rows' posteriors by the text alone, where they needn't be taken from ``rows``."""
+    names = [*languages, UND]
+    k = len(names)
+    p = [f"p{i}" for i in range(k)]
+    if weighed is None:
+        weighed = rows.select("text", "declared", "suffix", "domain", "host").mapInArrow(*_weights(k))
     sums = [F.sum(x).alias(x) for x in p]
     hosts = stored(weighed.groupBy("declared", "suffix", "domain", "host").agg(*sums), "language-hosts")  # partial sums first: a hot host costs a row a task
     by_code = {r.declared: np.array([r[x] for x in p]) for r in hosts.groupBy("declared").agg(*sums).collect()}  # a row a language, and two
@@ -185,25 +204,24 @@ def fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
     ends = [F.when(F.col("suffix") == "", 0.0).otherwise(F.log((F.col(f"s{i}") + F.lit(ALPHA) * own) / F.lit(n + ALPHA))) for i, n in enumerate(with_suffix)]
     priors = tree.select("suffix", "domain", "host", F.array(*share).alias("prior"), F.array(*ends).alias("ends"))
 
-    def decide(batches):
-        for batch in batches:
-            n = batch.num_rows
-            log = _matrix(batch.column(1), k) + np.log(_matrix(batch.column(3), k)) + _matrix(batch.column(4), k) if n else np.zeros((0, k))
-            for i, code in enumerate(batch.column(2).to_pylist()):
-                if code != "none":
-                    log[i] += says[codes.index(code)]
-            post = _soft(log) if n else log
-            best = post.argmax(1) if n else np.zeros(0, int)
-            top = post[np.arange(n), best]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([names[i] for i in best], pa.string()), pa.array(top, pa.float64()), pa.array((best < k - 1) & (top >= 0.5), pa.bool_()), *batch.columns[5:]], ["id", "language", "probability", "kept", *(["carried"] * len(carried))])
-
+    # Bayes by expressions: a second worker beside each one that takes evidence would double their memory.
+    told = reduce(lambda out, x: out.when(F.col("declared") == x[0], F.array(*(F.lit(float(v)) for v in x[1]))), zip(codes, says), F).otherwise(F.array(*[F.lit(0.0)] * k))
     carried = ["carried"] if "carried" in rows.columns else []
-    more = f", carried {rows.schema['carried'].dataType.simpleString()}" if carried else ""
-    joined = rows.join(priors, ["suffix", "domain", "host"]).select("id", "text", "declared", "prior", "ends", *carried)
-    return joined.mapInArrow(decide, "id bigint, language string, probability double, kept boolean" + more)
+    joined = rows.join(priors, ["suffix", "domain", "host"]).withColumn("told", told)
+    log = F.array(*(F.col("text")[i] + F.log(F.col("prior")[i]) + F.col("ends")[i] + F.col("told")[i] for i in range(k)))
+    found = joined.select("id", log.alias("log"), *carried).withColumn("most", F.array_max("log"))
+    best = F.array_position("log", F.col("most")).cast("int")
+    top = 1 / reduce(add, (F.exp(F.col("log")[i] - F.col("most")) for i in range(k)))
+    found = found.select("id", best.alias("best"), top.alias("probability"), *carried)
+    kept = (F.col("best") < k) & (F.col("probability") >= 0.5)
+    return found.select("id", F.element_at(F.array(*map(F.lit, names)), F.col("best")).alias("language"), "probability", kept.alias("kept"), *carried)
 
 
 def identify(df: DataFrame, model: np.ndarray, languages: list[str], **columns) -> DataFrame:
-    """(id, language, probability, kept) of each row; see evidence() for the columns. With ``carry``, the evidence is taken twice, for a table of it would copy the texts."""
+    """(id, language, probability, kept) of each row; see evidence() for the columns. With ``carry``, the evidence is taken twice, for a table of it would copy the texts; the first time, the same worker weighs it."""
     rows = evidence(df, model, languages, **columns)
-    return fuse(rows if columns.get("carry") else stored(rows, "language-evidence"), languages)
+    if not columns.get("carry"):
+        return fuse(stored(rows, "language-evidence"), languages)
+    alone, run, _ = _read(df, model, languages, **columns | {"carry": None})
+    soft, schema = _weights(len(languages) + 1)
+    return fuse(rows, languages, alone.mapInArrow(lambda batches: soft(run(batches)), schema))
