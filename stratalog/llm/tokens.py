@@ -170,8 +170,54 @@ class ForcedBoundaryBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
+#: The bytes of lower-case Latin-1 words, and the bytes that stand for them at a word's end: none of those occurs in such words.
+INNER = [*range(97, 123), *range(0x80, 0xC0), 0xC2, 0xC3]
+LAST = {b: bytes([b - 32 if b < 128 else b - 128]) for b in INNER if b < 0xC0}
+
+
+def word_ranks(path: str, model):
+    """The rank form of a vocabulary with word ends, as a function of the bytes of a lower-case Latin-1 word whose last one is in its form of LAST; None where it wouldn't give the library's ids.
+
+    Merging the pair whose token has the least id is what the library does if ids
+    follow the merges, no token has two, and each token is what its own text becomes:
+    up to a token's rank, merges within its span are those of its text by itself.
+    """
+    import tiktoken
+
+    spec = json.loads(open(path, "rb").read())["model"]
+    vocab, pairs = spec["vocab"], [tuple(m if isinstance(m, list) else m.split(" ")) for m in spec["merges"]]
+    merges, place = [a + b for a, b in pairs], {m: i for i, m in enumerate(pairs)}
+    ids = [vocab[m] for m in merges]
+    if spec["end_of_word_suffix"] != "</w>" or any(x >= y for x, y in zip(ids, ids[1:])):
+        return None
+    chars, ranks, never = byte_chars(), {}, len(pairs)
+
+    def merged(token: str) -> bool:
+        """Whether a token without a word end is what its characters become."""
+        x = list(token)
+        while len(x) > 1:
+            k = min(range(len(x) - 1), key=lambda i: place.get((x[i], x[i + 1]), never))
+            if (x[k], x[k + 1]) not in place:
+                return False
+            x[k : k + 2] = [x[k] + x[k + 1]]
+        return True
+
+    back = {chars[b]: b for b in INNER}
+    for token in (*chars.values(), *(c + "</w>" for c in chars.values()), *merges):
+        end = token.endswith("</w>")
+        at = [back.get(c) for c in token.removesuffix("</w>")]
+        if None not in at and not (end and at[-1] not in LAST):
+            ranks[bytes(at[:-1]) + LAST[at[-1]] if end else bytes(at)] = vocab[token]
+            if not ([t.id for t in model.tokenize(token.removesuffix("</w>"))] == [vocab[token]] if end else merged(token)):
+                return None
+    unused = max(vocab.values()) + 1
+    for b in range(256):
+        ranks.setdefault(bytes([b]), unused + b)
+    return tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+
 class WordBpe:
-    """A BPE vocabulary with word ends, which drops white space: words between blanks are independent, and each distinct one is encoded once by the library."""
+    """A BPE vocabulary with word ends, which drops white space: words between blanks are independent, and each distinct one is encoded once, by ranks or by the library."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -181,16 +227,24 @@ class WordBpe:
         self.whole.no_padding()
         self.model, self.chars = self.whole.model, byte_chars()
         self.words, self.pieces = Memo(self._word), Memo(self._piece, CACHE_ENTRIES // 5)
+        self.ranks = word_ranks(path, self.model)
+
+    def _letters(self, w: str) -> bytes:
+        """One piece of Latin-1 letters."""
+        if self.ranks is None:
+            return self._piece(w.lower())
+        b = w.lower().encode()
+        return array("I", self.ranks(b[:-1] + LAST[b[-1]])).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         own = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.chars)
         return array("I", [t.id for t in self.model.tokenize(own)]).tobytes()
 
     def _word(self, w: str) -> bytes:
-        if w[-1:] in MARKS and w[:-1].isalpha():
-            return self.words[w[:-1]] + self.pieces[w[-1]]
-        if w.isalpha() and (w.isascii() or LATIN.fullmatch(w)):  # one piece
-            return self._piece(w.lower())
+        if w[-1:] in MARKS and (own := w[:-1]).isalpha():
+            return (self.words.get(own) or self.words.old.get(own) or self._word(own)) + self.pieces[w[-1]]  # rare words aren't kept twice
+        if w.isalpha() and (w.isascii() or LATIN.fullmatch(w)):
+            return self._letters(w)
         if "<|" in w or not LATIN.fullmatch(w):  # special tokens, composition, case beyond Latin-1
             return array("I", self.whole.encode(w, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.pieces.__getitem__, WORD_SPLIT.findall(w.lower())))

@@ -1,8 +1,12 @@
-"""How many Python workers a task needs."""
+"""What Python workers do: how many a task needs, and the ways they take for speed."""
 
+import random
+
+import numpy as np
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from stratalog.llm import language, queries
+from stratalog.llm import language, queries, tokens
 
 
 def test_language_takes_one_worker_a_task(spark, sf, monkeypatch):
@@ -23,3 +27,18 @@ def test_language_takes_one_worker_a_task(spark, sf, monkeypatch):
     show = ["id", "language", F.round("probability", 12), "kept"]
     assert sorted(found.select(*show).collect(), key=str) == sorted(other.select(*show).collect(), key=str)
     assert found.select("carried.*").exceptAll(docs).count() == 0 and found.count() == docs.count()
+
+
+def test_rare_words_take_ranks():
+    """Words of Latin-1 letters are encoded by the rank form, with the library's ids, and rare words with a mark are kept once."""
+    bpe = tokens.WordBpe(public_tokenizers.path("word_bpe_49k.json"))
+    assert bpe.ranks is not None
+    r, letters = random.Random(4), "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿªµº"
+    parts = [x for t in bpe.whole.get_vocab() if (x := t.removesuffix("</w>")).isascii() and x.isalpha()]
+    words = ["".join(r.choice(letters) for _ in range(r.randint(1, 40))) for _ in range(5000)] + ["".join(r.choice(parts) for _ in range(r.randint(1, 5))) for _ in range(20000)]
+    words += [w.upper() for w in words[::7] if tokens.LATIN.fullmatch(w.upper())] + ["a" * 5000, "é" * 5000]
+    assert all(bpe._letters(w) == bpe._piece(w.lower()) for w in words)
+    for text in ("Wörter, words. ÀÉÿ µ; a", "thenthha, thenthha.", " x!  y\n\nz?"):
+        assert np.frombuffer(bpe.encode(text), "<u4").tolist() == bpe.whole.encode(text, add_special_tokens=False).ids
+    assert "thenthha." in bpe.words and "thenthha" not in bpe.words
+    assert tokens.word_ranks(public_tokenizers.path("byte_bpe_50k.json"), None) is None
