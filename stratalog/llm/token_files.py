@@ -33,13 +33,15 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .arrow import map_texts, stored, two
+from .arrow import slices, stored, two
 from .tokens import word_bpe
 
 MAGIC = b"STK1"
 BLOCK = 1 << 18
 #: Tasks that write at most.
 TASKS = 50_000
+#: Bytes of texts whose words are encoded together.
+TOGETHER = 8 << 20
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 _PLACE = np.arange(4, dtype=np.uint8)
 
@@ -96,22 +98,27 @@ def get(path: str) -> bytes:
         return f.read()
 
 
-def packed_ids(df: DataFrame, make, id_col: str, text_col: str, extra: str = "", more=None) -> DataFrame:
-    """(doc_id, n, ids): ids as compressed 32-bit integers, for intermediate tables. ``more`` adds one column of the ids, of type ``extra``."""
+def packed_ids(df: DataFrame, make, id_col: str, text_col: str, extra: str = "", more=None, together: bool = False) -> DataFrame:
+    """(doc_id, n, ids): ids as compressed 32-bit integers, for intermediate tables. ``more`` adds one column of the ids, of type ``extra``. What ``make`` gives encodes a text to bytes, or, ``together``, an Arrow array of texts to arrays."""
     schema = "doc_id bigint, n bigint, ids binary" + (f", {extra}" if extra else "")
 
     def ready():
         encode, z = make(), zstandard.ZstdCompressor(level=1)
 
         def f(ids, texts):
-            raw = [encode(t) for t in texts]
-            small = [np.frombuffer(x, "<u4") for x in raw]
-            cols = [pa.array(ids, pa.int64()), pa.array([len(x) for x in small], pa.int64()), pa.array([z.compress(squeezed(x)) for x in small], pa.binary())]
+            small = encode(texts) if together else [np.frombuffer(encode(t), "<u4") for t in texts.to_pylist()]
+            cols = [ids, pa.array([len(x) for x in small], pa.int64()), pa.array([z.compress(squeezed(x)) for x in small], pa.binary())]
             return pa.RecordBatch.from_arrays([*cols, *([more(small)] if more else [])], ["doc_id", "n", "ids", *([extra.split()[0]] if extra else [])])
 
         return f
 
-    return map_texts(two(df, id_col, text_col), ready, schema)
+    def run(batches):
+        f = ready()
+        for batch in batches:
+            for part in slices(batch, 1, *([TOGETHER] if together else [])):
+                yield f(*part.columns)
+
+    return two(df, id_col, text_col).mapInArrow(run, schema)
 
 
 def squeezed(ids: np.ndarray) -> bytes:
@@ -160,18 +167,18 @@ def qualified(spark: SparkSession, path: str) -> str:
 
 def write_token_files(df: DataFrame, vocab: str, out_dir: str, end_id: int = 2, shard_ids: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write shards of about ``shard_ids`` ids and the rank table; return the manifest, a stored table with a row a shard: (task, shard, path, documents, ids, first), first: ids of all shards before it."""
-    end = np.uint32(end_id).tobytes()
+    end = np.uint32(end_id)
     spark = df.sparkSession
     out_dir = qualified(spark, out_dir)
 
     def make():
         bpe = word_bpe(vocab)
-        return lambda t: bpe.encode(t) + end
+        return lambda texts: [np.append(x, end) for x in bpe.encode_all(texts)]
 
     from tokenizers import Tokenizer
 
     size = max(Tokenizer.from_file(vocab).get_vocab_size(with_added_tokens=True), end_id + 1)
-    encoded = stored(packed_ids(df, make, id_col, text_col), "token-ids")
+    encoded = stored(packed_ids(df, make, id_col, text_col, together=True), "token-ids")
     counts = id_counts(encoded, size)
     by_rank = np.lexsort((np.arange(size), -counts)).astype("<u4")
     rank = np.empty(size, "<u4")

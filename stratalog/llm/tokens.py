@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .arrow import map_texts, two
@@ -173,6 +174,13 @@ class ForcedBoundaryBpe:
 #: The bytes of lower-case Latin-1 words, and the bytes that stand for them at a word's end: none of those occurs in such words.
 INNER = [*range(97, 123), *range(0x80, 0xC0), 0xC2, 0xC3]
 LAST = {b: bytes([b - 32 if b < 128 else b - 128]) for b in INNER if b < 0xC0}
+LAST_OF = np.array([LAST[b][0] if b in LAST else 0 for b in range(256)], np.uint8)
+#: Longer words go to the library: ranks take time with the square of the length.
+RANK_CHARS = 64
+#: Latin-1 letters and at most one mark, as a pattern of Arrow's.
+PLAIN = r"^[A-Za-zªµºÀ-ÖØ-öø-ÿ]+[.,;:!?)]?$"
+#: Plain words that are encoded in a row: more bytes at once take longer, fewer take more calls.
+ROW = 4
 
 
 def word_ranks(path: str, model):
@@ -217,7 +225,7 @@ def word_ranks(path: str, model):
 
 
 class WordBpe:
-    """A BPE vocabulary with word ends, which drops white space: words between blanks are independent, and each distinct one is encoded once, by ranks or by the library."""
+    """A BPE vocabulary with word ends, which drops white space: words between blanks are independent, and each distinct one is encoded once, by ranks or by the library. Many texts are encoded together: most of their distinct words are rare, and Arrow finds and numpy places them."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -226,12 +234,20 @@ class WordBpe:
         self.whole.no_truncation()
         self.whole.no_padding()
         self.model, self.chars = self.whole.model, byte_chars()
-        self.words, self.pieces = Memo(self._word), Memo(self._piece, CACHE_ENTRIES // 5)
+        self.words, self.pieces = Memo(self._word), Memo(self._own, CACHE_ENTRIES // 5)
         self.ranks = word_ranks(path, self.model)
+        vocab = self.whole.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(1 + max(vocab.values()), bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        marks = {ord(m): np.frombuffer(self._piece(m), "<u4") for m in MARKS}
+        self.together = self.ranks is not None and all(len(x) == 1 for x in marks.values())
+        self.mark = np.full(256, -1, np.int64)
+        if self.together:
+            self.mark[list(marks)] = np.concatenate(list(marks.values()))
 
     def _letters(self, w: str) -> bytes:
         """One piece of Latin-1 letters."""
-        if self.ranks is None:
+        if self.ranks is None or len(w) > RANK_CHARS:
             return self._piece(w.lower())
         b = w.lower().encode()
         return array("I", self.ranks(b[:-1] + LAST[b[-1]])).tobytes()
@@ -240,6 +256,9 @@ class WordBpe:
         own = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.chars)
         return array("I", [t.id for t in self.model.tokenize(own)]).tobytes()
 
+    def _own(self, piece: str) -> bytes:
+        return self._letters(piece) if piece.isalpha() else self._piece(piece)
+
     def _word(self, w: str) -> bytes:
         if w[-1:] in MARKS and (own := w[:-1]).isalpha():
             return (self.words.get(own) or self.words.old.get(own) or self._word(own)) + self.pieces[w[-1]]  # rare words aren't kept twice
@@ -252,6 +271,57 @@ class WordBpe:
     def encode(self, text: str | None) -> bytes:
         return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
 
+    def _plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of plain words, one after the other, and how many each has. Some are encoded in a row: no token of the rank form goes beyond a word's end."""
+        lower = pc.utf8_lower(words)
+        at = np.frombuffer(lower.buffers()[1], np.int32)[: len(lower) + 1].astype(np.int64)
+        b = np.frombuffer(lower.buffers()[2], np.uint8)[: at[-1]].copy()
+        mark = self.mark[b[at[1:] - 1]]
+        marked = mark >= 0
+        last = at[1:] - 1 - marked
+        b[last] = LAST_OF[b[last]]
+        inner = np.ones(len(b), bool)
+        inner[at[1:][marked] - 1] = False
+        at[1:] -= np.cumsum(marked)
+        raw, ids, of = b[inner].tobytes(), array("I"), [*at[:-1:ROW].tolist(), int(at[-1])]
+        for i, j in zip(of, of[1:]):
+            ids.extend(self.ranks(raw[i:j]))
+        x = np.frombuffer(ids, "<u4")
+        cut = np.flatnonzero(self.ends[x]) + 1
+        n = np.diff(cut, prepend=0)
+        if len(n) != len(words):
+            raise ValueError("a word's end is lost")
+        return np.insert(x, cut[marked], mark[marked]), n + marked
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each of some texts."""
+        if not self.together:
+            return [np.frombuffer(self.encode(t), "<u4") for t in texts.to_pylist()]
+        parts = pc.split_pattern(pc.replace_substring(pc.fill_null(texts.cast(pa.string()), ""), "\n", " "), " ")
+        found = parts.flatten().dictionary_encode()
+        words, place = found.dictionary, found.indices.to_numpy()
+        plain = pc.and_(pc.less_equal(pc.binary_length(words), RANK_CHARS), pc.match_substring_regex(words, PLAIN))
+        own = plain.to_numpy(zero_copy_only=False)
+        n = np.zeros(len(words), np.int64)
+        flat = np.zeros(0, "<u4")
+        if own.any():
+            flat, n[own] = self._plain(words.filter(plain))
+        other = [self.words[w] for w in words.filter(pc.invert(plain)).to_pylist()]
+        n[~own] = [len(x) // 4 for x in other]
+        first = np.empty(len(words), np.int64)
+        first[own] = np.cumsum(n[own]) - n[own]
+        first[~own] = len(flat) + np.cumsum(n[~own]) - n[~own]
+        flat = np.concatenate([flat, np.frombuffer(b"".join(other), "<u4")])
+        out, word = [], np.r_[0, np.cumsum(parts.value_lengths().to_numpy())]
+        for k in range(0, len(texts), 256):  # a few texts at once, whose places take eight bytes an id
+            ends = word[k : k + 257]
+            p = place[ends[0] : ends[-1]]
+            size = n[p]
+            stop = np.cumsum(size)
+            ids = flat[np.repeat(first[p] - stop + size, size) + np.arange(int(size.sum()))]
+            out += np.split(ids, np.r_[0, stop][ends[1:-1] - ends[0]])
+        return out
+
 
 def lists(parts: list[bytes]) -> pa.ListArray:
     """Ids as a list array."""

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from stratalog.llm import language, queries, tokens
@@ -42,3 +43,22 @@ def test_rare_words_take_ranks():
         assert np.frombuffer(bpe.encode(text), "<u4").tolist() == bpe.whole.encode(text, add_special_tokens=False).ids
     assert "thenthha." in bpe.words and "thenthha" not in bpe.words
     assert tokens.word_ranks(public_tokenizers.path("byte_bpe_50k.json"), None) is None
+
+
+def test_words_are_encoded_together():
+    """Texts at once have the library's ids; the rank form takes several plain words a call, and no long ones, for which its time is quadratic."""
+    bpe = tokens.WordBpe(public_tokenizers.path("word_bpe_49k.json"))
+    r, calls, ranks = random.Random(5), [], bpe.ranks
+    bpe.ranks = lambda b: calls.append(b) or ranks(b)
+    made = ["".join(r.choice("abcdefgßéñüÀÖØªµº") for _ in range(r.randint(1, 12))) + r.choice(["", "", ".", ",", ";", ")", "?!", "%%%"]) for _ in range(4000)]
+    odd = ["", " ", "\n\n", "a", ".", "..", "x.", ".x", "'s", "it's", "a\tb", "a\r\nb", "a b", "é", "İstanbul", "日本語 語", "😀 a", "ſ", "K", "ÿ Ÿ", "<|endoftext|> a", "×÷", "a×b.", "n0n", "a" * 64 + ".", "é" * 65, "Word Word. word, WORD)"]
+    texts = [None, *odd, *(" ".join(made[i : i + 40]) for i in range(0, len(made), 40)), "a" * 30_000 + " é" * 600, None]
+    want = [bpe.whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    whole = pa.array(texts, pa.string())
+    calls.clear()
+    assert [x.tolist() for x in bpe.encode_all(whole)] == want
+    assert len(calls) < 3000 and max(map(len, calls)) <= tokens.ROW * (2 * tokens.RANK_CHARS)
+    assert [x.tolist() for x in bpe.encode_all(whole.slice(5, 40))] == want[5:45]
+    assert bpe.encode_all(whole.slice(0, 0)) == [] and [len(x) for x in bpe.encode_all(whole.slice(0, 1))] == [0]
+    bpe.together = False
+    assert [x.tolist() for x in bpe.encode_all(whole)] == want
